@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens import schema as S
-from pricelens.operators import clean, profile
+from pricelens.operators import clean, distribution, profile
 from pricelens.sources.tables import (
-    TABLE_DATE_VIEWPORT, TABLE_FILTERS, TABLE_LADDER, TABLE_PRICE_CLIP, listings,
+    TABLE_BIN_WIDTH, TABLE_DATE_VIEWPORT, TABLE_FILTERS, TABLE_LADDER, TABLE_PRICE_CLIP, listings,
 )
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +142,29 @@ def q_column_profile(spark, sf_dir):
 @query("model_keys")
 def q_model_keys(spark, sf_dir):
     return profile.distinct_keys(_explore(spark, sf_dir), S.PHONE_MODEL)
+
+
+# --- step 4: distributions ---------------------------------------------------
+
+def _tagged(spark, sf_dir) -> DataFrame:
+    return _explore(spark, sf_dir).filter(F.col(S.PHONE_MODEL).isNotNull())
+
+
+@query("box_by_model")
+def q_box_by_model(spark, sf_dir):
+    return distribution.box_stats(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE)
+
+
+@query("box_by_date_model")
+def q_box_by_date_model(spark, sf_dir):
+    return distribution.box_stats(_tagged(spark, sf_dir), [S.PHONE_MODEL, S.DATE], S.PRICE)
+
+
+@query("price_histogram")
+def q_price_histogram(spark, sf_dir):
+    return distribution.histogram(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE, TABLE_BIN_WIDTH)
+
+
+@query("price_kde")
+def q_price_kde(spark, sf_dir):
+    return distribution.kde(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE, S.ORIGINAL_KDE_POINTS)

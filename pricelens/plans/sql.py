@@ -148,3 +148,49 @@ ORACLE["model_keys"] = with_(LISTINGS, EXPLORE) + """
 SELECT DISTINCT phone_model FROM explore WHERE phone_model IS NOT NULL"""
 
 BIN = repr(float(TABLE_BIN_WIDTH))
+
+TAGGED = """e AS (SELECT phone_model, date, price FROM explore WHERE phone_model IS NOT NULL AND price IS NOT NULL)"""
+
+
+def _box(keys: list[str]) -> str:
+    k = ", ".join(keys)
+    nums = ["min", "max", "mean", "q1", "median", "q3", "lower_fence", "upper_fence", "whisker_low", "whisker_high"]
+    expr = {
+        "min": "min(price)", "max": "max(price)", "mean": "avg(price)",
+        "q1": "any_value(q1)", "median": "any_value(median)", "q3": "any_value(q3)",
+        "lower_fence": "any_value(lower_fence)", "upper_fence": "any_value(upper_fence)",
+        "whisker_low": "min(CASE WHEN price >= lower_fence THEN price END)",
+        "whisker_high": "max(CASE WHEN price <= upper_fence THEN price END)",
+    }
+    sel = ", ".join(f"round({expr[c]}, 6) AS {c}" for c in nums)
+    return with_(LISTINGS, EXPLORE, TAGGED) + f""",
+qq AS (SELECT {k}, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS median,
+              quantile_cont(price, 0.75) AS q3 FROM e GROUP BY {k}),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM qq)
+SELECT {k}, count(*) AS n, {sel},
+       CAST(count_if(price < lower_fence OR price > upper_fence) AS BIGINT) AS n_outliers
+FROM e JOIN f USING ({k}) GROUP BY {k}"""
+
+
+ORACLE["box_by_model"] = _box(["phone_model"])
+ORACLE["box_by_date_model"] = _box(["phone_model", "date"])
+
+ORACLE["price_histogram"] = with_(LISTINGS, EXPLORE, TAGGED) + f""",
+s AS (SELECT phone_model, min(price) AS st, count(*) AS tot FROM e GROUP BY phone_model),
+b AS (SELECT e.phone_model, CAST(floor((price - st) / CAST({BIN} AS DOUBLE)) AS INTEGER) AS bin_index, st, tot
+      FROM e JOIN s USING (phone_model))
+SELECT phone_model, bin_index, st + bin_index * CAST({BIN} AS DOUBLE) AS bin_start, count(*) AS n,
+       count(*) / (tot * CAST({BIN} AS DOUBLE)) AS density
+FROM b GROUP BY phone_model, bin_index, st, tot"""
+
+ORACLE["price_kde"] = with_(LISTINGS, EXPLORE, TAGGED) + """,
+s AS (SELECT phone_model, count(*) AS n, min(price) AS lo, max(price) AS hi, stddev_samp(price) AS sd
+      FROM e GROUP BY phone_model HAVING count(*) >= 2 AND stddev_samp(price) > 0),
+s2 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS h FROM s),
+g AS (SELECT phone_model, n, h, CAST(j AS INTEGER) AS grid_index,
+             lo + (j * (hi - lo)) / CAST(500 AS DOUBLE) AS x
+      FROM s2, range(0, 500) t(j))
+SELECT g.phone_model, g.grid_index, round(g.x, 6) AS x,
+       round(sum(exp(-0.5 * ((g.x - e.price) / g.h) * ((g.x - e.price) / g.h)))
+             / (g.n * g.h * sqrt(2 * pi())), 14) AS density
+FROM g JOIN e USING (phone_model) GROUP BY g.phone_model, g.grid_index, g.x, g.n, g.h"""
