@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens import schema as S
-from pricelens.operators import clean, distribution, profile
+from pricelens.functions import days_prompt
+from pricelens.operators import clean, distribution, metrics, model, profile, reshape, trend
 from pricelens.sources.tables import (
     TABLE_BIN_WIDTH, TABLE_DATE_VIEWPORT, TABLE_FILTERS, TABLE_LADDER, TABLE_PRICE_CLIP, listings,
 )
@@ -168,3 +169,108 @@ def q_price_histogram(spark, sf_dir):
 @query("price_kde")
 def q_price_kde(spark, sf_dir):
     return distribution.kde(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE, S.ORIGINAL_KDE_POINTS)
+
+
+# --- step 5: scaling, split, error metrics ------------------------------------
+
+def modelling_frame(spark, sf_dir) -> DataFrame:
+    """Prepared rows with split and the scaler fitted on the training split."""
+    df = model.add_split(prepared(spark, sf_dir))
+    scaler = model.fit_scaler(df.filter(F.col(model.SPLIT) == model.TRAIN))
+    return model.scale(df, scaler), scaler
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    """Baseline predictions: mean scaled price per name over the training split."""
+    df, scaler = modelling_frame(spark, sf_dir)
+    name_model = model.fit_group_mean(df.filter(F.col(model.SPLIT) == model.TRAIN), S.NAME, "price_z", "pred_z")
+    out = model.predict_group_mean(df, name_model, S.NAME, "pred_z")
+    return model.unscale(out, scaler, "pred_z", "prediction"), scaler
+
+
+@query("split_counts")
+def q_split_counts(spark, sf_dir):
+    df = model.add_split(prepared(spark, sf_dir))
+    return df.groupBy(model.SPLIT).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scale_label")
+def q_scale_label(spark, sf_dir):
+    _, scaler = modelling_frame(spark, sf_dir)
+    return scaler.select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+
+
+@query("unscale_label")
+def q_unscale_label(spark, sf_dir):
+    df, scaler = modelling_frame(spark, sf_dir)
+    back = model.unscale(df, scaler, "price_z", "price_restored")
+    return back.select(S.URL, model.SPLIT, F.round("price_z", 9).alias("price_z"),
+                       F.round("price_restored", 6).alias("price_restored"))
+
+
+@query("regression_metrics")
+def q_regression_metrics(spark, sf_dir):
+    df, _ = scored(spark, sf_dir)
+    return metrics.regression_metrics(df, S.PRICE, "prediction", [model.SPLIT])
+
+
+@query("smape")
+def q_smape(spark, sf_dir):
+    df, _ = scored(spark, sf_dir)
+    return metrics.smape(df.filter(F.col(model.SPLIT) == model.VAL), S.PRICE, "prediction")
+
+
+@query("test_rmse")
+def q_test_rmse(spark, sf_dir):
+    df, _ = scored(spark, sf_dir)
+    test = df.filter(F.col(model.SPLIT) == model.TEST)
+    return test.agg(F.count(F.lit(1)).alias("n"),
+                    F.round(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col(S.PRICE), 2))), 6).alias("rmse"))
+
+
+# --- step 6: forecast grid, reshaping -----------------------------------------
+
+def trend_forecast(spark, sf_dir) -> DataFrame:
+    """Per-tag least-squares trend of price on days (training split) over days 1..89."""
+    df = model.add_split(prepared(spark, sf_dir)).filter(F.col(S.PHONE_MODEL).isNotNull())
+    train = df.filter(F.col(model.SPLIT) == model.TRAIN)
+    trend = model.fit_trend(train, [S.PHONE_MODEL], S.DAYS_PASSED, S.PRICE)
+    grid = model.day_grid(df.select(S.PHONE_MODEL).distinct())
+    return model.forecast_trend(grid, trend, [S.PHONE_MODEL]), train
+
+
+@query("forecast_grid")
+def q_forecast_grid(spark, sf_dir):
+    tags = prepared(spark, sf_dir).filter(F.col(S.PHONE_MODEL).isNotNull()).select(S.PHONE_MODEL).distinct()
+    grid = model.day_grid(tags)
+    return grid.withColumn("prompt", days_prompt("day", S.PHONE_MODEL))
+
+
+@query("forecast_wide")
+def q_forecast_wide(spark, sf_dir):
+    fc, _ = trend_forecast(spark, sf_dir)
+    fc = fc.withColumn(S.PRICE, F.round(S.PRICE, 6))
+    return reshape.long_to_wide(fc, ["day"], S.PHONE_MODEL, S.PRICE, TABLE_LADDER)
+
+
+@query("extrapolated_flag")
+def q_extrapolated_flag(spark, sf_dir):
+    fc, train = trend_forecast(spark, sf_dir)
+    horizon = train.select(F.max(S.DAYS_PASSED)).scalar()
+    out = clean.flag_extrapolated(fc, horizon)
+    return out.select(S.PHONE_MODEL, "day", F.round(S.PRICE, 6).alias(S.PRICE), "extrapolated")
+
+
+@query("metrics_long")
+def q_metrics_long(spark, sf_dir):
+    df, _ = scored(spark, sf_dir)
+    wide = metrics.regression_metrics(df, S.PRICE, "prediction", [model.SPLIT])
+    return reshape.wide_to_long(wide, [model.SPLIT], ["mse", "rmse", "mae", "r2"], "metric", "value")
+
+
+# --- step 7: LOWESS trend -----------------------------------------------------
+
+@query("lowess_trend")
+def q_lowess_trend(spark, sf_dir):
+    df = prepared(spark, sf_dir).filter(F.col(S.PHONE_MODEL).isNotNull())
+    return trend.lowess(df, [S.PHONE_MODEL], S.DAYS_PASSED, S.PRICE)

@@ -194,3 +194,114 @@ SELECT g.phone_model, g.grid_index, round(g.x, 6) AS x,
        round(sum(exp(-0.5 * ((g.x - e.price) / g.h) * ((g.x - e.price) / g.h)))
              / (g.n * g.h * sqrt(2 * pi())), 14) AS density
 FROM g JOIN e USING (phone_model) GROUP BY g.phone_model, g.grid_index, g.x, g.n, g.h"""
+
+# --- modelling: split, scaler, baseline predictions ---------------------------
+from pricelens import schema as _S  # noqa: E402
+
+SEED = _S.ORIGINAL_SEED
+SPLIT_TRAIN, SPLIT_VAL = 64, 80
+
+MODELLING = PREPARED + f""",
+sp AS (SELECT *, CASE WHEN b < {SPLIT_TRAIN} THEN 'train' WHEN b < {SPLIT_VAL} THEN 'val' ELSE 'test' END AS split
+       FROM (SELECT *, CAST(('0x' || substr(md5('{SEED}|' || url), 1, 8))::BIGINT % 100 AS INTEGER) AS b
+             FROM prompts) t),
+sc AS (SELECT avg(price) AS mean, stddev_pop(price) AS std, count(price) AS n FROM sp WHERE split = 'train'),
+z AS (SELECT sp.*, (price - sc.mean) / sc.std AS price_z FROM sp, sc),
+nm AS (SELECT name, avg(price_z) AS name_z FROM z WHERE split = 'train' GROUP BY name),
+pr AS (SELECT z.*, coalesce(nm.name_z, 0.0) AS pred_z, coalesce(nm.name_z, 0.0) * sc.std + sc.mean AS prediction
+       FROM z LEFT JOIN nm USING (name), sc)"""
+
+ORACLE["split_counts"] = with_(LISTINGS, MODELLING) + "SELECT split, count(*) AS n FROM sp GROUP BY split"
+
+ORACLE["scale_label"] = with_(LISTINGS, MODELLING) + "SELECT round(mean, 6) AS mean, round(std, 6) AS std, n FROM sc"
+
+ORACLE["unscale_label"] = with_(LISTINGS, MODELLING) + """
+SELECT url, split, round(price_z, 9) AS price_z, round(price_z * sc.std + sc.mean, 6) AS price_restored FROM z, sc"""
+
+METRICS_SEL = """count(price) AS n,
+       round(avg((prediction - price) * (prediction - price)), 2) AS mse,
+       round(sqrt(avg((prediction - price) * (prediction - price))), 6) AS rmse,
+       round(avg(abs(prediction - price)), 6) AS mae,
+       round(CASE WHEN var_pop(price) * count(price) > 0
+                  THEN 1 - sum((prediction - price) * (prediction - price)) / (var_pop(price) * count(price)) END, 9) AS r2"""
+
+ORACLE["regression_metrics"] = with_(LISTINGS, MODELLING) + f"""
+SELECT split, {METRICS_SEL} FROM pr GROUP BY split"""
+
+ORACLE["metrics_long"] = with_(LISTINGS, MODELLING) + f""",
+m AS (SELECT split, {METRICS_SEL} FROM pr GROUP BY split)
+SELECT split, metric, value FROM m UNPIVOT (value FOR metric IN (mse, rmse, mae, r2))"""
+
+ORACLE["smape"] = with_(LISTINGS, MODELLING) + """
+SELECT count(price) AS n,
+       round(avg(CASE WHEN abs(price) + abs(prediction) = 0 THEN 0.0
+                      ELSE 200.0 * abs(prediction - price) / (abs(price) + abs(prediction)) END), 9) AS smape
+FROM pr WHERE split = 'val'"""
+
+ORACLE["test_rmse"] = with_(LISTINGS, MODELLING) + """
+SELECT count(*) AS n, round(sqrt(avg((prediction - price) * (prediction - price))), 6) AS rmse
+FROM pr WHERE split = 'test'"""
+
+TREND = MODELLING + """,
+tr AS (SELECT phone_model, coalesce(regr_slope(price, days_passed), 0.0) AS slope,
+              coalesce(regr_intercept(price, days_passed), avg(price)) AS intercept
+       FROM sp WHERE split = 'train' AND phone_model IS NOT NULL GROUP BY phone_model),
+tags AS (SELECT DISTINCT phone_model FROM sp WHERE phone_model IS NOT NULL),
+grid AS (SELECT phone_model, CAST(d AS INTEGER) AS day FROM tags, range(1, 90) t(d)),
+fc AS (SELECT grid.phone_model, day, intercept + slope * day AS price FROM grid JOIN tr USING (phone_model))"""
+
+ORACLE["forecast_grid"] = with_(LISTINGS, TREND) + """
+SELECT phone_model, day, CAST(day AS VARCHAR) || ' days ' || phone_model AS prompt FROM grid"""
+
+ORACLE["forecast_wide"] = with_(LISTINGS, TREND) + "SELECT day, " + ", ".join(
+    f"round(max(CASE WHEN phone_model = {q(p)} THEN price END), 6) AS \"{p}\"" for p in TABLE_LADDER
+) + " FROM fc GROUP BY day"
+
+ORACLE["extrapolated_flag"] = with_(LISTINGS, TREND) + """
+SELECT phone_model, day, round(price, 6) AS price,
+       day > (SELECT max(days_passed) FROM sp WHERE split = 'train' AND phone_model IS NOT NULL) AS extrapolated
+FROM fc"""
+
+
+def _lowess_sql(iterations: int = 3) -> str:
+    parts = [f"""pts AS (SELECT phone_model, days_passed AS x, avg(price) AS y FROM prepared
+              WHERE phone_model IS NOT NULL GROUP BY phone_model, days_passed),
+cnt AS (SELECT phone_model, greatest(1, (count(*) * 2) // 3) AS k FROM pts GROUP BY phone_model),
+pairs AS (SELECT a.phone_model, a.x AS x0, b.x, b.y, abs(b.x - a.x) AS d
+          FROM pts a JOIN pts b ON a.phone_model = b.phone_model),
+hh AS (SELECT r.phone_model, r.x0, r.d AS h
+       FROM (SELECT phone_model, x0, d, row_number() OVER (PARTITION BY phone_model, x0 ORDER BY d) AS rn FROM pairs) r
+       JOIN cnt ON cnt.phone_model = r.phone_model AND r.rn = cnt.k),
+tw AS (SELECT p.phone_model, p.x0, p.x, p.y,
+              CASE WHEN p.d < hh.h THEN (1 - (p.d / hh.h) * (p.d / hh.h) * (p.d / hh.h))
+                                      * (1 - (p.d / hh.h) * (p.d / hh.h) * (p.d / hh.h))
+                                      * (1 - (p.d / hh.h) * (p.d / hh.h) * (p.d / hh.h)) ELSE 0.0 END AS tri
+       FROM pairs p JOIN hh ON hh.phone_model = p.phone_model AND hh.x0 = p.x0),
+rw0 AS (SELECT phone_model, x, 1.0::DOUBLE AS rw FROM pts)"""]
+    for i in range(iterations + 1):
+        parts.append(f"""w{i} AS (SELECT tw.phone_model, tw.x0, tw.x, tw.y, tw.tri * r.rw AS w
+       FROM tw JOIN rw{i} r ON r.phone_model = tw.phone_model AND r.x = tw.x),
+f{i} AS (SELECT phone_model, x0, sum(w) AS sw, count_if(w > 0) AS c,
+               sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM w{i} GROUP BY phone_model, x0),
+g{i} AS (SELECT f.phone_model, f.x0, any_value(f.sw) AS sw, any_value(f.c) AS c, any_value(f.mx) AS mx,
+               any_value(f.my) AS my, sum(t.w * (t.x - f.mx) * (t.x - f.mx)) AS sxx,
+               sum(t.w * (t.x - f.mx) * (t.y - f.my)) AS sxy
+        FROM w{i} t JOIN f{i} f ON f.phone_model = t.phone_model AND f.x0 = t.x0 GROUP BY f.phone_model, f.x0),
+fit{i} AS (SELECT g.phone_model, g.x0 AS x, p.y,
+                 CASE WHEN g.sw > 0 THEN (CASE WHEN g.c >= 2 THEN g.my + (g.sxy / g.sxx) * (g.x0 - g.mx) ELSE g.my END)
+                      ELSE p.y END AS fit
+          FROM g{i} g JOIN pts p ON p.phone_model = g.phone_model AND p.x = g.x0)""")
+        if i < iterations:
+            parts.append(f"""med{i} AS (SELECT phone_model, median(abs(y - fit)) AS m FROM fit{i} GROUP BY phone_model),
+rw{i + 1} AS (SELECT f.phone_model, f.x,
+                  CASE WHEN m.m = 0 THEN 1.0
+                       WHEN abs((f.y - f.fit) / (6.0 * m.m)) < 1.0
+                       THEN (1 - ((f.y - f.fit) / (6.0 * m.m)) * ((f.y - f.fit) / (6.0 * m.m)))
+                          * (1 - ((f.y - f.fit) / (6.0 * m.m)) * ((f.y - f.fit) / (6.0 * m.m)))
+                       ELSE 0.0 END AS rw
+           FROM fit{i} f JOIN med{i} m ON m.phone_model = f.phone_model)""")
+    return with_(LISTINGS, PREPARED, *parts) + f"""
+SELECT phone_model, x AS days_passed, round(y, 4) AS price, round(fit, 4) AS trend FROM fit{iterations}"""
+
+
+ORACLE["lowess_trend"] = _lowess_sql(_S.ORIGINAL_LOWESS_ITERATIONS)
