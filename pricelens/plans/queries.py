@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 from pricelens import schema as S
 from pricelens.functions import days_prompt
-from pricelens.operators import clean, distribution, metrics, model, profile, reshape, trend
+from pricelens.operators import clean, distribution, metrics, model, profile, reshape, tokens, trend
+from pricelens.functions import stable_bucket
+from pricelens.session import scratch_path
+from pricelens.sources import files
 from pricelens.sources.tables import (
+    RAW_OVERFLOW_BUCKETS, RAW_SEED, RAW_WRAPPED_BUCKETS, land_once,
     TABLE_BIN_WIDTH, TABLE_DATE_VIEWPORT, TABLE_FILTERS, TABLE_LADDER, TABLE_PRICE_CLIP, listings,
 )
 
@@ -274,3 +278,53 @@ def q_metrics_long(spark, sf_dir):
 def q_lowess_trend(spark, sf_dir):
     df = prepared(spark, sf_dir).filter(F.col(S.PHONE_MODEL).isNotNull())
     return trend.lowess(df, [S.PHONE_MODEL], S.DAYS_PASSED, S.PRICE)
+
+
+# --- step 8: tokens ------------------------------------------------------------
+
+@query("tokens_padded")
+def q_tokens_padded(spark, sf_dir):
+    df = model.add_split(prepared(spark, sf_dir))
+    vocab = tokens.fit_vocabulary(df.filter(F.col(model.SPLIT) == model.TRAIN), S.DAYS_PASSED_NAME_DESC)
+    out = tokens.tokenize(df, S.DAYS_PASSED_NAME_DESC, vocab, S.ORIGINAL_MAX_LENGTH_TRAIN)
+    return out.select(S.URL, model.SPLIT, tokens.INPUT_IDS, tokens.ATTENTION_MASK, tokens.N_TOKENS)
+
+
+# --- step 9: files: raw export repair, quarantine, CSV round trip -----------------
+
+def raw_export_path(spark, sf_dir) -> str:
+    """The listings written as a raw export with wrapped and over-long records."""
+    def write(path):
+        df = listings(spark, sf_dir)
+        b = stable_bucket(S.URL, RAW_SEED)
+        wrapped = b.isin(*RAW_WRAPPED_BUCKETS)
+        overflow = F.when(b.isin(*RAW_OVERFLOW_BUCKETS), F.concat(F.lit("x-"), F.col(S.URL)))
+        files.write_raw_export(df, path, wrapped, overflow)
+    return land_once(spark, sf_dir, "raw-export", write)
+
+
+def _raw(spark, sf_dir) -> DataFrame:
+    return files.read_raw_listings(spark, raw_export_path(spark, sf_dir))
+
+
+@query("repair_csv")
+def q_repair_csv(spark, sf_dir):
+    return files.accepted(files.repair(_raw(spark, sf_dir)))
+
+
+@query("scan_quarantine")
+def q_scan_quarantine(spark, sf_dir):
+    return files.quarantine(files.repair(_raw(spark, sf_dir)))
+
+
+@query("repair_audit")
+def q_repair_audit(spark, sf_dir):
+    return files.repair_audit(_raw(spark, sf_dir))
+
+
+@query("roundtrip_listings")
+def q_roundtrip_listings(spark, sf_dir):
+    """Standardized CSV sink, read back through the raw scan: same rows."""
+    path = scratch_path(spark, "listings-csv")
+    files.write_listings_csv(listings(spark, sf_dir), path)
+    return files.accepted(files.repair(files.read_raw_listings(spark, path)))

@@ -7,6 +7,7 @@ the same parquet tables; the Spark plans never use them.
 from __future__ import annotations
 
 from pricelens.sources.tables import (
+    RAW_OVERFLOW_BUCKETS, RAW_SEED, RAW_WRAPPED_BUCKETS,
     TABLE_BIN_WIDTH, TABLE_DATE_VIEWPORT, TABLE_FILTERS, TABLE_LADDER, TABLE_PRICE_CLIP,
 )
 
@@ -305,3 +306,47 @@ SELECT phone_model, x AS days_passed, round(y, 4) AS price, round(fit, 4) AS tre
 
 
 ORACLE["lowess_trend"] = _lowess_sql(_S.ORIGINAL_LOWESS_ITERATIONS)
+
+
+TOKENS = MODELLING + f""",
+tk AS (SELECT url, split, days_passed_name_desc AS t,
+              list_filter(regexp_split_to_array(lower(days_passed_name_desc), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS toks
+       FROM sp),
+vc AS (SELECT token, count(*) AS freq FROM (SELECT unnest(toks) AS token FROM tk WHERE split = 'train') u GROUP BY token),
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, token) + 1 AS INTEGER) AS id FROM vc),
+d AS (SELECT DISTINCT t, toks FROM tk WHERE t IS NOT NULL),
+ex AS (SELECT t, pos, toks[pos] AS token
+       FROM (SELECT t, toks, unnest(range(1, least(len(toks), {_S.ORIGINAL_MAX_LENGTH_TRAIN}) + 1)) AS pos FROM d) r),
+ids AS (SELECT ex.t, list(coalesce(v.id, 1) ORDER BY ex.pos) AS input_ids
+        FROM ex LEFT JOIN vocab v USING (token) GROUP BY ex.t),
+enc AS (SELECT tk.url, tk.split, tk.toks, coalesce(ids.input_ids, []::INTEGER[]) AS input_ids
+        FROM tk LEFT JOIN ids USING (t)),
+ln AS (SELECT least({_S.ORIGINAL_MAX_LENGTH_TRAIN}, coalesce(max(len(input_ids)), 0)) AS L FROM enc)"""
+
+ORACLE["tokens_padded"] = with_(LISTINGS, TOKENS) + """
+SELECT url, split, list_resize(input_ids, L, 0) AS input_ids,
+       list_resize(list_transform(input_ids, lambda x: 1), L, 0) AS attention_mask,
+       CAST(len(toks) AS INTEGER) AS n_tokens
+FROM enc, ln"""
+
+
+# --- files ----------------------------------------------------------------------------
+RAW = f"""rb AS (SELECT *, CAST(('0x' || substr(md5('{RAW_SEED}|' || url), 1, 8))::BIGINT % 100 AS INTEGER) AS b
+       FROM listings)"""
+WRAPPED_IN = ", ".join(str(b) for b in RAW_WRAPPED_BUCKETS)
+OVERFLOW_IN = ", ".join(str(b) for b in RAW_OVERFLOW_BUCKETS)
+ALL_COLS = ", ".join(LISTING_COLS)
+
+ORACLE["repair_csv"] = with_(LISTINGS, RAW) + f"SELECT {ALL_COLS} FROM rb WHERE b NOT IN ({OVERFLOW_IN})"
+
+ORACLE["scan_quarantine"] = with_(LISTINGS, RAW) + f"""
+SELECT {ALL_COLS}, 'x-' || url AS _overflow FROM rb WHERE b IN ({OVERFLOW_IN})"""
+
+ORACLE["repair_audit"] = with_(LISTINGS, RAW) + f""",
+w AS (SELECT count(*) AS raw, count_if(b IN ({WRAPPED_IN})) AS wrapped,
+             count_if(b IN ({OVERFLOW_IN})) AS quarantined, count_if(b NOT IN ({OVERFLOW_IN})) AS accepted FROM rb)
+""" + "\nUNION ALL\n".join(
+    f"SELECT {q(s)} AS stage, CAST({s} AS BIGINT) AS n_rows, {i} AS step FROM w"
+    for i, s in enumerate(["raw", "wrapped", "quarantined", "accepted"]))
+
+ORACLE["roundtrip_listings"] = with_(LISTINGS) + f"SELECT {ALL_COLS} FROM listings"

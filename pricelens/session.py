@@ -25,6 +25,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = (
         builder
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")

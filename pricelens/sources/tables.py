@@ -24,9 +24,14 @@ TABLE_LADDER = ["red widget", "red", "widget"]
 TABLE_BIN_WIDTH = 7500.0
 TABLE_DATE_VIEWPORT = ("1996-01-01", "1997-12-31")
 TABLE_PRICE_VIEWPORT = (1500.0, 45000.0)
+# Raw export made from the tables: hash buckets (of 100) of wrapped and of
+# over-long records; bucket 7 is both.
+RAW_SEED = 7
+RAW_WRAPPED_BUCKETS = (0, 1, 2, 3, 4, 7)
+RAW_OVERFLOW_BUCKETS = (5, 6, 7)
 
 _LANDED: dict[tuple, str] = {}
-_LANDED_LOCK = threading.Lock()
+_LANDED_LOCK = threading.RLock()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +90,20 @@ def _fingerprint(sf_dir: str) -> tuple:
     return (os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, tuple(parts))
 
 
+def land_once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Path of a dataset derived from ``sf_dir``, written by ``write(path)``
+    once per process and input, under a new unique path in the shared
+    checkpoint folder."""
+    key = (id(spark.sparkContext._jsc), _fingerprint(sf_dir), name)
+    with _LANDED_LOCK:
+        path = _LANDED.get(key)
+        if path is None:
+            path = scratch_path(spark, name)
+            write(path)
+            _LANDED[key] = path
+    return path
+
+
 def listings(spark: SparkSession, sf_dir: str, landed: bool = True) -> DataFrame:
     """Listings, landed once as parquet in the shared checkpoint folder.
 
@@ -95,11 +114,5 @@ def listings(spark: SparkSession, sf_dir: str, landed: bool = True) -> DataFrame
     """
     if not landed:
         return listings_from_tables(spark, sf_dir)
-    key = (id(spark.sparkContext._jsc), _fingerprint(sf_dir))
-    with _LANDED_LOCK:
-        path = _LANDED.get(key)
-        if path is None:
-            path = scratch_path(spark, "listings")
-            listings_from_tables(spark, sf_dir).write.parquet(path)
-            _LANDED[key] = path
+    path = land_once(spark, sf_dir, "listings", lambda p: listings_from_tables(spark, sf_dir).write.parquet(p))
     return spark.read.schema(S.LISTING).parquet(path)
