@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pricelens import schema as S
 from pricelens.functions import days_prompt
-from pricelens.operators import clean, distribution, metrics, model, profile, reshape, tokens, trend
+from pricelens.operators import clean, distribution, metrics, model, profile, reshape, textmodel, tokens, trend
 from pricelens.functions import stable_bucket
 from pricelens.session import scratch_path
 from pricelens.sources import files
@@ -328,3 +328,98 @@ def q_roundtrip_listings(spark, sf_dir):
     path = scratch_path(spark, "listings-csv")
     files.write_listings_csv(listings(spark, sf_dir), path)
     return files.accepted(files.repair(files.read_raw_listings(spark, path)))
+
+
+# --- step 10: text regression, its artifacts, forecasts -------------------------
+
+# Training runs: prompt variant per run, as the original published both.
+TEXT_RUNS = {"days_name": S.DAYS_PASSED_NAME, "days_name_desc": S.DAYS_PASSED_NAME_DESC}
+MAIN_RUN = "days_name_desc"
+
+
+def training_run(spark, sf_dir, run: str = MAIN_RUN) -> str:
+    """Fit the candidates once per process and input; returns the artifact folder."""
+    def write(path):
+        df, scaler = modelling_frame(spark, sf_dir)
+        train = df.filter(F.col(model.SPLIT) == model.TRAIN)
+        val = df.filter(F.col(model.SPLIT) == model.VAL)
+        fitted, history = textmodel.fit_candidates(train, val, TEXT_RUNS[run], "price_z")
+        textmodel.save_run(spark, path, fitted, scaler, history)
+    return land_once(spark, sf_dir, f"run-{run}", write)
+
+
+def _history_price_units(spark, sf_dir, run: str = MAIN_RUN, mode: str = "correct") -> DataFrame:
+    path = training_run(spark, sf_dir, run)
+    sc = model.scaler_value(textmodel.read_scaler(spark, path))
+    return metrics.unscale_metrics(textmodel.read_history(spark, path), sc["mean"], sc["std"], mode)
+
+
+@query("text_regression_eval")
+def q_text_regression_eval(spark, sf_dir):
+    path = training_run(spark, sf_dir)
+    fitted = textmodel.load_model(path)
+    df, _ = modelling_frame(spark, sf_dir)
+    scaler = textmodel.read_scaler(spark, path)
+    out = model.unscale(textmodel.predict(fitted, df), scaler, textmodel.PREDICTION_Z, "prediction")
+    return metrics.regression_metrics(out, S.PRICE, "prediction", [model.SPLIT])
+
+
+@query("metric_history")
+def q_metric_history(spark, sf_dir):
+    return metrics.rounded(_history_price_units(spark, sf_dir))
+
+
+@query("metric_history_affine")
+def q_metric_history_affine(spark, sf_dir):
+    """The original dashboard's conversion (x * std + mean), to compare with its tables."""
+    return metrics.rounded(_history_price_units(spark, sf_dir, mode="affine"))
+
+
+@query("best_epoch")
+def q_best_epoch(spark, sf_dir):
+    return metrics.rounded(metrics.best_epoch(_history_price_units(spark, sf_dir), "rmse"), ["rmse"])
+
+
+def text_forecast(spark, sf_dir, run: str = MAIN_RUN) -> DataFrame:
+    """``prompt, day, price``: every sub-model phrase over days 1..89, priced by the model."""
+    path = training_run(spark, sf_dir, run)
+    fitted = textmodel.load_model(path)
+    tags = (prepared(spark, sf_dir).filter(F.col(S.PHONE_MODEL).isNotNull())
+            .select(F.col(S.PHONE_MODEL).alias("prompt")).distinct())
+    grid = model.day_grid(tags)
+    text = TEXT_RUNS[run]
+    grid = grid.withColumn(text, days_prompt("day", "prompt")).withColumn(S.DAYS_PASSED, F.col("day"))
+    scored = model.unscale(textmodel.predict(fitted, grid), textmodel.read_scaler(spark, path),
+                           textmodel.PREDICTION_Z, S.PRICE)
+    return scored.select("prompt", "day", F.round(S.PRICE, 6).alias(S.PRICE))
+
+
+@query("text_forecast")
+def q_text_forecast(spark, sf_dir):
+    return text_forecast(spark, sf_dir)
+
+
+@query("metrics_csv")
+def q_metrics_csv(spark, sf_dir):
+    """Per-run metric tables published as CSV (leading index column), read back as one table."""
+    paths = {}
+    for run in TEXT_RUNS:
+        hist = _history_price_units(spark, sf_dir, run)
+        paths[run] = scratch_path(spark, f"metrics-{run}")
+        out = hist.select(F.col("epoch").alias("_c0"), F.col("mse").alias("MSE"), F.col("mae").alias("MAE"),
+                          F.col("rmse").alias("RMSE"), F.col("r2").alias("R2"))
+        out.coalesce(1).write.option("header", "true").csv(paths[run])
+    return files.read_metrics_csv(spark, paths)
+
+
+@query("forecast_csv")
+def q_forecast_csv(spark, sf_dir):
+    """Forecast published wide (day x prompt) as CSV, read back and made long again."""
+    fc = text_forecast(spark, sf_dir)
+    prompts = list(TABLE_LADDER)  # the sub-model phrases: a fixed column list, no extra job
+    wide = reshape.long_to_wide(fc, ["day"], "prompt", S.PRICE, prompts)
+    path = scratch_path(spark, "predictions")
+    wide.coalesce(1).write.option("header", "true").csv(path)
+    back = files.read_predictions_csv(spark, path, prompts)
+    long = reshape.wide_to_long(back, ["day"], prompts, "prompt", S.PRICE)
+    return long.filter(F.col(S.PRICE).isNotNull())

@@ -119,3 +119,22 @@ def write_raw_export(df: DataFrame, path: str, wrapped: F.Column, overflow: F.Co
     header = ",".join(S.LISTING_COLUMNS)
     schema = T.StructType([T.StructField("value", T.StringType(), True)])
     lines.mapInPandas(_with_header(header), schema).write.mode("errorifexists").text(path)
+
+
+# --- published tables -------------------------------------------------------------
+
+METRICS_SCHEMA = "epoch INT, MSE DOUBLE, MAE DOUBLE, RMSE DOUBLE, R2 DOUBLE"
+
+
+def read_metrics_csv(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Metric tables (unnamed leading index = epoch), one per run, unioned with a ``run`` column."""
+    frames = [spark.read.option("header", "true").schema(METRICS_SCHEMA).csv(p).withColumn("run", F.lit(run))
+              for run, p in paths.items()]
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def read_predictions_csv(spark: SparkSession, path: str, prompts) -> DataFrame:
+    """Wide forecast table: ``day`` then one price column per prompt, in order."""
+    schema = T.StructType([T.StructField("day", T.IntegerType())] +
+                          [T.StructField(p, T.DoubleType()) for p in prompts])
+    return spark.read.option("header", "true").option("enforceSchema", "false").schema(schema).csv(path)
