@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.operators.joins import bounded_broadcast
 from pricelens.operators.ranking import exact_quantiles
 
 
@@ -27,24 +28,26 @@ def _fold(df: DataFrame, group_cols: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("_w"))
 
 
-def box_stats(df: DataFrame, group_cols: Sequence[str], value: str, digits: int = 6) -> DataFrame:
+def box_stats(df: DataFrame, group_cols: Sequence[str], value: str, digits: int = 6,
+              max_groups: int | None = None) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whisker ends and outlier count per group.
 
     Quartiles are exact, linear interpolation (the charting default).  The
-    per-group quartile table has one row per group -- bounded by the number
-    of tags (x days) -- and is broadcast to the folded values.
+    per-group quartile table has one row per group; it is broadcast to the
+    folded values only when ``max_groups`` bounds it, else the planner
+    picks the join from its measured size.
     """
     g = list(group_cols)
     rows = _present(df, g, value)
     folded = _fold(rows, g, value)
-    quart = exact_quantiles(rows, g, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    quart = exact_quantiles(rows, g, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"], max_groups)
     fences = quart.select(*g, "q1", "median", "q3",
                           (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_fence"),
                           (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_fence"))
     v, w = F.col(value), F.col("_w")
     inside_lo = v >= F.col("lower_fence")
     inside_hi = v <= F.col("upper_fence")
-    stats = (folded.join(F.broadcast(fences), g)
+    stats = (folded.join(bounded_broadcast(fences, max_groups), g)
              .groupBy(*g)
              .agg(F.sum(w).alias("n"),
                   F.min(v).alias("min"), F.max(v).alias("max"),
@@ -60,7 +63,8 @@ def box_stats(df: DataFrame, group_cols: Sequence[str], value: str, digits: int
                         F.col("n_outliers").cast("long").alias("n_outliers"))
 
 
-def histogram(df: DataFrame, group_cols: Sequence[str], value: str, width: float) -> DataFrame:
+def histogram(df: DataFrame, group_cols: Sequence[str], value: str, width: float,
+              max_groups: int | None = None) -> DataFrame:
     """Density-normalised histogram per group; bins start at the group minimum.
 
     ``density = n / (group_rows * width)``, so each group's bars integrate to 1.
@@ -70,7 +74,7 @@ def histogram(df: DataFrame, group_cols: Sequence[str], value: str, width: float
     folded = _fold(rows, g, value)
     starts = folded.groupBy(*g).agg(F.min(value).alias("_start"), F.sum("_w").alias("_total"))
     idx = F.floor((F.col(value) - F.col("_start")) / F.lit(float(width))).cast("int")
-    binned = (folded.join(F.broadcast(starts), g)
+    binned = (folded.join(bounded_broadcast(starts, max_groups), g)
                     .groupBy(*g, idx.alias("bin_index"))
                     .agg(F.sum("_w").alias("n"), F.first("_start").alias("_start"), F.first("_total").alias("_total")))
     return binned.select(
@@ -81,7 +85,7 @@ def histogram(df: DataFrame, group_cols: Sequence[str], value: str, width: float
 
 
 def kde(df: DataFrame, group_cols: Sequence[str], value: str, points: int = 500, digits: int = 14,
-        reach: float = 40.0) -> DataFrame:
+        reach: float = 40.0, max_groups: int | None = None) -> DataFrame:
     """Gaussian KDE per group on ``points`` grid positions from min to max.
 
     Bandwidth is Scott's rule, ``h = stddev_samp * n^(-1/5)``.  Each distinct
@@ -103,7 +107,7 @@ def kde(df: DataFrame, group_cols: Sequence[str], value: str, points: int = 500,
     j_from = F.greatest(F.lit(0), F.ceil((v - F.lit(reach) * F.col("_h") - F.col("_lo")) / F.col("_step")).cast("int"))
     j_to = F.least(F.lit(last), F.floor((v + F.lit(reach) * F.col("_h") - F.col("_lo")) / F.col("_step")).cast("int"))
     x = F.col("_lo") + (F.col("grid_index") * (F.col("_hi") - F.col("_lo"))) / F.lit(float(points))
-    contrib = (folded.join(F.broadcast(stats), g)
+    contrib = (folded.join(bounded_broadcast(stats, max_groups), g)
                      .filter(j_from <= j_to)
                      .select(*g, v, "_w", "_h", "_lo", "_hi",
                              F.explode(F.sequence(j_from, j_to)).alias("grid_index"))

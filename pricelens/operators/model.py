@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pricelens import schema as S
 from pricelens.functions import stable_bucket
+from pricelens.operators.joins import bounded_broadcast
 
 SPLIT = "split"
 TRAIN, VAL, TEST = "train", "val", "test"
@@ -101,8 +102,9 @@ def day_grid(prompts: DataFrame, days: tuple[int, int] = S.ORIGINAL_DAYS, day: s
 
 
 def forecast_trend(grid: DataFrame, trend: DataFrame, group_cols: Sequence[str], day: str = "day",
-                   target: str = "price") -> DataFrame:
-    """Trend value at each grid day.  ``trend`` has one row per series."""
-    return (grid.join(F.broadcast(trend), list(group_cols))
+                   target: str = "price", max_groups: int | None = None) -> DataFrame:
+    """Trend value at each grid day.  ``trend`` has one row per series
+    (broadcast when ``max_groups`` bounds the series count)."""
+    return (grid.join(bounded_broadcast(trend, max_groups), list(group_cols))
                 .withColumn(target, F.col("intercept") + F.col("slope") * F.col(day))
                 .drop("intercept", "slope"))

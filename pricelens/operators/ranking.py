@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricelens.operators.joins import bounded_broadcast, shuffle_partitions
+
 PID = "_pid"
 LOCAL = "_local"
 OFFSET = "_offset"
@@ -58,13 +60,14 @@ def _local_running(group_cols: Sequence[str], weight: str | None):
 
 
 def running_total(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-                  weight: str | None = None, broadcast_offsets: bool = True) -> DataFrame:
+                  weight: str | None = None, max_groups: int | None = None) -> DataFrame:
     """Add ``_cum`` (inclusive running sum of ``weight``, or row number) and
     ``_group_total`` within each group, in ``order_cols`` order.
 
-    ``broadcast_offsets``: the offsets table has at most
-    ``#partitions + #groups`` rows; keep it True when the number of groups is
-    bounded (tags, tags x days), pass False otherwise and it is shuffled.
+    The offsets table has at most ``#partitions + #groups`` rows (each range
+    partition holds a contiguous run of groups).  With ``max_groups`` known
+    (or no groups) that bound is proven and the table is broadcast;
+    otherwise the planner sizes the join at runtime.
     """
     groups = list(group_cols)
     if not groups:
@@ -86,8 +89,9 @@ def running_total(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     offsets = totals.select(*groups, PID,
                             F.coalesce(F.sum("_ptot").over(before), F.lit(0)).alias(OFFSET),
                             F.sum("_ptot").over(whole).alias(GROUP_TOTAL))
-    if broadcast_offsets:
-        offsets = F.broadcast(offsets)
+    n_groups = 1 if CONST_GROUP in groups else max_groups
+    bound = None if n_groups is None else shuffle_partitions(df.sparkSession) + n_groups
+    offsets = bounded_broadcast(offsets, bound)
     out = (local.join(offsets, [*groups, PID])
                 .withColumn("_cum", F.col(OFFSET) + F.col(LOCAL))
                 .drop(PID, LOCAL, OFFSET))
@@ -103,7 +107,7 @@ def global_rank(df: DataFrame, order_cols: Sequence[str | Column], name: str = "
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value: str, probs: Sequence[float],
-                    names: Sequence[str], broadcast_offsets: bool = True) -> DataFrame:
+                    names: Sequence[str], max_groups: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (type 7) per group.
 
     Duplicates are first folded into ``(group, value, weight)`` by a
@@ -114,7 +118,7 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value: str, probs:
     g = list(group_cols)
     folded = (df.filter(F.col(value).isNotNull())
                 .groupBy(*g, value).agg(F.count(F.lit(1)).alias("_w")))
-    ranked = running_total(folded, g, [F.col(value)], "_w", broadcast_offsets)
+    ranked = running_total(folded, g, [F.col(value)], "_w", max_groups)
     first = F.col("_cum") - F.col("_w")              # 0-based rank of first copy
     last = F.col("_cum") - F.lit(1)                  # 0-based rank of last copy
     pos = [(F.col(GROUP_TOTAL) - 1).cast("double") * F.lit(float(p)) for p in probs]

@@ -157,7 +157,7 @@ def _tagged(spark, sf_dir) -> DataFrame:
 
 @query("box_by_model")
 def q_box_by_model(spark, sf_dir):
-    return distribution.box_stats(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE)
+    return distribution.box_stats(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE, max_groups=len(TABLE_LADDER))
 
 
 @query("box_by_date_model")
@@ -167,12 +167,14 @@ def q_box_by_date_model(spark, sf_dir):
 
 @query("price_histogram")
 def q_price_histogram(spark, sf_dir):
-    return distribution.histogram(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE, TABLE_BIN_WIDTH)
+    return distribution.histogram(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE, TABLE_BIN_WIDTH,
+                                  max_groups=len(TABLE_LADDER))
 
 
 @query("price_kde")
 def q_price_kde(spark, sf_dir):
-    return distribution.kde(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE, S.ORIGINAL_KDE_POINTS)
+    return distribution.kde(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE, S.ORIGINAL_KDE_POINTS,
+                            max_groups=len(TABLE_LADDER))
 
 
 # --- step 5: scaling, split, error metrics ------------------------------------
@@ -240,7 +242,7 @@ def trend_forecast(spark, sf_dir) -> DataFrame:
     train = df.filter(F.col(model.SPLIT) == model.TRAIN)
     trend = model.fit_trend(train, [S.PHONE_MODEL], S.DAYS_PASSED, S.PRICE)
     grid = model.day_grid(df.select(S.PHONE_MODEL).distinct())
-    return model.forecast_trend(grid, trend, [S.PHONE_MODEL]), train
+    return model.forecast_trend(grid, trend, [S.PHONE_MODEL], max_groups=len(TABLE_LADDER)), train
 
 
 @query("forecast_grid")
