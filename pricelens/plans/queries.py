@@ -18,6 +18,7 @@ from pricelens.operators import clean, distribution, metrics, model, profile, re
 from pricelens.functions import stable_bucket
 from pricelens.session import scratch_path
 from pricelens.sources import files
+from pricelens.streaming import landing
 from pricelens.sources.tables import (
     RAW_OVERFLOW_BUCKETS, RAW_SEED, RAW_WRAPPED_BUCKETS, land_once,
     TABLE_BIN_WIDTH, TABLE_DATE_VIEWPORT, TABLE_FILTERS, TABLE_LADDER, TABLE_PRICE_CLIP, listings,
@@ -324,6 +325,25 @@ def q_repair_audit(spark, sf_dir):
     return files.repair_audit(_raw(spark, sf_dir))
 
 
+def streamed_landing(spark, sf_dir) -> str:
+    """The raw export landed incrementally by the streaming job (once per process and input)."""
+    raw = raw_export_path(spark, sf_dir)
+
+    def run(path):
+        landing.land(spark, raw, f"{path}/out", f"{path}/checkpoints")
+    return land_once(spark, sf_dir, "stream-landing", run)
+
+
+@query("stream_repair")
+def q_stream_repair(spark, sf_dir):
+    return landing.read_landed(spark, f"{streamed_landing(spark, sf_dir)}/out", landing.ACCEPTED)
+
+
+@query("stream_quarantine")
+def q_stream_quarantine(spark, sf_dir):
+    return landing.read_landed(spark, f"{streamed_landing(spark, sf_dir)}/out", landing.QUARANTINE)
+
+
 @query("roundtrip_listings")
 def q_roundtrip_listings(spark, sf_dir):
     """Standardized CSV sink, read back through the raw scan: same rows."""

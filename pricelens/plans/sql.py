@@ -350,3 +350,6 @@ w AS (SELECT count(*) AS raw, count_if(b IN ({WRAPPED_IN})) AS wrapped,
     for i, s in enumerate(["raw", "wrapped", "quarantined", "accepted"]))
 
 ORACLE["roundtrip_listings"] = with_(LISTINGS) + f"SELECT {ALL_COLS} FROM listings"
+
+ORACLE["stream_repair"] = ORACLE["repair_csv"]
+ORACLE["stream_quarantine"] = ORACLE["scan_quarantine"]
