@@ -21,7 +21,8 @@ from pricelens.sources import files
 from pricelens.streaming import landing
 from pricelens.sources.tables import (
     RAW_OVERFLOW_BUCKETS, RAW_SEED, RAW_WRAPPED_BUCKETS, land_once,
-    TABLE_BIN_WIDTH, TABLE_DATE_VIEWPORT, TABLE_FILTERS, TABLE_LADDER, TABLE_PRICE_CLIP, listings,
+    TABLE_BIN_WIDTH, TABLE_DATE_VIEWPORT, TABLE_FILTERS, TABLE_LADDER, TABLE_PRICE_CLIP, TABLE_PRICE_VIEWPORT,
+    listings,
 )
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +69,13 @@ def q_date_viewport(spark, sf_dir):
     return clean.viewport(_explore(spark, sf_dir), S.DATE, lo, hi)
 
 
+@query("price_viewport")
+def q_price_viewport(spark, sf_dir):
+    """Price axis viewport of the distribution chart (after the statistics, not before)."""
+    lo, hi = TABLE_PRICE_VIEWPORT
+    return clean.viewport(_explore(spark, sf_dir), S.PRICE, F.lit(lo), F.lit(hi))
+
+
 @query("one_model")
 def q_one_model(spark, sf_dir):
     return clean.one_group(_explore(spark, sf_dir), TABLE_LADDER[0]).select(S.PRICE, S.DATE)

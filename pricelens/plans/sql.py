@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pricelens.sources.tables import (
     RAW_OVERFLOW_BUCKETS, RAW_SEED, RAW_WRAPPED_BUCKETS,
-    TABLE_BIN_WIDTH, TABLE_DATE_VIEWPORT, TABLE_FILTERS, TABLE_LADDER, TABLE_PRICE_CLIP,
+    TABLE_BIN_WIDTH, TABLE_DATE_VIEWPORT, TABLE_FILTERS, TABLE_LADDER, TABLE_PRICE_CLIP, TABLE_PRICE_VIEWPORT,
 )
 
 
@@ -353,3 +353,7 @@ ORACLE["roundtrip_listings"] = with_(LISTINGS) + f"SELECT {ALL_COLS} FROM listin
 
 ORACLE["stream_repair"] = ORACLE["repair_csv"]
 ORACLE["stream_quarantine"] = ORACLE["scan_quarantine"]
+
+ORACLE["price_viewport"] = with_(LISTINGS, EXPLORE) + f"""
+SELECT price, date, phone_model FROM explore
+WHERE price BETWEEN {TABLE_PRICE_VIEWPORT[0]!r} AND {TABLE_PRICE_VIEWPORT[1]!r}"""
