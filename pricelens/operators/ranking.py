@@ -9,7 +9,10 @@ gives every slice its offset, and a broadcast join adds it back.
 
 Requirements: the sort key ``(group, order)`` must be unique (callers
 pre-aggregate duplicates into a weight), so the order -- and the result --
-is the same on every retry.
+is the same on every retry.  The per-slice totals and the rows read the
+same range-partitioned exchange (``spark.sql.exchange.reuse``, on by
+default and pinned in the session), so both see one set of range bounds;
+a lost map output is recomputed with that same partitioner.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ chain of DataFrame steps:
   the vocabulary (planner's choice: broadcast when AQE measures it small,
   shuffle otherwise), and folded back per text -- a group never holds more
   than ``max_length`` entries;
-* padding: to the longest encoded row, ``L = min(max_length, max size)``,
-  one scalar aggregate.
+* padding: to the longest encoded row, ``L = min(max_length, max tokens)``,
+  one scalar aggregate over the texts themselves (a row's id count is
+  ``min(n_tokens, max_length)``), so the encoding plan runs once.
 
 Id 0 is padding, 1 an unknown token; vocabulary ids start at 2.
 """
@@ -66,9 +67,15 @@ def encode(df: DataFrame, text: str, vocabulary: DataFrame, max_length: int) ->
               .withColumn(N_TOKENS, F.size(token_array(text))))
 
 
-def pad(df: DataFrame, max_length: int, ids: str = INPUT_IDS, mask: str = ATTENTION_MASK) -> DataFrame:
-    """Pad ``ids`` with 0 to ``L = min(max_length, longest row)``; mask 1 for tokens, 0 for padding."""
-    longest = df.select(F.max(F.size(ids))).scalar()
+def pad(df: DataFrame, max_length: int, ids: str = INPUT_IDS, mask: str = ATTENTION_MASK,
+        longest=None) -> DataFrame:
+    """Pad ``ids`` with 0 to ``L = min(max_length, longest row)``; mask 1 for tokens, 0 for padding.
+
+    ``longest``: a Column (scalar) with the longest row's token count, when
+    the caller has a cheaper source for it than ``df`` itself.
+    """
+    if longest is None:
+        longest = df.select(F.max(F.size(ids))).scalar()
     length = F.least(F.lit(int(max_length)), F.coalesce(longest, F.lit(0)))
     size = F.size(ids)
     gap = length - size
@@ -78,4 +85,5 @@ def pad(df: DataFrame, max_length: int, ids: str = INPUT_IDS, mask: str = ATTENT
 
 def tokenize(df: DataFrame, text: str, vocabulary: DataFrame, max_length: int) -> DataFrame:
     """Encode and pad: ``input_ids``, ``attention_mask``, ``n_tokens``."""
-    return pad(encode(df, text, vocabulary, max_length), max_length)
+    longest = df.select(F.max(F.size(token_array(text)))).scalar()
+    return pad(encode(df, text, vocabulary, max_length), max_length, longest=longest)

@@ -31,6 +31,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # ranking.running_total reads one range-partitioned exchange from two
+        # branches; reuse makes both see the same partition bounds.
+        .config("spark.sql.exchange.reuse", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()
