@@ -352,6 +352,26 @@ def q_stream_quarantine(spark, sf_dir):
     return landing.read_landed(spark, f"{streamed_landing(spark, sf_dir)}/out", landing.QUARANTINE)
 
 
+def month_partitioned_path(spark, sf_dir) -> str:
+    """Listings landed as parquet partitioned by the month of ``added_at``."""
+    def write(path):
+        df = listings(spark, sf_dir).withColumn("month", F.date_format(S.ADDED_AT, "yyyy-MM"))
+        files.write_listings_parquet(df, path, partition_by="month")
+    return land_once(spark, sf_dir, "listings-by-month", write)
+
+
+@query("month_pruned_viewport")
+def q_month_pruned_viewport(spark, sf_dir):
+    """Date viewport over the month-partitioned hand-off: the month predicate
+    prunes whole directories before any file is opened."""
+    lo, hi = TABLE_DATE_VIEWPORT
+    df = spark.read.parquet(month_partitioned_path(spark, sf_dir))
+    pruned = df.filter(F.col("month").between(lo[:7], hi[:7]))
+    return (pruned.withColumn(S.DATE, F.to_date(S.ADDED_AT))
+                  .filter(F.col(S.DATE).between(F.to_date(F.lit(lo)), F.to_date(F.lit(hi))))
+                  .select(S.URL, S.PRICE, S.DATE, "month"))
+
+
 @query("roundtrip_listings")
 def q_roundtrip_listings(spark, sf_dir):
     """Standardized CSV sink, read back through the raw scan: same rows."""

@@ -357,3 +357,7 @@ ORACLE["stream_quarantine"] = ORACLE["scan_quarantine"]
 ORACLE["price_viewport"] = with_(LISTINGS, EXPLORE) + f"""
 SELECT price, date, phone_model FROM explore
 WHERE price BETWEEN {TABLE_PRICE_VIEWPORT[0]!r} AND {TABLE_PRICE_VIEWPORT[1]!r}"""
+
+ORACLE["month_pruned_viewport"] = with_(LISTINGS) + f"""
+SELECT url, price, CAST(added_at AS DATE) AS date, strftime(added_at, '%Y-%m') AS month FROM listings
+WHERE CAST(added_at AS DATE) BETWEEN DATE {q(TABLE_DATE_VIEWPORT[0])} AND DATE {q(TABLE_DATE_VIEWPORT[1])}"""

@@ -37,3 +37,8 @@ def test_listings_scan_once_per_subquery(spark):
     plan = _plan(E.queries()["preprocess"](spark, SF))
     assert "Window" not in plan
     assert "Subquery" in plan
+
+
+def test_month_partition_pruning(spark):
+    plan = _plan(E.queries()["month_pruned_viewport"](spark, SF))
+    assert "PartitionFilters: [isnotnull(month" in plan
