@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -391,10 +392,18 @@ def training_run(spark, sf_dir, run: str = MAIN_RUN) -> str:
     """Fit the candidates once per process and input; returns the artifact folder."""
     def write(path):
         df, scaler = modelling_frame(spark, sf_dir)
-        train = df.filter(F.col(model.SPLIT) == model.TRAIN)
-        val = df.filter(F.col(model.SPLIT) == model.VAL)
-        fitted, history = textmodel.fit_candidates(train, val, TEXT_RUNS[run], "price_z")
-        textmodel.save_run(spark, path, fitted, scaler, history)
+        # Fitting reads the rows several times (IDF, train and val features):
+        # keep them (memory, spilling to disk) rather than re-plan the cleaning
+        # and its subqueries each time; a lost block is recomputed from lineage.
+        df = df.select(S.URL, model.SPLIT, S.DAYS_PASSED, *TEXT_RUNS.values(), "price_z") \
+               .persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            train = df.filter(F.col(model.SPLIT) == model.TRAIN)
+            val = df.filter(F.col(model.SPLIT) == model.VAL)
+            fitted, history = textmodel.fit_candidates(train, val, TEXT_RUNS[run], "price_z")
+            textmodel.save_run(spark, path, fitted, scaler, history)
+        finally:
+            df.unpersist()
     return land_once(spark, sf_dir, f"run-{run}", write)
 
 
