@@ -140,3 +140,37 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Score rows; keeps the input columns plus ``pred_z``."""
     keep = df.columns
     return model.transform(df).select(*keep, PREDICTION_Z)
+
+
+def score_in_batches(model: PipelineModel, df: DataFrame, make_predict_fn, batch_size: int = 4096,
+                     target: str = PREDICTION_Z) -> DataFrame:
+    """Score with an external model: Spark computes the features with the
+    fitted feature stages, ``make_predict_fn()`` returns a function from a
+    ``(batch, features)`` float array to predictions, applied per Arrow batch
+    on the executors (``predict_batch_udf``; the model is built once per
+    Python worker)."""
+    from pyspark.ml.functions import predict_batch_udf, vector_to_array
+
+    feats = PipelineModel(stages=model.stages[:-1]).transform(df)
+    width = len(model.stages[-1].coefficients) if hasattr(model.stages[-1], "coefficients") else None
+    udf = predict_batch_udf(make_predict_fn, return_type=T.DoubleType(), batch_size=batch_size,
+                            input_tensor_shapes=[[width]] if width else None)
+    keep = df.columns
+    return feats.select(*keep, udf(vector_to_array(FEATURES)).alias(target))
+
+
+def linear_predict_fn(model: PipelineModel):
+    """A numpy scorer equivalent to the fitted linear stage (for ``score_in_batches``)."""
+    lin = model.stages[-1]
+    coef = lin.coefficients.toArray()
+    intercept = float(lin.intercept)
+
+    def make():
+        import numpy as np
+
+        w = np.asarray(coef)
+
+        def predict(x):
+            return x @ w + intercept
+        return predict
+    return make

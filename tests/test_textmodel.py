@@ -67,3 +67,16 @@ def test_metrics_csv_has_every_run(spark):
 def test_missing_model_is_a_clear_error(tmp_path):
     with pytest.raises(FileNotFoundError):
         Q.textmodel.load_model(str(tmp_path / "none"))
+
+
+def test_batch_scorer_matches_spark_model(spark):
+    path = Q.training_run(spark, SF)
+    fitted = Q.textmodel.load_model(path)
+    df, _ = Q.modelling_frame(spark, SF)
+    df = df.select(S.URL, S.DAYS_PASSED, Q.TEXT_RUNS[Q.MAIN_RUN])
+    text = Q.TEXT_RUNS[Q.MAIN_RUN]
+    want = sorted((r[S.URL], r[text], r["pred_z"]) for r in Q.textmodel.predict(fitted, df).collect())
+    batch = Q.textmodel.score_in_batches(fitted, df, Q.textmodel.linear_predict_fn(fitted), batch_size=256)
+    got = sorted((r[S.URL], r[text], r["pred_z"]) for r in batch.collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(math.isclose(g[2], w[2], rel_tol=1e-9, abs_tol=1e-9) for g, w in zip(got, want))
