@@ -1,6 +1,6 @@
 """Regression error metrics as single-pass aggregates.
 
-The reference computes mse, rmse, mae and r2 (and, in one place, SMAPE) on
+The original analysis computes mse, rmse, mae and r2 (and, in one place, SMAPE) on
 collected arrays; here they are one ``agg`` over the scored rows, partial
 aggregation on every task and a tiny final merge.
 """

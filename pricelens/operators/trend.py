@@ -29,7 +29,7 @@ BLOCK = 512
 
 def lowess_fit(x: np.ndarray, y: np.ndarray, frac: tuple[int, int] = S.ORIGINAL_LOWESS_FRAC,
                iterations: int = S.ORIGINAL_LOWESS_ITERATIONS) -> np.ndarray:
-    """Smoothed values at ``x`` (distinct, any order) -- the reference rule set.
+    """Smoothed values at ``x`` (distinct, any order) -- the charting library rule set.
 
     k = floor(n * a / b) nearest points (self included); h = distance of the
     k-th nearest; weight (1 - (d/h)^3)^3 for d < h, else 0; the local line
