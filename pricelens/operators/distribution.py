@@ -1,17 +1,22 @@
 """Price distributions per group: box statistics, histogram, Gaussian KDE.
 
-All three start by folding rows into ``(group, value, weight)`` with a
-partial/final aggregate, so a hot group costs one map-side combine rather
-than a single task holding its rows.
+All are partial/final aggregates over the rows themselves: a hot group costs
+map-side combines rather than a single task holding its rows, and no
+distinct value is shuffled.  Per-group tables (quartiles, starts, bandwidths)
+have one row a group and are broadcast only where ``max_groups`` bounds them.
+Nothing is rounded here.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricelens.operators.joins import bounded_broadcast
 from pricelens.operators.ranking import exact_quantiles
@@ -24,43 +29,24 @@ def _present(df: DataFrame, group_cols: Sequence[str], value: str) -> DataFrame:
     return out
 
 
-def _fold(df: DataFrame, group_cols: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("_w"))
-
-
-def box_stats(df: DataFrame, group_cols: Sequence[str], value: str, digits: int = 6,
-              max_groups: int | None = None) -> DataFrame:
+def box_stats(df: DataFrame, group_cols: Sequence[str], value: str, max_groups: int | None = None) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whisker ends and outlier count per group.
 
-    Quartiles are exact, linear interpolation (the charting default).  The
-    per-group quartile table has one row per group; it is broadcast to the
-    folded values only when ``max_groups`` bounds it, else the planner
-    picks the join from its measured size.
+    Quartiles are exact, linear interpolation (the charting default).
     """
     g = list(group_cols)
     rows = _present(df, g, value)
-    folded = _fold(rows, g, value)
     quart = exact_quantiles(rows, g, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"], max_groups)
-    fences = quart.select(*g, "q1", "median", "q3",
-                          (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_fence"),
-                          (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_fence"))
-    v, w = F.col(value), F.col("_w")
-    inside_lo = v >= F.col("lower_fence")
-    inside_hi = v <= F.col("upper_fence")
-    stats = (folded.join(bounded_broadcast(fences, max_groups), g)
-             .groupBy(*g)
-             .agg(F.sum(w).alias("n"),
-                  F.min(v).alias("min"), F.max(v).alias("max"),
-                  (F.sum(v * w) / F.sum(w)).alias("mean"),
-                  F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-                  F.first("lower_fence").alias("lower_fence"), F.first("upper_fence").alias("upper_fence"),
-                  F.min(F.when(inside_lo, v)).alias("whisker_low"),
-                  F.max(F.when(inside_hi, v)).alias("whisker_high"),
-                  F.sum(F.when(~(inside_lo & inside_hi), w).otherwise(F.lit(0))).alias("n_outliers")))
-    num = ["min", "max", "mean", "q1", "median", "q3", "lower_fence", "upper_fence", "whisker_low", "whisker_high"]
-    return stats.select(*g, F.col("n").cast("long").alias("n"),
-                        *[F.round(F.col(c), digits).alias(c) for c in num],
-                        F.col("n_outliers").cast("long").alias("n_outliers"))
+    spread = F.col("q3") - F.col("q1")
+    fences = quart.select(*g, "q1", "median", "q3", (F.col("q1") - 1.5 * spread).alias("lower_fence"), (F.col("q3") + 1.5 * spread).alias("upper_fence"))
+    v = F.col(value)
+    inside_lo, inside_hi = v >= F.col("lower_fence"), v <= F.col("upper_fence")
+    return (rows.join(bounded_broadcast(fences, max_groups), g)
+                .groupBy(*g, "q1", "median", "q3", "lower_fence", "upper_fence")
+                .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
+                     F.min(F.when(inside_lo, v)).alias("whisker_low"), F.max(F.when(inside_hi, v)).alias("whisker_high"),
+                     F.count_if(~(inside_lo & inside_hi)).alias("n_outliers"))
+                .select(*g, "n", "min", "max", "mean", "q1", "median", "q3", "lower_fence", "upper_fence", "whisker_low", "whisker_high", "n_outliers"))
 
 
 def histogram(df: DataFrame, group_cols: Sequence[str], value: str, width: float,
@@ -71,53 +57,58 @@ def histogram(df: DataFrame, group_cols: Sequence[str], value: str, width: float
     """
     g = list(group_cols)
     rows = _present(df, g, value)
-    folded = _fold(rows, g, value)
-    starts = folded.groupBy(*g).agg(F.min(value).alias("_start"), F.sum("_w").alias("_total"))
+    starts = rows.groupBy(*g).agg(F.min(value).alias("_start"), F.count(F.lit(1)).alias("_total"))
     idx = F.floor((F.col(value) - F.col("_start")) / F.lit(float(width))).cast("int")
-    binned = (folded.join(bounded_broadcast(starts, max_groups), g)
-                    .groupBy(*g, idx.alias("bin_index"))
-                    .agg(F.sum("_w").alias("n"), F.first("_start").alias("_start"), F.first("_total").alias("_total")))
+    binned = (rows.join(bounded_broadcast(starts, max_groups), g)
+                  .groupBy(*g, idx.alias("bin_index"), "_start", "_total").agg(F.count(F.lit(1)).alias("n")))
     return binned.select(
         *g, "bin_index",
-        (F.col("_start") + F.col("bin_index") * F.lit(float(width))).alias("bin_start"),
-        F.col("n").cast("long").alias("n"),
+        (F.col("_start") + F.col("bin_index") * F.lit(float(width))).alias("bin_start"), "n",
         (F.col("n") / (F.col("_total") * F.lit(float(width)))).alias("density"))
 
 
-def kde(df: DataFrame, group_cols: Sequence[str], value: str, points: int = 500, digits: int = 14,
-        reach: float = 40.0, max_groups: int | None = None) -> DataFrame:
+#: Kernel values computed at a time in a task (rows of a piece times grid points).
+_KDE_CELLS = 1 << 20
+
+
+def kde(df: DataFrame, group_cols: Sequence[str], value: str, points: int = 500,
+        max_groups: int | None = None) -> DataFrame:
     """Gaussian KDE per group on ``points`` grid positions from min to max.
 
-    Bandwidth is Scott's rule, ``h = stddev_samp * n^(-1/5)``.  Each distinct
-    value only visits grid positions within ``reach * h``; beyond 38.6 h the
-    kernel underflows to exactly 0.0 in double precision, so the sum equals
-    the all-pairs sum while work stays linear in the distinct values.
+    Bandwidth is Scott's rule, ``h = stddev_samp * n^(-1/5)``; groups of one
+    row or one value have none and are left out.  Each task adds up, for every
+    group it meets, a vector of ``points`` kernel sums over Arrow batches and
+    hands on that vector alone: groups x points rows a task, none a value.
     """
     g = list(group_cols)
     rows = _present(df, g, value)
-    folded = _fold(rows, g, value)
     stats = (rows.groupBy(*g)
                  .agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
                       F.stddev_samp(value).alias("_sd"))
                  .filter((F.col("_n") >= 2) & (F.col("_sd") > 0))
-                 .withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-                 .withColumn("_step", (F.col("_hi") - F.col("_lo")) / F.lit(float(points))))
-    last = points - 1
-    v = F.col(value)
-    j_from = F.greatest(F.lit(0), F.ceil((v - F.lit(reach) * F.col("_h") - F.col("_lo")) / F.col("_step")).cast("int"))
-    j_to = F.least(F.lit(last), F.floor((v + F.lit(reach) * F.col("_h") - F.col("_lo")) / F.col("_step")).cast("int"))
+                 .withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))))
+    known = rows.join(bounded_broadcast(stats, max_groups), g).select(*g, F.col(value).cast("double").alias("_v"), "_n", "_lo", "_hi", "_h")
+    out = T.StructType([known.schema[c] for c in [*g, "_n", "_lo", "_hi", "_h"]] + [T.StructField("grid_index", T.IntegerType()), T.StructField("_s", T.DoubleType())])
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        steps = np.arange(points)
+        for frame in batches:
+            for key, part in frame.groupby([*g, "_n", "_lo", "_hi", "_h"], sort=False):
+                n_, lo, hi, h = key[len(g):]
+                x = lo + (steps * (hi - lo)) / float(points)
+                total = sums.setdefault(key, np.zeros(points))
+                values, weight = np.unique(part["_v"].to_numpy(), return_counts=True)
+                block = max(1, _KDE_CELLS // points)
+                for a in range(0, len(values), block):
+                    z = (x[None, :] - values[a:a + block, None]) / h
+                    total += weight[a:a + block] @ np.exp(-0.5 * z * z)
+        for key, total in sums.items():
+            fixed = dict(zip([*g, "_n", "_lo", "_hi", "_h"], key, strict=True))
+            yield pd.DataFrame({**{c: [v] * points for c, v in fixed.items()}, "grid_index": steps.astype(np.int32), "_s": total})
+
+    per_task = known.mapInPandas(add_up, out)
     x = F.col("_lo") + (F.col("grid_index") * (F.col("_hi") - F.col("_lo"))) / F.lit(float(points))
-    contrib = (folded.join(bounded_broadcast(stats, max_groups), g)
-                     .filter(j_from <= j_to)
-                     .select(*g, v, "_w", "_h", "_lo", "_hi",
-                             F.explode(F.sequence(j_from, j_to)).alias("grid_index"))
-                     .withColumn("_z", (x - v) / F.col("_h"))
-                     .withColumn("_k", F.col("_w") * F.exp(F.lit(-0.5) * F.col("_z") * F.col("_z")))
-                     .groupBy(*g, "grid_index").agg(F.sum("_k").alias("_s")))
-    grid = stats.select(*g, "_n", "_h", "_lo", "_hi",
-                        F.explode(F.sequence(F.lit(0), F.lit(last))).alias("grid_index"))
     norm = F.col("_n") * F.col("_h") * F.lit(math.sqrt(2.0 * math.pi))
-    return (grid.join(contrib, [*g, "grid_index"], "left")
-                .select(*g, F.col("grid_index").cast("int").alias("grid_index"),
-                        F.round(x, 6).alias("x"),
-                        F.round(F.coalesce(F.col("_s"), F.lit(0.0)) / norm, digits).alias("density")))
+    return (per_task.groupBy(*g, "_n", "_lo", "_hi", "_h", "grid_index").agg(F.sum("_s").alias("_s"))
+                    .select(*g, "grid_index", x.alias("x"), (F.col("_s") / norm).alias("density")))

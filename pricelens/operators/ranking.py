@@ -1,149 +1,95 @@
-"""Exact ranks and running totals without one-task-per-group windows.
+"""Exact ranks and quantiles without one-task-per-group windows.
 
 A ``Window.partitionBy(g).orderBy(v)`` puts every row of a group into one
-task; a group holding a third of the data would then run on one core.  Here
-the rows are globally sorted instead: the range partitioner splits a hot
-group over many tasks.  Each task computes running totals of its own slice
-(one pass, Arrow batches), a tiny table of per-(partition, group) totals
-gives every slice its offset, and a broadcast join adds it back.
-
-Requirements: the sort key ``(group, order)`` must be unique (callers
-pre-aggregate duplicates into a weight), so the order -- and the result --
-is the same on every retry.  The per-slice totals and the rows read the
-same range-partitioned exchange (``spark.sql.exchange.reuse``, on by
-default and pinned in the session), so both see one set of range bounds;
-a lost map output is recomputed with that same partitioner.
+task; a group holding a third of the data would then run on one core.
+
+* ``global_rank`` sorts globally (the range partitioner splits anything) and
+  writes the sorted frame once with each row's place in its partition; the
+  per-partition counts and the rows are then both read from that one copy, so
+  no result depends on a sort being run, or reused, twice alike.
+* ``exact_quantiles`` never sorts: each wanted rank has an interval of values,
+  rows in it are counted in fixed-width buckets (a partial/final aggregate),
+  and the interval shrinks to the bucket that holds the rank until it is one
+  value.  What moves is a bucket count, never a group's rows.
+
+Group keys may be null: all joins on them are null-safe.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pricelens.operators.joins import bounded_broadcast, shuffle_partitions
+from pricelens.session import landed
 
-PID = "_pid"
-LOCAL = "_local"
-OFFSET = "_offset"
-GROUP_TOTAL = "_group_total"
-CONST_GROUP = "_g"
-
-
-def _local_running(group_cols: Sequence[str], weight: str | None):
-    def run(batches):
-        carry_key, carry_sum = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{LOCAL: pd.Series([], dtype="int64")})
-                continue
-            w = (pdf[weight].to_numpy() if weight else np.ones(len(pdf), dtype=np.int64))
-            w = w.astype(np.int64) if np.issubdtype(w.dtype, np.integer) else w.astype(np.float64)
-            cols = [pdf[c].to_numpy() for c in group_cols]
-            change = np.zeros(len(pdf), dtype=bool)
-            change[0] = True
-            for a in cols:  # vectorised "key differs from the previous row"
-                change[1:] |= a[1:] != a[:-1]
-            first_key = tuple(a[0] for a in cols)
-            last_key = tuple(a[-1] for a in cols)
-            seg = np.cumsum(change) - 1
-            csum = np.cumsum(w)
-            starts = np.flatnonzero(change)
-            base = np.concatenate(([0], csum[starts[1:] - 1])) if len(starts) > 1 else np.array([0], dtype=csum.dtype)
-            local = csum - base[seg]
-            if carry_key is not None and first_key == carry_key:
-                local[seg == 0] += carry_sum
-            carry_key, carry_sum = last_key, local[-1]
-            yield pdf.assign(**{LOCAL: local})
-    return run
-
-
-def running_total(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-                  weight: str | None = None, max_groups: int | None = None) -> DataFrame:
-    """Add ``_cum`` (inclusive running sum of ``weight``, or row number) and
-    ``_group_total`` within each group, in ``order_cols`` order.
-
-    The offsets table has at most ``#partitions + #groups`` rows (each range
-    partition holds a contiguous run of groups).  With ``max_groups`` known
-    (or no groups) that bound is proven and the table is broadcast;
-    otherwise the planner sizes the join at runtime.
-    """
-    groups = list(group_cols)
-    if not groups:
-        df = df.withColumn(CONST_GROUP, F.lit(0))
-        groups = [CONST_GROUP]
-    ordered = df.orderBy(*[F.col(g) for g in groups], *order_cols)
-    tagged = ordered.withColumn(PID, F.spark_partition_id())
-    wtype = T.LongType()
-    if weight is not None and not isinstance(df.schema[weight].dataType, (T.LongType, T.IntegerType,
-                                                                         T.ShortType, T.ByteType)):
-        wtype = T.DoubleType()
-    out_schema = T.StructType(tagged.schema.fields + [T.StructField(LOCAL, wtype, False)])
-    local = tagged.mapInPandas(_local_running(groups, weight), out_schema)
-
-    totals = local.groupBy(*groups, PID).agg(F.max(LOCAL).alias("_ptot"))
-    # One row per (partition, group): bounded by #partitions + #groups.
-    before = Window.partitionBy(*groups).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    offsets = totals.select(*groups, PID,
-                            F.coalesce(F.sum("_ptot").over(before), F.lit(0)).alias(OFFSET),
-                            F.sum("_ptot").over(whole).alias(GROUP_TOTAL))
-    n_groups = 1 if CONST_GROUP in groups else max_groups
-    bound = None if n_groups is None else shuffle_partitions(df.sparkSession) + n_groups
-    offsets = bounded_broadcast(offsets, bound)
-    out = (local.join(offsets, [*groups, PID])
-                .withColumn("_cum", F.col(OFFSET) + F.col(LOCAL))
-                .drop(PID, LOCAL, OFFSET))
-    if CONST_GROUP in groups and CONST_GROUP not in group_cols:
-        out = out.drop(CONST_GROUP)
-    return out
+#: Buckets an interval is cut into in each round.
+BUCKETS = 1024
+_ROW_BITS = 33  # of monotonically_increasing_id: the place in a partition
 
 
 def global_rank(df: DataFrame, order_cols: Sequence[str | Column], name: str = "rank") -> DataFrame:
-    """1-based position in a total order over the whole DataFrame, distributed."""
-    return (running_total(df, [], order_cols)
-            .withColumnRenamed("_cum", name).drop(GROUP_TOTAL))
+    """1-based position in a total order over the whole DataFrame, distributed.
+
+    The order must be total for the ranks to be the same on every run.
+    """
+    at = F.col("_at")
+    placed = landed(df.orderBy(*order_cols).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright(at, _ROW_BITS)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    offsets = bounded_broadcast(offsets, shuffle_partitions(df.sparkSession))
+    return (placed.withColumn("_part", part).join(offsets, "_part")
+                  .withColumn(name, F.col("_before") + at.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1)
+                  .drop("_at", "_part", "_before"))
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """Null-safe equality of all keys (true when there are none)."""
+    return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value: str, probs: Sequence[float],
                     names: Sequence[str], max_groups: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles (type 7) per group.
+    """Exact linear-interpolation quantiles (type 7) per group; null and NaN values are left out.
 
-    Duplicates are first folded into ``(group, value, weight)`` by a
-    partial/final aggregate; ranks then come from :func:`running_total`, and
-    only the <= 2 rows per quantile that straddle its position survive to
-    the final per-group aggregate.
+    Every round reads the rows once, counts those in the open intervals by
+    bucket and keeps, for each wanted rank, the smallest and largest value of
+    the bucket that holds it.  Intervals shrink ``BUCKETS``-fold a round (or to
+    the values there are), so a few rounds end on single values.  The interval
+    table has at most ``2 * len(probs)`` rows a group.
     """
     g = list(group_cols)
-    folded = (df.filter(F.col(value).isNotNull())
-                .groupBy(*g, value).agg(F.count(F.lit(1)).alias("_w")))
-    ranked = running_total(folded, g, [F.col(value)], "_w", max_groups)
-    first = F.col("_cum") - F.col("_w")              # 0-based rank of first copy
-    last = F.col("_cum") - F.lit(1)                  # 0-based rank of last copy
-    pos = [(F.col(GROUP_TOTAL) - 1).cast("double") * F.lit(float(p)) for p in probs]
-    lo = [F.floor(p) for p in pos]
-    hi = [F.ceil(p) for p in pos]
-
-    def covers(r):
-        return (first <= r) & (r <= last)
-
-    keep = None
-    for a, b in zip(lo, hi):
-        c = covers(a) | covers(b)
-        keep = c if keep is None else keep | c
-    picked = ranked.filter(keep)
-    aggs = []
-    for i, (a, b) in enumerate(zip(lo, hi)):
-        aggs += [F.max(F.when(covers(a), F.col(value))).alias(f"_lo{i}"),
-                 F.max(F.when(covers(b), F.col(value))).alias(f"_hi{i}"),
-                 F.first(pos[i]).alias(f"_pos{i}")]
-    per = picked.groupBy(*g).agg(*aggs, F.first(GROUP_TOTAL).alias("n"))
-    outs = []
-    for i, nm in enumerate(names):
-        frac = F.col(f"_pos{i}") - F.floor(F.col(f"_pos{i}"))
-        outs.append((F.col(f"_lo{i}") + frac * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm))
-    return per.select(*g, "n", *outs)
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*g, F.col(value).alias("_v"))
+    ranks = sorted({p for p in probs})
+    positions = [(F.col("_n") - 1).cast("double") * F.lit(float(p)) for p in ranks]
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p).cast("long"), F.ceil(p).cast("long")) for p in positions])))
+    stats = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    targets = landed(stats.select(*g, "_n", F.explode(wanted).alias("_rank"), F.lit(0).cast("long").alias("_below"), "_lo", "_hi"), "quantiles")
+    bound = None if max_groups is None else max_groups * 2 * len(ranks)
+    while not targets.filter("_lo < _hi").isEmpty():
+        span = targets.filter("_lo < _hi").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(g)], F.col("_lo").alias("_a"), F.col("_hi").alias("_b")).distinct()
+        on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(g)], F.col("_v").between(F.col("_a"), F.col("_b")))
+        width = F.col("_b").cast("double") - F.col("_a").cast("double")
+        bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("_v") - F.col("_a")).cast("double") / width * BUCKETS)).cast("int")
+        counted = (rows.join(bounded_broadcast(span, bound), on)
+                       .groupBy(*g, "_a", "_b", bucket.alias("_bucket"))
+                       .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last")))
+        before = Window.partitionBy(*g, "_a", "_b").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
+        cells = counted.withColumn("_under", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        cells = cells.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(g)], "_a", "_b", "_c", "_first", "_last", "_under")
+        here = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(g)], (F.col("_lo") == F.col("_a")) & (F.col("_hi") == F.col("_b")))
+        found = F.col("_rank") - F.col("_below") - F.col("_under")
+        narrowed = (targets.filter("_lo < _hi").join(cells, here).filter((found >= 0) & (found < F.col("_c")))
+                           .select(*g, "_n", "_rank", (F.col("_below") + F.col("_under")).alias("_below"), F.col("_first").alias("_lo"), F.col("_last").alias("_hi")))
+        targets = landed(targets.filter("_lo = _hi").unionByName(narrowed), "quantiles")
+    at = [(F.col("_n") - 1).cast("double") * F.lit(float(p)) for p in probs]
+    value_at = [(F.max(F.when(F.col("_rank") == F.floor(p), F.col("_lo"))), F.max(F.when(F.col("_rank") == F.ceil(p), F.col("_lo")))) for p in at]
+    per = targets.groupBy(*g, "_n").agg(*[x for i, (a, b) in enumerate(value_at) for x in (a.alias(f"_lo{i}"), b.alias(f"_hi{i}"))])
+    out = [(F.col(f"_lo{i}") + (p - F.floor(p)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm) for i, (p, nm) in enumerate(zip(at, names, strict=True))]
+    return per.select(*g, F.col("_n").alias("n"), *out)

@@ -1,8 +1,9 @@
-"""Text -> price regression with Spark ML, its artifacts and its forecast.
+"""Text -> price regression with Spark ML: the plug-in next to ``tokenmean``.
 
 The original fine-tunes a language model for a few epochs, evaluating on a
 validation split after each one, keeps checkpoints, pickles its label
-scaler and writes a training-state JSON.  Here:
+scaler and writes a training-state JSON.  The default estimator is
+``tokenmean``; this one takes any Spark ML stages.  Here:
 
 * features: ``RegexTokenizer`` (letters/digits in any script) ->
   ``HashingTF`` -> ``IDF``, plus the day offset as a number; fitted on the
@@ -25,7 +26,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -96,6 +99,8 @@ def fit_candidates(train: DataFrame, val: DataFrame, text: str, label: str,
     finally:
         tr.unpersist()
         va.unpersist()
+    if best is None:
+        raise ValueError("the validation split is empty: no candidate can be chosen")
     return PipelineModel(stages=[*feats.stages, best]), history
 
 
@@ -111,12 +116,10 @@ def save_run(spark: SparkSession, path: str, model: PipelineModel, scaler: DataF
 
 
 def load_model(path: str) -> PipelineModel:
-    import os
-
-    local = path.replace("file:", "", 1) if path.startswith("file:") else path
-    if "://" not in path and not os.path.exists(f"{local}/model"):
-        raise FileNotFoundError(f"no trained model under {path}; run the training job first")
-    return PipelineModel.load(f"{path}/model")
+    try:
+        return PipelineModel.load(f"{path}/model")
+    except (Py4JJavaError, PySparkException) as missing:  # any store: the reader itself says that nothing is there
+        raise FileNotFoundError(f"no trained model under {path}; run the training job first") from missing
 
 
 def read_scaler(spark: SparkSession, path: str) -> DataFrame:

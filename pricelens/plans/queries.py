@@ -1,21 +1,21 @@
 """Named queries over the driver's tables: ``(spark, sf_dir) -> DataFrame``.
 
 Each query reads the whole tables (through the landed ``listings``
-relation) and returns a lazily planned DataFrame with aliased columns that
-match its SQL oracle in :mod:`pricelens.plans.sql`.
+relation) and returns a DataFrame with aliased columns that match its SQL oracle in
+:mod:`pricelens.plans.sql`.  The last step is planned lazily; building a
+query may land shared inputs, fit a model or run a stream first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens import schema as S
 from pricelens.functions import days_prompt
-from pricelens.operators import clean, distribution, metrics, model, profile, reshape, textmodel, tokens, trend
+from pricelens.operators import clean, distribution, metrics, model, profile, reshape, textmodel, tokenmean, tokens, trend
 from pricelens.functions import stable_bucket
 from pricelens.session import scratch_path
 from pricelens.sources import files
@@ -42,7 +42,10 @@ def _explore(spark, sf_dir) -> DataFrame:
 
 
 def prepared(spark, sf_dir) -> DataFrame:
-    return clean.prepared(listings(spark, sf_dir), TABLE_FILTERS, TABLE_PRICE_CLIP, TABLE_LADDER)
+    """Cleaned rows with day offset, prompts, tag and split, landed once: the modelling queries read this, not the listings."""
+    def write(path):
+        model.add_split(clean.prepared(listings(spark, sf_dir), TABLE_FILTERS, TABLE_PRICE_CLIP, TABLE_LADDER)).write.parquet(path)
+    return spark.read.parquet(land_once(spark, sf_dir, "prepared", write))
 
 
 # --- step 1: the cleaning pipeline ------------------------------------------
@@ -72,7 +75,7 @@ def q_date_viewport(spark, sf_dir):
 
 @query("price_viewport")
 def q_price_viewport(spark, sf_dir):
-    """Price axis viewport of the distribution chart (after the statistics, not before)."""
+    """Listings inside the price axis viewport (the statistics' own viewports are further down)."""
     lo, hi = TABLE_PRICE_VIEWPORT
     return clean.viewport(_explore(spark, sf_dir), S.PRICE, F.lit(lo), F.lit(hi))
 
@@ -165,14 +168,23 @@ def _tagged(spark, sf_dir) -> DataFrame:
     return _explore(spark, sf_dir).filter(F.col(S.PHONE_MODEL).isNotNull())
 
 
+BOX_NUMBERS = ["min", "max", "mean", "q1", "median", "q3", "lower_fence", "upper_fence", "whisker_low", "whisker_high"]
+
+
+def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """Digits that both engines agree on; the operators themselves don't round."""
+    return df.select(*[F.round(F.col(c), digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+
+
 @query("box_by_model")
 def q_box_by_model(spark, sf_dir):
-    return distribution.box_stats(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE, max_groups=len(TABLE_LADDER))
+    box = distribution.box_stats(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE, max_groups=len(TABLE_LADDER))
+    return _rounded(box, dict.fromkeys(BOX_NUMBERS, 6))
 
 
 @query("box_by_date_model")
 def q_box_by_date_model(spark, sf_dir):
-    return distribution.box_stats(_tagged(spark, sf_dir), [S.PHONE_MODEL, S.DATE], S.PRICE)
+    return _rounded(distribution.box_stats(_tagged(spark, sf_dir), [S.PHONE_MODEL, S.DATE], S.PRICE), dict.fromkeys(BOX_NUMBERS, 6))
 
 
 @query("price_histogram")
@@ -183,15 +195,36 @@ def q_price_histogram(spark, sf_dir):
 
 @query("price_kde")
 def q_price_kde(spark, sf_dir):
-    return distribution.kde(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE, S.ORIGINAL_KDE_POINTS,
-                            max_groups=len(TABLE_LADDER))
+    curve = distribution.kde(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE, S.ORIGINAL_KDE_POINTS,
+                             max_groups=len(TABLE_LADDER))
+    return _rounded(curve, {"x": 6, "density": 14})
+
+
+# Chart viewports are applied to the finished statistics: the axis is cut, the numbers stay.
+
+@query("box_date_viewport")
+def q_box_date_viewport(spark, sf_dir):
+    lo, hi = (F.to_date(F.lit(d)) for d in TABLE_DATE_VIEWPORT)
+    return clean.viewport(q_box_by_date_model(spark, sf_dir), S.DATE, lo, hi)
+
+
+@query("histogram_viewport")
+def q_histogram_viewport(spark, sf_dir):
+    lo, hi = TABLE_PRICE_VIEWPORT
+    return clean.viewport(q_price_histogram(spark, sf_dir), "bin_start", F.lit(lo), F.lit(hi))
+
+
+@query("kde_viewport")
+def q_kde_viewport(spark, sf_dir):
+    lo, hi = TABLE_PRICE_VIEWPORT
+    return clean.viewport(q_price_kde(spark, sf_dir), "x", F.lit(lo), F.lit(hi))
 
 
 # --- step 5: scaling, split, error metrics ------------------------------------
 
 def modelling_frame(spark, sf_dir) -> DataFrame:
     """Prepared rows with split and the scaler fitted on the training split."""
-    df = model.add_split(prepared(spark, sf_dir))
+    df = prepared(spark, sf_dir)
     scaler = model.fit_scaler(df.filter(F.col(model.SPLIT) == model.TRAIN))
     return model.scale(df, scaler), scaler
 
@@ -206,7 +239,7 @@ def scored(spark, sf_dir) -> DataFrame:
 
 @query("split_counts")
 def q_split_counts(spark, sf_dir):
-    df = model.add_split(prepared(spark, sf_dir))
+    df = prepared(spark, sf_dir)
     return df.groupBy(model.SPLIT).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -248,7 +281,7 @@ def q_test_rmse(spark, sf_dir):
 
 def trend_forecast(spark, sf_dir) -> DataFrame:
     """Per-tag least-squares trend of price on days (training split) over days 1..89."""
-    df = model.add_split(prepared(spark, sf_dir)).filter(F.col(S.PHONE_MODEL).isNotNull())
+    df = prepared(spark, sf_dir).filter(F.col(S.PHONE_MODEL).isNotNull())
     train = df.filter(F.col(model.SPLIT) == model.TRAIN)
     trend = model.fit_trend(train, [S.PHONE_MODEL], S.DAYS_PASSED, S.PRICE)
     grid = model.day_grid(df.select(S.PHONE_MODEL).distinct())
@@ -296,7 +329,7 @@ def q_lowess_trend(spark, sf_dir):
 
 @query("tokens_padded")
 def q_tokens_padded(spark, sf_dir):
-    df = model.add_split(prepared(spark, sf_dir))
+    df = prepared(spark, sf_dir)
     vocab = tokens.fit_vocabulary(df.filter(F.col(model.SPLIT) == model.TRAIN), S.DAYS_PASSED_NAME_DESC)
     out = tokens.tokenize(df, S.DAYS_PASSED_NAME_DESC, vocab, S.ORIGINAL_MAX_LENGTH_TRAIN)
     return out.select(S.URL, model.SPLIT, tokens.INPUT_IDS, tokens.ATTENTION_MASK, tokens.N_TOKENS)
@@ -386,24 +419,15 @@ def q_roundtrip_listings(spark, sf_dir):
 # Training runs: prompt variant per run, as the original published both.
 TEXT_RUNS = {"days_name": S.DAYS_PASSED_NAME, "days_name_desc": S.DAYS_PASSED_NAME_DESC}
 MAIN_RUN = "days_name_desc"
+# Forecast prompts hold a name only, so they go to the run trained on names.
+FORECAST_RUN = "days_name"
 
 
 def training_run(spark, sf_dir, run: str = MAIN_RUN) -> str:
     """Fit the candidates once per process and input; returns the artifact folder."""
     def write(path):
         df, scaler = modelling_frame(spark, sf_dir)
-        # Fitting reads the rows several times (IDF, train and val features):
-        # keep them (memory, spilling to disk) rather than re-plan the cleaning
-        # and its subqueries each time; a lost block is recomputed from lineage.
-        df = df.select(S.URL, model.SPLIT, S.DAYS_PASSED, *TEXT_RUNS.values(), "price_z") \
-               .persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            train = df.filter(F.col(model.SPLIT) == model.TRAIN)
-            val = df.filter(F.col(model.SPLIT) == model.VAL)
-            fitted, history = textmodel.fit_candidates(train, val, TEXT_RUNS[run], "price_z")
-            textmodel.save_run(spark, path, fitted, scaler, history)
-        finally:
-            df.unpersist()
+        tokenmean.fit_run(df, path, TEXT_RUNS[run], "price_z", scaler)
     return land_once(spark, sf_dir, f"run-{run}", write)
 
 
@@ -416,10 +440,9 @@ def _history_price_units(spark, sf_dir, run: str = MAIN_RUN, mode: str = "correc
 @query("text_regression_eval")
 def q_text_regression_eval(spark, sf_dir):
     path = training_run(spark, sf_dir)
-    fitted = textmodel.load_model(path)
     df, _ = modelling_frame(spark, sf_dir)
-    scaler = textmodel.read_scaler(spark, path)
-    out = model.unscale(textmodel.predict(fitted, df), scaler, textmodel.PREDICTION_Z, "prediction")
+    scored = tokenmean.predict(tokenmean.load_run(spark, path), df, TEXT_RUNS[MAIN_RUN])
+    out = model.unscale(scored, textmodel.read_scaler(spark, path), textmodel.PREDICTION_Z, "prediction")
     return metrics.regression_metrics(out, S.PRICE, "prediction", [model.SPLIT])
 
 
@@ -439,23 +462,35 @@ def q_best_epoch(spark, sf_dir):
     return metrics.rounded(metrics.best_epoch(_history_price_units(spark, sf_dir), "rmse"), ["rmse"])
 
 
-def text_forecast(spark, sf_dir, run: str = MAIN_RUN) -> DataFrame:
-    """``prompt, day, price``: every sub-model phrase over days 1..89, priced by the model."""
-    path = training_run(spark, sf_dir, run)
-    fitted = textmodel.load_model(path)
-    tags = (prepared(spark, sf_dir).filter(F.col(S.PHONE_MODEL).isNotNull())
-            .select(F.col(S.PHONE_MODEL).alias("prompt")).distinct())
-    grid = model.day_grid(tags)
-    text = TEXT_RUNS[run]
-    grid = grid.withColumn(text, days_prompt("day", "prompt")).withColumn(S.DAYS_PASSED, F.col("day"))
-    scored = model.unscale(textmodel.predict(fitted, grid), textmodel.read_scaler(spark, path),
-                           textmodel.PREDICTION_Z, S.PRICE)
-    return scored.select("prompt", "day", F.round(S.PRICE, 6).alias(S.PRICE))
+def text_forecast(spark, sf_dir, prompts, days=S.ORIGINAL_DAYS) -> DataFrame:
+    """``prompt, day, price`` (or ``prompt, price`` with ``days=None``) of any texts."""
+    out = tokenmean.predict_text(spark, training_run(spark, sf_dir, FORECAST_RUN), prompts, days)
+    return out.withColumn(S.PRICE, F.round(S.PRICE, 6))
 
 
 @query("text_forecast")
 def q_text_forecast(spark, sf_dir):
-    return text_forecast(spark, sf_dir)
+    return text_forecast(spark, sf_dir, TABLE_LADDER)
+
+
+@query("text_forecast_no_days")
+def q_text_forecast_no_days(spark, sf_dir):
+    return text_forecast(spark, sf_dir, TABLE_LADDER, days=None)
+
+
+@query("forecast_prompts")
+def q_forecast_prompts(spark, sf_dir):
+    """The nine published prompts over days 1..89, days after the last observed one flagged."""
+    out = text_forecast(spark, sf_dir, S.ORIGINAL_PROMPTS)
+    return clean.flag_extrapolated(out, F.lit(S.ORIGINAL_LAST_DAY))
+
+
+@query("forecast_lowess")
+def q_forecast_lowess(spark, sf_dir):
+    """Smoothed forecast curve of each prompt, as the charts draw it."""
+    smooth = trend.lowess(text_forecast(spark, sf_dir, TABLE_LADDER), ["prompt"], "day", S.PRICE)
+    last = prepared(spark, sf_dir).select(F.max(S.DAYS_PASSED)).scalar()
+    return clean.flag_extrapolated(smooth, last)
 
 
 @query("metrics_csv")
@@ -463,7 +498,7 @@ def q_metrics_csv(spark, sf_dir):
     """Per-run metric tables published as CSV (leading index column), read back as one table."""
     paths = {}
     for run in TEXT_RUNS:
-        hist = _history_price_units(spark, sf_dir, run)
+        hist = metrics.rounded(_history_price_units(spark, sf_dir, run))
         paths[run] = scratch_path(spark, f"metrics-{run}")
         out = hist.select(F.col("epoch").alias("_c0"), F.col("mse").alias("MSE"), F.col("mae").alias("MAE"),
                           F.col("rmse").alias("RMSE"), F.col("r2").alias("R2"))
@@ -473,12 +508,8 @@ def q_metrics_csv(spark, sf_dir):
 
 @query("forecast_csv")
 def q_forecast_csv(spark, sf_dir):
-    """Forecast published wide (day x prompt) as CSV, read back and made long again."""
-    fc = text_forecast(spark, sf_dir)
-    prompts = list(TABLE_LADDER)  # the sub-model phrases: a fixed column list, no extra job
-    wide = reshape.long_to_wide(fc, ["day"], "prompt", S.PRICE, prompts)
+    """Forecast published in the wide form (unnamed row index, one column a prompt), read back and made long again."""
+    prompts = list(TABLE_LADDER)
     path = scratch_path(spark, "predictions")
-    wide.coalesce(1).write.option("header", "true").csv(path)
-    back = files.read_predictions_csv(spark, path, prompts)
-    long = reshape.wide_to_long(back, ["day"], prompts, "prompt", S.PRICE)
-    return long.filter(F.col(S.PRICE).isNotNull())
+    files.write_predictions_csv(text_forecast(spark, sf_dir, prompts), path, prompts)
+    return reshape.wide_to_long(files.read_predictions_csv(spark, path, prompts), ["day"], prompts, "prompt", S.PRICE)

@@ -196,6 +196,13 @@ SELECT g.phone_model, g.grid_index, round(g.x, 6) AS x,
              / (g.n * g.h * sqrt(2 * pi())), 14) AS density
 FROM g JOIN e USING (phone_model) GROUP BY g.phone_model, g.grid_index, g.x, g.n, g.h"""
 
+ORACLE["box_date_viewport"] = f"""SELECT * FROM ({ORACLE["box_by_date_model"]}) t
+WHERE date BETWEEN DATE {q(TABLE_DATE_VIEWPORT[0])} AND DATE {q(TABLE_DATE_VIEWPORT[1])}"""
+ORACLE["histogram_viewport"] = f"""SELECT * FROM ({ORACLE["price_histogram"]}) t
+WHERE bin_start BETWEEN {TABLE_PRICE_VIEWPORT[0]!r} AND {TABLE_PRICE_VIEWPORT[1]!r}"""
+ORACLE["kde_viewport"] = f"""SELECT * FROM ({ORACLE["price_kde"]}) t
+WHERE x BETWEEN {TABLE_PRICE_VIEWPORT[0]!r} AND {TABLE_PRICE_VIEWPORT[1]!r}"""
+
 # --- modelling: split, scaler, baseline predictions ---------------------------
 from pricelens import schema as _S  # noqa: E402
 
@@ -264,9 +271,9 @@ SELECT phone_model, day, round(price, 6) AS price,
 FROM fc"""
 
 
-def _lowess_sql(iterations: int = 3) -> str:
-    parts = [f"""pts AS (SELECT phone_model, days_passed AS x, avg(price) AS y FROM prepared
-              WHERE phone_model IS NOT NULL GROUP BY phone_model, days_passed),
+def _lowess_ctes(points: str, iterations: int = 3) -> list[str]:
+    """CTEs up to ``fit<iterations>`` (phone_model, x, y, fit) over ``points`` (phone_model, x, y)."""
+    parts = [f"""pts AS ({points}),
 cnt AS (SELECT phone_model, greatest(1, (count(*) * 2) // 3) AS k FROM pts GROUP BY phone_model),
 pairs AS (SELECT a.phone_model, a.x AS x0, b.x, b.y, abs(b.x - a.x) AS d
           FROM pts a JOIN pts b ON a.phone_model = b.phone_model),
@@ -301,11 +308,13 @@ rw{i + 1} AS (SELECT f.phone_model, f.x,
                           * (1 - ((f.y - f.fit) / (6.0 * m.m)) * ((f.y - f.fit) / (6.0 * m.m)))
                        ELSE 0.0 END AS rw
            FROM fit{i} f JOIN med{i} m ON m.phone_model = f.phone_model)""")
-    return with_(LISTINGS, PREPARED, *parts) + f"""
-SELECT phone_model, x AS days_passed, round(y, 4) AS price, round(fit, 4) AS trend FROM fit{iterations}"""
+    return parts
 
 
-ORACLE["lowess_trend"] = _lowess_sql(_S.ORIGINAL_LOWESS_ITERATIONS)
+ROUNDS = _S.ORIGINAL_LOWESS_ITERATIONS
+LISTING_POINTS = "SELECT phone_model, days_passed AS x, avg(price) AS y FROM prepared WHERE phone_model IS NOT NULL GROUP BY phone_model, days_passed"
+ORACLE["lowess_trend"] = with_(LISTINGS, PREPARED, *_lowess_ctes(LISTING_POINTS, ROUNDS)) + f"""
+SELECT phone_model, x AS days_passed, round(y, 4) AS price, round(fit, 4) AS trend FROM fit{ROUNDS}"""
 
 
 TOKENS = MODELLING + f""",
@@ -361,3 +370,70 @@ WHERE price BETWEEN {TABLE_PRICE_VIEWPORT[0]!r} AND {TABLE_PRICE_VIEWPORT[1]!r}"
 ORACLE["month_pruned_viewport"] = with_(LISTINGS) + f"""
 SELECT url, price, CAST(added_at AS DATE) AS date, strftime(added_at, '%Y-%m') AS month FROM listings
 WHERE CAST(added_at AS DATE) BETWEEN DATE {q(TABLE_DATE_VIEWPORT[0])} AND DATE {q(TABLE_DATE_VIEWPORT[1])}"""
+
+
+# --- text model: shrunken token means ---------------------------------------------
+from pricelens.operators.tokenmean import STRENGTHS  # noqa: E402
+
+WORDS = "list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+STRENGTH_ROWS = ", ".join(f"({e}, {float(k)!r}::DOUBLE)" for e, k in enumerate(STRENGTHS))
+
+
+def _text_run(text: str) -> str:
+    """CTEs of one run: token sums, every epoch's fit and its validation metrics in scaled units."""
+    return MODELLING + f""",
+dl AS (SELECT coalesce(regr_slope(price_z, days_passed), 0.0) AS day_slope, coalesce(regr_intercept(price_z, days_passed), avg(price_z), 0.0) AS day_base,
+              coalesce(avg(days_passed), 0.0) AS mean_day FROM z WHERE split = 'train'),
+rs AS (SELECT url, split, price, price_z, days_passed, price_z - (day_base + day_slope * days_passed) AS r, {WORDS.format(t=text)} AS toks FROM z, dl),
+tt AS (SELECT token, count(*) AS n, sum(r) AS total FROM (SELECT unnest(toks) AS token, r FROM rs WHERE split = 'train') u GROUP BY token),
+ks(epoch, k) AS (VALUES {STRENGTH_ROWS}),
+sc0 AS (SELECT url, epoch, avg(coalesce(total / (n + k), 0.0)) AS s
+        FROM (SELECT url, unnest(toks) AS token FROM rs) u LEFT JOIN tt USING (token) CROSS JOIN ks GROUP BY url, epoch),
+sc1 AS (SELECT rs.url, split, price, r, days_passed, price_z, ks.epoch, coalesce(s, 0.0) AS s
+        FROM rs CROSS JOIN ks LEFT JOIN sc0 ON sc0.url = rs.url AND sc0.epoch = ks.epoch),
+ft AS (SELECT epoch, coalesce(regr_slope(r, s), 0.0) AS gain, coalesce(regr_intercept(r, s), avg(r), 0.0) AS off
+       FROM sc1 WHERE split = 'train' GROUP BY epoch),
+ev AS (SELECT sc1.epoch, avg((off + gain * s - r) * (off + gain * s - r)) AS mse, avg(abs(off + gain * s - r)) AS mae, var_pop(price_z) AS spread
+       FROM sc1 JOIN ft USING (epoch) WHERE split = 'val' GROUP BY sc1.epoch),
+hist AS (SELECT epoch, mse, sqrt(mse) AS rmse, mae, CASE WHEN spread > 0 THEN 1 - mse / spread END AS r2 FROM ev),
+best AS (SELECT epoch FROM hist ORDER BY rmse, epoch LIMIT 1)"""
+
+
+def _forecast(prompts: list[str], days: bool = True) -> str:
+    """CTE ``fcst`` (prompt, day, price) of the run trained on names."""
+    asked = ", ".join(f"({q(p)})" for p in prompts)
+    grid = "SELECT p.prompt, CAST(d AS INTEGER) AS day, lower(CAST(d AS VARCHAR) || ' days ' || p.prompt) AS t FROM asked p, range(1, 90) r(d)" if days else \
+        "SELECT p.prompt, NULL AS day, lower(p.prompt) AS t FROM asked p"
+    return _text_run("days_passed_name") + f""",
+asked(prompt) AS (VALUES {asked}),
+gr AS ({grid}),
+gs AS (SELECT prompt, day, avg(coalesce(total / (n + k), 0.0)) AS s
+       FROM (SELECT prompt, day, unnest({WORDS.format(t="t")}) AS token FROM gr) u LEFT JOIN tt USING (token), ks JOIN best USING (epoch) GROUP BY prompt, day),
+fcst AS (SELECT prompt, day, round((day_base + day_slope * coalesce(day, mean_day) + off + gain * s) * sc.std + sc.mean, 6) AS price
+         FROM gs, dl, sc, ft JOIN best USING (epoch))"""
+
+
+def _history(mode: str) -> str:
+    conv = {"correct": ("mse * sc.std * sc.std", "rmse * sc.std", "mae * sc.std"),
+            "affine": ("mse * sc.std + sc.mean", "rmse * sc.std + sc.mean", "mae * sc.std + sc.mean")}[mode]
+    return f"SELECT epoch, round({conv[0]}, 2) AS mse, round({conv[1]}, 6) AS rmse, round({conv[2]}, 6) AS mae, round(r2, 9) AS r2 FROM hist, sc"
+
+
+ORACLE["metric_history"] = with_(LISTINGS, _text_run("days_passed_name_desc")) + _history("correct")
+ORACLE["metric_history_affine"] = with_(LISTINGS, _text_run("days_passed_name_desc")) + _history("affine")
+ORACLE["best_epoch"] = with_(LISTINGS, _text_run("days_passed_name_desc")) + """
+SELECT epoch, round(rmse * sc.std, 6) AS rmse FROM hist JOIN best USING (epoch), sc"""
+ORACLE["text_regression_eval"] = with_(LISTINGS, _text_run("days_passed_name_desc")) + f""",
+out AS (SELECT split, price, (day_base + day_slope * days_passed + off + gain * s) * sc.std + sc.mean AS prediction
+        FROM sc1 JOIN best USING (epoch) JOIN ft USING (epoch), dl, sc)
+SELECT split, {METRICS_SEL} FROM out GROUP BY split"""
+ORACLE["text_forecast"] = with_(LISTINGS, _forecast(TABLE_LADDER)) + "SELECT prompt, day, price FROM fcst"
+ORACLE["forecast_csv"] = ORACLE["text_forecast"]
+ORACLE["text_forecast_no_days"] = with_(LISTINGS, _forecast(TABLE_LADDER, days=False)) + "SELECT prompt, price FROM fcst"
+ORACLE["forecast_prompts"] = with_(LISTINGS, _forecast(_S.ORIGINAL_PROMPTS)) + f"""
+SELECT prompt, day, price, day > {_S.ORIGINAL_LAST_DAY} AS extrapolated FROM fcst"""
+ORACLE["forecast_lowess"] = with_(LISTINGS, _forecast(TABLE_LADDER), *_lowess_ctes("SELECT prompt AS phone_model, day AS x, price AS y FROM fcst", ROUNDS)) + f"""
+SELECT phone_model AS prompt, x AS day, round(y, 4) AS price, round(fit, 4) AS trend, x > (SELECT max(days_passed) FROM sp) AS extrapolated FROM fit{ROUNDS}"""
+ORACLE["metrics_csv"] = " UNION ALL ".join(
+    f"SELECT {q(run)} AS run, epoch, mse AS MSE, mae AS MAE, rmse AS RMSE, r2 AS R2 FROM (" + with_(LISTINGS, _text_run(text)) + _history("correct") + ")"
+    for run, text in (("days_name", "days_passed_name"), ("days_name_desc", "days_passed_name_desc")))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import threading
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCK = threading.Lock()
 
@@ -21,26 +21,33 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("PRICELENS_SHUFFLE_PARTITIONS", "8"))
     builder = (
         builder
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # ranking.running_total reads one range-partitioned exchange from two
-        # branches; reuse makes both see the same partition bounds.
-        .config("spark.sql.exchange.reuse", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    # The number of shuffle partitions is the caller's; only a new local
+    # session that names none gets a small one.
+    asked = shuffle_partitions or os.environ.get("PRICELENS_SHUFFLE_PARTITIONS")
+    if not asked and SparkSession.getActiveSession() is None and is_local(master or ""):
+        asked = 8
+    if asked:
+        builder = builder.config("spark.sql.shuffle.partitions", str(asked))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def is_local(master: str) -> bool:
+    """One process, one machine: ``local`` or ``local[n]`` (``local-cluster`` has executors of its own)."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and landed tables.
 
@@ -56,7 +63,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if conf:
             sc.setCheckpointDir(conf)
             return sc.getCheckpointDir() or conf
-        if not sc.master.startswith("local"):
+        if not is_local(sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
         local = tempfile.mkdtemp(prefix="pricelens-ckpt-")
         sc.setCheckpointDir(local)
@@ -69,3 +76,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as parquet under the checkpoint folder and read back: lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

@@ -133,8 +133,25 @@ def read_metrics_csv(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def read_predictions_csv(spark: SparkSession, path: str, prompts) -> DataFrame:
-    """Wide forecast table: ``day`` then one price column per prompt, in order."""
-    schema = T.StructType([T.StructField("day", T.IntegerType())] +
-                          [T.StructField(p, T.DoubleType()) for p in prompts])
-    return spark.read.option("header", "true").option("enforceSchema", "false").schema(schema).csv(path)
+def write_predictions_csv(forecast: DataFrame, path: str, prompts) -> None:
+    """Publish ``prompt, day, price`` wide: an unnamed row index (row ``i`` is day ``i + 1``), one column a prompt."""
+    wide = forecast.groupBy("day").pivot("prompt", list(prompts)).agg(F.max(S.PRICE))
+    rows = wide.select((F.col("day") - 1).alias("_c0"), *[F.col(f"`{p}`") for p in prompts])
+    rows.coalesce(1).sortWithinPartitions("_c0").write.option("header", "true").csv(path)  # one row a day
+
+
+def read_predictions_csv(spark: SparkSession, path: str, prompts=None) -> DataFrame:
+    """A published wide forecast table: ``day`` (row index + 1) and one price column a prompt.
+
+    The first header field may be empty or any name.  With ``prompts`` the
+    price columns must be exactly these, else they are taken from the header.
+    """
+    header = spark.read.csv(path).first()  # the header line is the file's first record
+    if header is None:
+        raise ValueError(f"{path} has no header")
+    names = list(header)[1:]
+    if prompts is not None and names != list(prompts):
+        raise ValueError(f"{path} has the prompts {names}, not {list(prompts)}")
+    schema = T.StructType([T.StructField("_row", T.IntegerType())] + [T.StructField(p, T.DoubleType()) for p in names])
+    rows = spark.read.option("header", "true").schema(schema).csv(path)
+    return rows.select((F.col("_row") + 1).alias("day"), *[F.col(f"`{p}`") for p in names])

@@ -1,5 +1,7 @@
 """Raw CSV scan: wrapped, short, over-long, multi-line and trailing-comma records."""
 
+import pytest
+
 from pricelens import schema as S
 from pricelens.sources import files
 
@@ -61,3 +63,18 @@ def test_csv_sink_round_trip(spark, tmp_path):
     files.write_listings_csv(df, out)
     back = files.accepted(files.repair(files.read_raw_listings(spark, out)))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_published_predictions_table(spark, tmp_path):
+    prompts = ["iphone 11 64gb", "iphone 11 pro"]
+    published = tmp_path / "published.csv"
+    published.write_text(",iphone 11 64gb,iphone 11 pro\n0,2000.5,3000.0\n1,1999.0,\n", encoding="utf-8")
+    rows = files.read_predictions_csv(spark, str(published), prompts).orderBy("day").collect()
+    assert [tuple(r) for r in rows] == [(1, 2000.5, 3000.0), (2, 1999.0, None)]
+    assert files.read_predictions_csv(spark, str(published)).columns == ["day", *prompts]
+    with pytest.raises(ValueError, match="prompts"):
+        files.read_predictions_csv(spark, str(published), prompts[::-1])
+    long = spark.createDataFrame([("a b", 1, 2.5), ("a b", 2, 2.0), ("c", 1, 7.0), ("c", 2, 8.0)], "prompt string, day int, price double")
+    files.write_predictions_csv(long, str(tmp_path / "own"), ["a b", "c"])
+    back = files.read_predictions_csv(spark, str(tmp_path / "own"), ["a b", "c"]).orderBy("day").collect()
+    assert [tuple(r) for r in back] == [(1, 2.5, 7.0), (2, 2.0, 8.0)]

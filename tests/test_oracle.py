@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import os
+import re
 
 import duckdb
 import pandas as pd
@@ -67,6 +68,5 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_a_check():
     missing = set(E.queries()) - set(E.oracle_sql())
-    # Queries without SQL oracles are covered by their own pytest modules.
-    assert missing <= {"text_regression_eval", "text_forecast", "metric_history", "metric_history_affine",
-                       "best_epoch", "metrics_csv", "forecast_csv"}
+    # The training-data queries that SQL can't express have brute-force tests of their own.
+    assert all(re.match(r"op\d+_|pipeline$", name) for name in missing)

@@ -42,3 +42,27 @@ def test_listings_scan_once_per_subquery(spark):
 def test_month_partition_pruning(spark):
     plan = _plan(E.queries()["month_pruned_viewport"](spark, SF))
     assert "PartitionFilters: [isnotnull(month" in plan
+
+
+def test_quantities_are_not_folded_by_value_or_exploded(spark):
+    histogram = _plan(E.queries()["price_histogram"](spark, SF))
+    assert "keys=[phone_model" in histogram and ", price#" not in "".join(x for x in histogram.splitlines() if "Exchange" in x)
+    assert "Generate" not in _plan(E.queries()["price_kde"](spark, SF))
+
+
+def test_modelling_queries_read_the_prepared_rows(spark):
+    for name in ("extrapolated_flag", "tokens_padded", "regression_metrics"):
+        plan = _plan(E.queries()[name](spark, SF))
+        assert "/prepared-" in plan and "/listings-" not in plan
+
+
+def test_caller_keeps_its_partition_count(spark):
+    from pricelens.session import get_spark, is_local
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "321")
+        assert get_spark().conf.get("spark.sql.shuffle.partitions") == "321"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert is_local("local") and is_local("local[4]") and not is_local("local-cluster[1,1,1024]") and not is_local("yarn")

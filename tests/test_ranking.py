@@ -1,24 +1,8 @@
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from pricelens.operators.ranking import exact_quantiles, global_rank, running_total
-
-
-def test_running_total_matches_pandas_with_hot_group(spark):
-    rng = np.random.default_rng(0)
-    n = 5000
-    g = np.where(rng.random(n) < 0.6, "hot", rng.choice(["a", "b", "c"], n))
-    v = rng.permutation(n).astype(float)
-    w = rng.integers(1, 5, n)
-    pdf = pd.DataFrame({"g": g, "v": v, "w": w})
-    df = spark.createDataFrame(pdf).repartition(7)
-    out = running_total(df, ["g"], ["v"], "w").toPandas()
-    exp = pdf.sort_values(["g", "v"]).assign(c=lambda d: d.groupby("g")["w"].cumsum())
-    exp["t"] = exp.groupby("g")["w"].transform("sum")
-    m = out.merge(exp, on=["g", "v"])
-    assert len(m) == n
-    assert (m["_cum"] == m["c"]).all()
-    assert (m["_group_total"] == m["t"]).all()
+from pricelens.operators.ranking import exact_quantiles, global_rank
 
 
 def test_global_rank_is_dense_total_order(spark):
@@ -44,3 +28,36 @@ def test_exact_quantiles_single_value_group(spark):
     df = spark.createDataFrame([("s", 5.0)], "g string, v double")
     r = exact_quantiles(df, ["g"], "v", [0.25, 0.5], ["a", "b"]).collect()[0]
     assert (r.n, r.a, r.b) == (1, 5.0, 5.0)
+
+
+def test_results_do_not_depend_on_exchange_reuse(spark):
+    rng = np.random.default_rng(4)
+    n = 40_000
+    pdf = pd.DataFrame({"g": np.where(rng.random(n) < 0.6, 1, rng.integers(2, 5, n)), "v": rng.integers(-2**30, 2**30, n)})
+    df = spark.createDataFrame(pdf).withColumn("g", F.when(F.col("g") == 4, None).otherwise(F.col("g"))).repartition(9)
+    want = {}
+    for g, part in pdf.groupby("g"):
+        want[None if g == 4 else g] = np.percentile(part["v"], [25, 50, 75]).tolist()
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    try:
+        for reuse in ("true", "false"):
+            spark.conf.set("spark.sql.exchange.reuse", reuse)
+            got = {r.g: [r.a, r.b, r.c] for r in exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.75], ["a", "b", "c"]).collect()}
+            assert got == want  # the null group and the hot group included
+            ranks = global_rank(df.select("v").distinct(), ["v"]).orderBy("v").select("rank").collect()
+            assert [r.rank for r in ranks] == list(range(1, len(ranks) + 1))
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+
+
+def test_exact_quantiles_of_extremes(spark):
+    values = [-1e300, 0.0, 1e-300, 1.0, 1.0, 1.0, 2.0, 1e12, float("nan"), None]
+    df = spark.createDataFrame([("s", v) for v in values] + [("t", None)], "g string, v double")
+    rows = exact_quantiles(df, ["g"], "v", [0.0, 0.5, 1.0], ["a", "b", "c"]).collect()
+    assert [(r.g, r.n, r.a, r.b, r.c) for r in rows] == [("s", 8, -1e300, 1.0, 1e12)]
+    assert exact_quantiles(df.filter("false"), ["g"], "v", [0.5], ["a"]).count() == 0
+
+
+def test_quantiles_without_groups(spark):
+    r = exact_quantiles(spark.range(101), [], "id", [0.1, 0.5], ["a", "b"]).first()
+    assert (r.n, r.a, r.b) == (101, 10.0, 50.0)
