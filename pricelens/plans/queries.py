@@ -21,7 +21,7 @@ from pricelens.session import scratch_path
 from pricelens.sources import files
 from pricelens.streaming import landing
 from pricelens.sources.tables import (
-    RAW_OVERFLOW_BUCKETS, RAW_SEED, RAW_WRAPPED_BUCKETS, land_once,
+    RAW_BAD_DATE_BUCKETS, RAW_BAD_PRICE_BUCKETS, RAW_OVERFLOW_COMMAS, RAW_SEED, RAW_WRAPPED_BUCKETS, land_once,
     TABLE_BIN_WIDTH, TABLE_DATE_VIEWPORT, TABLE_FILTERS, TABLE_LADDER, TABLE_PRICE_CLIP, TABLE_PRICE_VIEWPORT,
     listings,
 )
@@ -338,13 +338,14 @@ def q_tokens_padded(spark, sf_dir):
 # --- step 9: files: raw export repair, quarantine, CSV round trip -----------------
 
 def raw_export_path(spark, sf_dir) -> str:
-    """The listings written as a raw export with wrapped and over-long records."""
+    """The listings written as a raw export with wrapped, over-long and unreadable records."""
     def write(path):
         df = listings(spark, sf_dir)
         b = stable_bucket(S.URL, RAW_SEED)
         wrapped = b.isin(*RAW_WRAPPED_BUCKETS)
-        overflow = F.when(b.isin(*RAW_OVERFLOW_BUCKETS), F.concat(F.lit("x-"), F.col(S.URL)))
-        files.write_raw_export(df, path, wrapped, overflow)
+        extra = F.coalesce(*[F.when(b == k, F.concat(F.lit("," * n + "x-"), F.col(S.URL))) for k, n in RAW_OVERFLOW_COMMAS.items()])
+        texts = {S.PRICE: F.when(b.isin(*RAW_BAD_PRICE_BUCKETS), F.lit("2 500 zl")), S.ADDED_AT: F.when(b.isin(*RAW_BAD_DATE_BUCKETS), F.lit("wczoraj"))}
+        files.write_raw_export(df, path, wrapped, extra, texts)
     return land_once(spark, sf_dir, "raw-export", write)
 
 
@@ -359,7 +360,13 @@ def q_repair_csv(spark, sf_dir):
 
 @query("scan_quarantine")
 def q_scan_quarantine(spark, sf_dir):
-    return files.quarantine(files.repair(_raw(spark, sf_dir)))
+    return files.quarantine(files.repair(_raw(spark, sf_dir))).drop(S.RECORD)
+
+
+@query("raw_preview")
+def q_raw_preview(spark, sf_dir):
+    """The first raw lines, as they stand in the export."""
+    return files.raw_preview(spark, raw_export_path(spark, sf_dir)).select(F.split_part("line", F.lit(","), F.lit(1)).alias("first_field"), files.field_count(F.col("line")).alias("n_fields"))
 
 
 @query("repair_audit")
@@ -383,7 +390,7 @@ def q_stream_repair(spark, sf_dir):
 
 @query("stream_quarantine")
 def q_stream_quarantine(spark, sf_dir):
-    return landing.read_landed(spark, f"{streamed_landing(spark, sf_dir)}/out", landing.QUARANTINE)
+    return landing.read_landed(spark, f"{streamed_landing(spark, sf_dir)}/out", landing.QUARANTINE).drop(S.RECORD)
 
 
 def month_partitioned_path(spark, sf_dir) -> str:

@@ -7,7 +7,7 @@ the same parquet tables; the Spark plans never use them.
 from __future__ import annotations
 
 from pricelens.sources.tables import (
-    RAW_OVERFLOW_BUCKETS, RAW_SEED, RAW_WRAPPED_BUCKETS,
+    RAW_BAD_DATE_BUCKETS, RAW_BAD_PRICE_BUCKETS, RAW_OVERFLOW_COMMAS, RAW_SEED, RAW_WRAPPED_BUCKETS,
     TABLE_BIN_WIDTH, TABLE_DATE_VIEWPORT, TABLE_FILTERS, TABLE_LADDER, TABLE_PRICE_CLIP, TABLE_PRICE_VIEWPORT,
 )
 
@@ -343,17 +343,27 @@ FROM enc, ln"""
 RAW = f"""rb AS (SELECT *, CAST(('0x' || substr(md5('{RAW_SEED}|' || url), 1, 8))::BIGINT % 100 AS INTEGER) AS b
        FROM listings)"""
 WRAPPED_IN = ", ".join(str(b) for b in RAW_WRAPPED_BUCKETS)
-OVERFLOW_IN = ", ".join(str(b) for b in RAW_OVERFLOW_BUCKETS)
 ALL_COLS = ", ".join(LISTING_COLS)
+BAD_IN = ", ".join(map(str, [*RAW_OVERFLOW_COMMAS, *RAW_BAD_PRICE_BUCKETS, *RAW_BAD_DATE_BUCKETS]))
 
-ORACLE["repair_csv"] = with_(LISTINGS, RAW) + f"SELECT {ALL_COLS} FROM rb WHERE b NOT IN ({OVERFLOW_IN})"
+ORACLE["repair_csv"] = with_(LISTINGS, RAW) + f"SELECT {ALL_COLS} FROM rb WHERE b NOT IN ({BAD_IN})"
 
+LONG_CASES = " ".join(f"WHEN {k} THEN {13 + n}" for k, n in RAW_OVERFLOW_COMMAS.items())
 ORACLE["scan_quarantine"] = with_(LISTINGS, RAW) + f"""
-SELECT {ALL_COLS}, 'x-' || url AS _overflow FROM rb WHERE b IN ({OVERFLOW_IN})"""
+SELECT url, CAST(CASE b {LONG_CASES} ELSE 13 END AS INTEGER) AS n_fields,
+       CASE WHEN b IN ({", ".join(map(str, RAW_BAD_PRICE_BUCKETS))}) THEN 'unreadable price'
+            WHEN b IN ({", ".join(map(str, RAW_BAD_DATE_BUCKETS))}) THEN 'unreadable added_at' ELSE 'too many fields' END AS reason
+FROM rb WHERE b IN ({BAD_IN})"""
+
+# In byte order a quote sorts before digits: the first lines are wrapped records.
+ORACLE["raw_preview"] = with_(LISTINGS, RAW) + f"""
+SELECT CASE WHEN b IN ({WRAPPED_IN}) THEN '"' || url ELSE url END AS first_field,
+       CAST(CASE WHEN b IN ({WRAPPED_IN}) THEN 1 ELSE (CASE b {LONG_CASES} ELSE 13 END) END AS INTEGER) AS n_fields
+FROM rb ORDER BY 1 LIMIT 10"""
 
 ORACLE["repair_audit"] = with_(LISTINGS, RAW) + f""",
 w AS (SELECT count(*) AS raw, count_if(b IN ({WRAPPED_IN})) AS wrapped,
-             count_if(b IN ({OVERFLOW_IN})) AS quarantined, count_if(b NOT IN ({OVERFLOW_IN})) AS accepted FROM rb)
+             count_if(b IN ({BAD_IN})) AS quarantined, count_if(b NOT IN ({BAD_IN})) AS accepted FROM rb)
 """ + "\nUNION ALL\n".join(
     f"SELECT {q(s)} AS stage, CAST({s} AS BIGINT) AS n_rows, {i} AS step FROM w"
     for i, s in enumerate(["raw", "wrapped", "quarantined", "accepted"]))

@@ -26,7 +26,10 @@ DAYS_PASSED_NAME = "days_passed_name"
 DAYS_PASSED_NAME_DESC = "days_passed_name_desc"
 CONCATENATED_DESCRIPTION = "concatenated_description"
 PHONE_MODEL = "phone_model"
-OVERFLOW = "_overflow"
+CORRUPT = "_corrupt_record"
+N_FIELDS = "n_fields"
+REASON = "reason"
+RECORD = "record"
 
 LISTING = T.StructType([
     T.StructField(URL, T.StringType(), True),
@@ -45,8 +48,8 @@ LISTING = T.StructType([
 ])
 LISTING_COLUMNS = [f.name for f in LISTING.fields]
 
-# Same fields plus a catch-all for rows that carry more fields than the header.
-LISTING_WITH_OVERFLOW = T.StructType(LISTING.fields + [T.StructField(OVERFLOW, T.StringType(), True)])
+# Same fields plus the whole text of records that do not fit them.
+LISTING_WITH_RECORD = T.StructType(LISTING.fields + [T.StructField(CORRUPT, T.StringType(), True)])
 
 
 def ddl(schema: T.StructType) -> str:

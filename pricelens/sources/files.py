@@ -6,14 +6,18 @@ Raw listing exports have three kinds of records:
 * wrapped: the whole record is one quoted field (``"a,b,""c"",..."``), so a
   CSV reader sees one column and 12 nulls;
 * over-long: more fields than the header (stray commas) -- these cannot be
-  placed and go to a quarantine instead of silently shifting columns.
-
-The scan is one PERMISSIVE CSV read with a 14th ``_overflow`` column: short
-rows come out null-padded, the first extra field lands in ``_overflow``.
-Wrapped rows are re-parsed in place with ``from_csv`` (a narrow projection,
-no second scan).  ``multiLine`` files are not splittable, so a large export
-should be many files; after the repair the rows are landed as parquet and
-every later job reads that.
+  placed and go to a quarantine instead of silently shifting columns, as do
+  records with a value that its column's type cannot read.
+
+The scan is one PERMISSIVE CSV read that also keeps the whole text of every
+record that does not fit the schema (too few or too many fields, unreadable
+values); the header of each file must be the schema's.  Such records are
+judged by their text: unwrapped, counted in fields, re-parsed with
+``from_csv`` (a narrow projection, no second scan).  Records of fewer fields are
+padded with nulls; one empty field after the last (a lone trailing comma) is
+dropped.  ``multiLine`` files are not splittable, so a large export should be
+many files; after the repair the rows are landed as parquet and every later
+job reads that.
 """
 
 from __future__ import annotations
@@ -22,58 +26,83 @@ from functools import reduce
 from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelens import schema as S
 
 CSV_OPTIONS = {"header": "true", "sep": ",", "quote": '"', "escape": '"', "encoding": "UTF-8",
-               "mode": "PERMISSIVE", "nullValue": ""}
+               "mode": "PERMISSIVE", "nullValue": "", "columnNameOfCorruptRecord": S.CORRUPT, "enforceSchema": "false"}
+LINE_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+TOO_LONG = "too many fields"
+WRAPPED = "_wrapped"
 
 
 def read_raw_listings(spark: SparkSession, path: str, multi_line: bool = True,
-                      schema: T.StructType = S.LISTING_WITH_OVERFLOW) -> DataFrame:
-    """Raw scan: the declared 13 columns plus ``_overflow``; header line skipped."""
+                      schema: T.StructType = S.LISTING_WITH_RECORD) -> DataFrame:
+    """Raw scan: the declared 13 columns plus the text of records that do not fit; a header with other names raises."""
     return (spark.read.schema(schema).options(**CSV_OPTIONS)
                  .option("multiLine", str(multi_line).lower()).csv(path))
 
 
-def is_wrapped(columns=S.LISTING_COLUMNS) -> F.Column:
-    """First field set, every other field (and the overflow) null."""
-    rest = [F.col(c).isNull() for c in columns[1:]] + [F.col(S.OVERFLOW).isNull()]
-    return F.col(columns[0]).isNotNull() & reduce(and_, rest)
-
-
-def repair(raw: DataFrame, schema: T.StructType = S.LISTING_WITH_OVERFLOW) -> DataFrame:
-    """Unwrap wholly quoted records; plain records pass through unchanged."""
-    first = schema.fields[0].name
-    parsed = F.from_csv(F.col(first), S.ddl(schema), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
-    plain = F.struct(*[F.col(f.name) for f in schema.fields])
-    return (raw.select(F.when(is_wrapped([f.name for f in schema.fields[:-1]]), parsed).otherwise(plain).alias("_r"))
-               .select("_r.*"))
+def raw_preview(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
+    """The first ``n`` raw lines in text order, headers left out, as they stand in the files: ``line``."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    header = ",".join(S.LISTING_COLUMNS)
+    return lines.filter(F.lower("line") != header).orderBy("line").limit(n)
+
+
+def is_wrapped(columns=S.LISTING_COLUMNS) -> Column:
+    """A record that does not fit, with its first field set and every other null."""
+    rest = [F.col(c).isNull() for c in columns[1:]]
+    return F.col(S.CORRUPT).isNotNull() & F.col(columns[0]).isNotNull() & reduce(and_, rest)
+
+
+def field_count(record: Column) -> Column:
+    """Fields of one CSV record: commas outside quoted stretches, plus one."""
+    bare = F.regexp_replace(record, '"(?:[^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def repair(raw: DataFrame, schema: T.StructType = S.LISTING) -> DataFrame:
+    """The listing columns, and for every row ``n_fields``, ``reason`` (null: accepted), ``record`` (its whole text where it does not fit)
+    and whether it was wrapped."""
+    names = [f.name for f in schema.fields]
+    record = F.regexp_replace(F.col(S.CORRUPT), "[\r\n]+$", "")
+    told = raw.withColumn(WRAPPED, is_wrapped(names)).withColumn(S.RECORD, record)
+    told = told.withColumn("_line", F.when(F.col(WRAPPED), F.col(names[0])).otherwise(F.col(S.RECORD)))
+    told = told.withColumn(S.N_FIELDS, F.when(F.col("_line").isNull(), F.lit(len(names))).otherwise(field_count(F.col("_line"))))
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    told = (told.withColumn("_typed", F.from_csv("_line", S.ddl(schema), LINE_OPTIONS))
+                .withColumn("_texts", F.from_csv("_line", S.ddl(texts), LINE_OPTIONS)))
+    trailing = (F.col(S.N_FIELDS) == len(names) + 1) & F.col("_line").endswith(",")
+    reason = F.when((F.col(S.N_FIELDS) > len(names)) & ~trailing, F.lit(TOO_LONG))
+    for f in schema.fields:
+        if not isinstance(f.dataType, T.StringType):
+            unread = F.coalesce(F.col(f"_texts.{f.name}"), F.lit("")) != ""
+            reason = reason.when(F.col("_line").isNotNull() & unread & F.col(f"_typed.{f.name}").isNull(), F.lit(f"unreadable {f.name}"))
+    plain = F.struct(*[F.col(n) for n in names])
+    return (told.select(F.when(F.col("_line").isNull(), plain).otherwise(F.col("_typed")).alias("_r"), S.N_FIELDS, reason.alias(S.REASON), S.RECORD, WRAPPED)
+                .select("_r.*", S.N_FIELDS, S.REASON, S.RECORD, WRAPPED))
 
 
 def accepted(repaired: DataFrame) -> DataFrame:
     """Rows that fit the header: the 13 listing columns."""
-    return repaired.filter(F.col(S.OVERFLOW).isNull()).drop(S.OVERFLOW)
+    return repaired.filter(F.col(S.REASON).isNull()).select(*S.LISTING_COLUMNS)
 
 
 def quarantine(repaired: DataFrame) -> DataFrame:
-    """Rows with more fields than the header, kept for inspection."""
-    return repaired.filter(F.col(S.OVERFLOW).isNotNull())
+    """Records that cannot be placed: ``url`` (first field), ``n_fields``, ``reason`` and the whole ``record`` as it stood in the file."""
+    return repaired.filter(F.col(S.REASON).isNotNull()).select(S.URL, S.N_FIELDS, S.REASON, S.RECORD)
 
 
 def repair_audit(raw: DataFrame) -> DataFrame:
-    """``stage, n_rows``: raw records, wrapped among them, quarantined, accepted -- one pass."""
-    rep = repair(raw)
-    row = (raw.select(is_wrapped().alias("_w"))
-              .agg(F.count(F.lit(1)).alias("raw"), F.count_if("_w").alias("wrapped")))
-    bad = rep.agg(F.count_if(F.col(S.OVERFLOW).isNotNull()).alias("quarantined"),
-                  F.count_if(F.col(S.OVERFLOW).isNull()).alias("accepted"))
-    both = row.crossJoin(bad)  # two one-row aggregates
+    """``stage, n_rows, step``: raw records, wrapped among them, quarantined, accepted -- one scan, one aggregate."""
+    row = repair(raw).agg(F.count(F.lit(1)).alias("raw"), F.count_if(WRAPPED).alias("wrapped"),
+                          F.count_if(F.col(S.REASON).isNotNull()).alias("quarantined"), F.count_if(F.col(S.REASON).isNull()).alias("accepted"))
     stages = ["raw", "wrapped", "quarantined", "accepted"]
-    return both.select(F.inline(F.array(*[
+    return row.select(F.inline(F.array(*[
         F.struct(F.lit(s).alias("stage"), F.col(s).cast("long").alias("n_rows"), F.lit(i).alias("step"))
         for i, s in enumerate(stages)])))
 
@@ -86,10 +115,19 @@ def write_listings_csv(df: DataFrame, path: str) -> None:
        .option("quote", '"').option("escape", '"').option("nullValue", "").csv(path))
 
 
+#: Tasks that share the rows of one directory of a partitioned write.
+PARTITION_FILES = 4
+
+
 def write_listings_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """The hand-off format for every later job; optionally partitioned (e.g. by date)."""
-    w = df.write.mode("errorifexists")
-    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    if partition_by is None:
+        df.write.mode("errorifexists").parquet(path)
+        return
+    # Rows of a directory meet in a few tasks (a salt splits a hot one), so a
+    # task does not open a file for every directory.
+    clustered = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(PARTITION_FILES))).repartition(F.col(partition_by), F.col("_salt")).drop("_salt")
+    clustered.write.mode("errorifexists").partitionBy(partition_by).parquet(path)
 
 
 def _with_header(header: str):
@@ -105,15 +143,21 @@ def _with_header(header: str):
     return run
 
 
-def write_raw_export(df: DataFrame, path: str, wrapped: F.Column, overflow: F.Column) -> None:
-    """Write rows as a raw export: ``wrapped`` rows as one quoted field,
-    rows with a non-null ``overflow`` string get it as an extra field.
+def write_raw_export(df: DataFrame, path: str, wrapped: Column, extra: Column, texts: dict[str, Column] | None = None) -> None:
+    """Write rows as a raw export: ``wrapped`` rows as one quoted field, rows with a non-null ``extra`` string followed by it
+    (it brings its own commas), and columns in ``texts`` replaced where that text is not null.
 
     Used to make repair inputs from the test tables; each output file
     starts with the header line, as a real export does.
     """
-    line = F.to_csv(F.struct(*[F.col(c) for c in S.LISTING_COLUMNS]), {"quote": '"', "escape": '"'})
-    line = F.when(overflow.isNotNull(), F.concat(line, F.lit(","), overflow)).otherwise(line)
+    def shown(c: str) -> Column:
+        if c not in (texts or {}):
+            return F.col(c)
+        own = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if isinstance(S.LISTING[c].dataType, T.TimestampNTZType) else F.col(c).cast("string")
+        return F.coalesce(texts[c], own).alias(c)
+
+    line = F.to_csv(F.struct(*[shown(c) for c in S.LISTING_COLUMNS]), {"quote": '"', "escape": '"'})
+    line = F.when(extra.isNotNull(), F.concat(line, extra)).otherwise(line)
     line = F.when(wrapped, F.concat(F.lit('"'), F.replace(line, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(line)
     lines = df.select(line.alias("value"))
     header = ",".join(S.LISTING_COLUMNS)

@@ -25,10 +25,13 @@ TABLE_BIN_WIDTH = 7500.0
 TABLE_DATE_VIEWPORT = ("1996-01-01", "1997-12-31")
 TABLE_PRICE_VIEWPORT = (1500.0, 45000.0)
 # Raw export made from the tables: hash buckets (of 100) of wrapped and of
-# over-long records; bucket 7 is both.
+# over-long records (with the commas their extra field brings; bucket 7 is
+# both), of unreadable prices and of unreadable dates (bucket 10 wrapped).
 RAW_SEED = 7
-RAW_WRAPPED_BUCKETS = (0, 1, 2, 3, 4, 7)
-RAW_OVERFLOW_BUCKETS = (5, 6, 7)
+RAW_WRAPPED_BUCKETS = (0, 1, 2, 3, 4, 7, 10)
+RAW_OVERFLOW_COMMAS = {5: 1, 6: 2, 7: 3}
+RAW_BAD_PRICE_BUCKETS = (8,)
+RAW_BAD_DATE_BUCKETS = (9, 10)
 
 _LANDED: dict[tuple, str] = {}
 _LANDED_LOCK = threading.RLock()

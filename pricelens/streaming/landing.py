@@ -1,33 +1,40 @@
 """Incremental landing of raw listing exports with Structured Streaming.
 
 Scrapes arrive as new export files over time.  The repair and quarantine
-steps are stateless projections and filters, so the batch functions run
-unchanged on a streaming DataFrame:
-
-    raw CSV files (readStream, declared schema)  ->  repair
-        -> accepted rows   -> parquet file sink (exactly once)
-        -> over-long rows  -> parquet quarantine sink (exactly once)
-
-Each sink keeps its own checkpoint (file offsets + commit log) under the
-shared checkpoint folder, so a restarted job -- or one that lost executors
-mid-batch -- resumes from the last committed batch and never lands a file
-twice.  ``availableNow`` processes whatever is there and stops; without it
-the job keeps running on a processing-time trigger.
+steps are stateless projections, so the batch functions run unchanged on each
+micro-batch:
+
+    raw CSV files (readStream, declared schema) -> repair -> one write,
+    partitioned into accepted rows and quarantined records
+
+Every file is parsed once and both outcomes leave in the same write.  A batch
+writes to a folder named by its id, replacing what a failed attempt left
+there, and the checkpoint (under the shared folder) replays a batch with the
+same id and files, so a restarted job never lands a file twice.
+``availableNow`` processes whatever is there and stops; without it the job
+keeps running on a processing-time trigger.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricelens import schema as S
 from pricelens.sources import files
 
 ACCEPTED = "accepted"
 QUARANTINE = "quarantine"
+OUTCOME = "outcome"
+BATCH = "batch"
+
+LANDED = T.StructType([*S.LISTING.fields, T.StructField(S.N_FIELDS, T.IntegerType()), T.StructField(S.REASON, T.StringType()), T.StructField(S.RECORD, T.StringType()),
+                       T.StructField(BATCH, T.LongType()), T.StructField(OUTCOME, T.StringType())])
 
 
 def raw_stream(spark: SparkSession, raw_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = (spark.readStream.schema(S.LISTING_WITH_OVERFLOW).options(**files.CSV_OPTIONS)
+    reader = (spark.readStream.schema(S.LISTING_WITH_RECORD).options(**files.CSV_OPTIONS)
               .option("multiLine", "true"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -36,25 +43,24 @@ def raw_stream(spark: SparkSession, raw_dir: str, max_files_per_trigger: int | N
 
 def land(spark: SparkSession, raw_dir: str, out_dir: str, checkpoint_dir: str, available_now: bool = True,
          processing_time: str = "1 minute", max_files_per_trigger: int | None = None):
-    """Start the two sinks; returns the running queries (already finished with ``available_now``)."""
-    repaired = files.repair(raw_stream(spark, raw_dir, max_files_per_trigger))
-    outputs = {ACCEPTED: files.accepted(repaired), QUARANTINE: files.quarantine(repaired)}
-    started = []
-    for name, df in outputs.items():
-        w = (df.writeStream.format("parquet").outputMode("append")
-               .option("path", f"{out_dir}/{name}")
-               .option("checkpointLocation", f"{checkpoint_dir}/{name}"))
-        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
-        started.append(w.start())
+    """Start the landing; returns the running query (already finished with ``available_now``)."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        outcome = F.when(F.col(S.REASON).isNull(), F.lit(ACCEPTED)).otherwise(F.lit(QUARANTINE))
+        (files.repair(batch).drop(files.WRAPPED).withColumn(OUTCOME, outcome)
+              .write.mode("overwrite").partitionBy(OUTCOME).parquet(f"{out_dir}/{BATCH}={batch_id}"))
+
+    w = (raw_stream(spark, raw_dir, max_files_per_trigger).writeStream.foreachBatch(write)
+         .option("checkpointLocation", checkpoint_dir))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
+    started = w.start()
     if available_now:
-        for q in started:
-            q.awaitTermination()
-            if q.exception() is not None:
-                raise RuntimeError(f"landing stream failed: {q.exception()}")
+        started.awaitTermination()
+        if started.exception() is not None:
+            raise RuntimeError(f"landing stream failed: {started.exception()}")
     return started
 
 
 def read_landed(spark: SparkSession, out_dir: str, name: str = ACCEPTED) -> DataFrame:
-    """Batch view of a sink (reads only files committed in its metadata log)."""
-    schema = S.LISTING if name == ACCEPTED else S.LISTING_WITH_OVERFLOW
-    return spark.read.schema(schema).parquet(f"{out_dir}/{name}")
+    """Batch view of one outcome (its directories alone are read)."""
+    rows = spark.read.schema(LANDED).parquet(out_dir).filter(F.col(OUTCOME) == name)
+    return rows.select(*S.LISTING_COLUMNS) if name == ACCEPTED else rows.select(S.URL, S.N_FIELDS, S.REASON, S.RECORD)

@@ -40,12 +40,23 @@ def test_repair_and_quarantine(spark, tmp_path):
         _line(_fields("u8", desc='"two\nlines"')),              # multi-line quoted field
         "u9",                                                   # single field
     ]
+    lines += [
+        _line(_fields("x1") + ["", "a", "b"]),                  # 16 fields, the 14th empty
+        _wrap(_line(_fields("x2") + ["", "c"])),                # wrapped, 15 fields, the 14th empty
+        _line(_fields("x3")[:4] + ["2 500 zl"] + _fields("x3")[5:]),      # unreadable price
+        _wrap(_line(_fields("x4")[:10] + ["wczoraj"] + _fields("x4")[11:])),  # wrapped, unreadable date
+        _line(_fields("x5", desc='"one, ""two"", three"')),     # quoted commas are no fields
+    ]
     raw = files.read_raw_listings(spark, _write(tmp_path, lines))
     rep = files.repair(raw)
     good = {r[S.URL]: r for r in files.accepted(rep).collect()}
-    bad = sorted(r[S.URL] for r in files.quarantine(rep).collect())
-    assert bad == ["u5", "u6"]
-    assert sorted(good) == ["u1", "u2", "u3", "u4", "u7", "u8", "u9"]
+    bad = {r[S.URL]: r for r in files.quarantine(rep).collect()}
+    assert {u: (r[S.N_FIELDS], r[S.REASON]) for u, r in bad.items()} == {
+        "u5": (14, files.TOO_LONG), "u6": (14, files.TOO_LONG), "x1": (16, files.TOO_LONG), "x2": (15, files.TOO_LONG),
+        "x3": (13, "unreadable price"), "x4": (13, "unreadable added_at")}
+    assert bad["x1"][S.RECORD] == lines[9] and bad["x2"][S.RECORD] == lines[10]  # whole, nothing lost
+    assert sorted(good) == ["u1", "u2", "u3", "u4", "u7", "u8", "u9", "x5"]
+    assert good["x5"][S.DESCRIPTION] == 'one, "two", three'
     assert good["u2"][S.NAME] == "iphone 11 pro" and good["u2"][S.PRICE] == 2500.0
     assert good["u3"][S.DESCRIPTION] == "big, shiny"
     assert good["u4"][S.PRICE] == 2500.0 and good["u4"][S.BRAND] is None
@@ -53,7 +64,23 @@ def test_repair_and_quarantine(spark, tmp_path):
     assert good["u9"][S.NAME] is None
     assert str(good["u1"][S.ADDED_AT]) == "2021-01-01 09:30:00"
     audit = {r["stage"]: r["n_rows"] for r in files.repair_audit(raw).collect()}
-    assert audit == {"raw": 9, "wrapped": 4, "quarantined": 2, "accepted": 7}
+    assert audit == {"raw": 14, "wrapped": 6, "quarantined": 6, "accepted": 8}
+    plan = files.repair_audit(raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_a_reordered_header_raises(spark, tmp_path):
+    p = tmp_path / "raw.csv"
+    names = [S.LISTING_COLUMNS[1], S.LISTING_COLUMNS[0], *S.LISTING_COLUMNS[2:]]
+    p.write_text(",".join(names) + "\n" + _line(_fields("a")) + "\n", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_raw_listings(spark, str(p)).collect()
+
+
+def test_raw_preview_is_the_text_as_it_stands(spark, tmp_path):
+    lines = [_wrap(_line(_fields("b"))), _line(_fields("a")), "c"]
+    shown = [r["line"] for r in files.raw_preview(spark, _write(tmp_path, lines), 2).collect()]
+    assert shown == [lines[0], lines[1]]
 
 
 def test_csv_sink_round_trip(spark, tmp_path):
