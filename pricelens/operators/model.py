@@ -22,11 +22,12 @@ SPLIT = "split"
 TRAIN, VAL, TEST = "train", "val", "test"
 
 
+SPLIT_BUCKETS = 10_000
+
+
 def split_bounds(train_fraction: float = S.ORIGINAL_TRAIN_FRACTION) -> tuple[int, int]:
-    """Bucket bounds (of 100) for train/val/test: 0.8 then 0.8 again -> 64/16/20."""
-    train = round(100 * train_fraction * train_fraction)
-    val = round(100 * train_fraction)
-    return train, val
+    """Bucket bounds (of ``SPLIT_BUCKETS``) for train/val/test: 0.8 then 0.8 again -> 64/16/20 %."""
+    return round(SPLIT_BUCKETS * train_fraction * train_fraction), round(SPLIT_BUCKETS * train_fraction)
 
 
 def add_split(df: DataFrame, key: str = S.URL, seed: int = S.ORIGINAL_SEED,
@@ -38,7 +39,7 @@ def add_split(df: DataFrame, key: str = S.URL, seed: int = S.ORIGINAL_SEED,
     64/16/20 %.
     """
     t, v = split_bounds(train_fraction)
-    b = stable_bucket(key, seed)
+    b = stable_bucket(key, seed, SPLIT_BUCKETS)
     return df.withColumn(SPLIT, F.when(b < t, F.lit(TRAIN)).when(b < v, F.lit(VAL)).otherwise(F.lit(TEST)))
 
 

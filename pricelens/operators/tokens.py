@@ -9,8 +9,8 @@ chain of DataFrame steps:
 * vocabulary: ``explode -> groupBy(token).count`` (partial aggregation),
   ranked by a distributed global sort -- no driver-side dictionary, no cap
   on its size;
-* ids: each *distinct* text is encoded once (prompts repeat a lot): its
-  first ``max_length`` tokens are exploded with their position, joined to
+* ids: each *distinct* text is encoded once (prompts repeat a lot), under its
+  md5, so texts are neither shuffle nor join keys: its first ``max_length`` tokens are exploded with their position, joined to
   the vocabulary (planner's choice: broadcast when AQE measures it small,
   shuffle otherwise), and folded back per text -- a group never holds more
   than ``max_length`` entries;
@@ -39,6 +39,7 @@ FREQ = "freq"
 INPUT_IDS = "input_ids"
 ATTENTION_MASK = "attention_mask"
 N_TOKENS = "n_tokens"
+KEY = "_text_key"
 
 
 def fit_vocabulary(df: DataFrame, text: str, min_count: int = 1) -> DataFrame:
@@ -54,17 +55,18 @@ def fit_vocabulary(df: DataFrame, text: str, min_count: int = 1) -> DataFrame:
 def encode(df: DataFrame, text: str, vocabulary: DataFrame, max_length: int) -> DataFrame:
     """Add ``input_ids`` (first ``max_length`` token ids, unpadded) and
     ``n_tokens`` (token count of the whole text)."""
-    texts = df.select(text).filter(F.col(text).isNotNull()).distinct()
-    pieces = texts.select(text, F.posexplode(F.slice(token_array(text), 1, max_length)).alias("_pos", TOKEN))
+    keyed = df.withColumn(KEY, F.md5(text))
+    texts = keyed.filter(F.col(KEY).isNotNull()).select(KEY, F.slice(token_array(text), 1, max_length).alias("_tokens")).dropDuplicates([KEY])
+    pieces = texts.select(KEY, F.posexplode("_tokens").alias("_pos", TOKEN))
     ided = (pieces.join(vocabulary.select(TOKEN, TOKEN_ID), TOKEN, "left")
-                  .select(text, "_pos", F.coalesce(F.col(TOKEN_ID), F.lit(UNK_ID)).alias(TOKEN_ID)))
-    per_text = (ided.groupBy(text)
+                  .select(KEY, "_pos", F.coalesce(F.col(TOKEN_ID), F.lit(UNK_ID)).alias(TOKEN_ID)))
+    per_text = (ided.groupBy(KEY)
                     .agg(F.array_sort(F.collect_list(F.struct("_pos", TOKEN_ID))).alias("_pairs"))
-                    .select(text, F.transform("_pairs", lambda s: s[TOKEN_ID]).alias(INPUT_IDS)))
+                    .select(KEY, F.transform("_pairs", lambda s: s[TOKEN_ID]).alias(INPUT_IDS)))
     empty = F.array().cast("array<int>")
-    return (df.join(per_text, text, "left")
-              .withColumn(INPUT_IDS, F.when(F.col(text).isNotNull(), F.coalesce(F.col(INPUT_IDS), empty)))
-              .withColumn(N_TOKENS, F.size(token_array(text))))
+    return (keyed.join(per_text, KEY, "left")
+                 .withColumn(INPUT_IDS, F.when(F.col(KEY).isNotNull(), F.coalesce(F.col(INPUT_IDS), empty)))
+                 .withColumn(N_TOKENS, F.size(token_array(text))).drop(KEY))
 
 
 def pad(df: DataFrame, max_length: int, ids: str = INPUT_IDS, mask: str = ATTENTION_MASK,

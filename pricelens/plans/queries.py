@@ -23,7 +23,7 @@ from pricelens.streaming import landing
 from pricelens.sources.tables import (
     RAW_BAD_DATE_BUCKETS, RAW_BAD_PRICE_BUCKETS, RAW_OVERFLOW_COMMAS, RAW_SEED, RAW_WRAPPED_BUCKETS, land_once,
     TABLE_BIN_WIDTH, TABLE_DATE_VIEWPORT, TABLE_FILTERS, TABLE_LADDER, TABLE_PRICE_CLIP, TABLE_PRICE_VIEWPORT,
-    listings,
+    listings, read_table,
 )
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -335,6 +335,15 @@ def q_tokens_padded(spark, sf_dir):
     return out.select(S.URL, model.SPLIT, tokens.INPUT_IDS, tokens.ATTENTION_MASK, tokens.N_TOKENS)
 
 
+@query("tokens_documents")
+def q_tokens_documents(spark, sf_dir):
+    """Long accented texts in four languages: truncation, unknown words, padding to the full length."""
+    df = model.add_split(read_table(spark, sf_dir, "documents").select("doc_id", "text"), key="doc_id")
+    vocab = tokens.fit_vocabulary(df.filter(F.col(model.SPLIT) == model.TRAIN), "text")
+    out = tokens.tokenize(df, "text", vocab, S.ORIGINAL_MAX_LENGTH_TRAIN)
+    return out.select("doc_id", model.SPLIT, tokens.INPUT_IDS, tokens.ATTENTION_MASK, tokens.N_TOKENS)
+
+
 # --- step 9: files: raw export repair, quarantine, CSV round trip -----------------
 
 def raw_export_path(spark, sf_dir) -> str:

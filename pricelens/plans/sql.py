@@ -207,12 +207,16 @@ WHERE x BETWEEN {TABLE_PRICE_VIEWPORT[0]!r} AND {TABLE_PRICE_VIEWPORT[1]!r}"""
 from pricelens import schema as _S  # noqa: E402
 
 SEED = _S.ORIGINAL_SEED
-SPLIT_TRAIN, SPLIT_VAL = 64, 80
+SPLIT_TRAIN, SPLIT_VAL = 6400, 8000
+
+
+def split_case(key: str) -> str:
+    bucket = f"CAST(('0x' || substr(md5('{SEED}|' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT % 10000 AS INTEGER)"
+    return f"CASE WHEN {bucket} < {SPLIT_TRAIN} THEN 'train' WHEN {bucket} < {SPLIT_VAL} THEN 'val' ELSE 'test' END"
+
 
 MODELLING = PREPARED + f""",
-sp AS (SELECT *, CASE WHEN b < {SPLIT_TRAIN} THEN 'train' WHEN b < {SPLIT_VAL} THEN 'val' ELSE 'test' END AS split
-       FROM (SELECT *, CAST(('0x' || substr(md5('{SEED}|' || url), 1, 8))::BIGINT % 100 AS INTEGER) AS b
-             FROM prompts) t),
+sp AS (SELECT *, {split_case("url")} AS split FROM prompts),
 sc AS (SELECT avg(price) AS mean, stddev_pop(price) AS std, count(price) AS n FROM sp WHERE split = 'train'),
 z AS (SELECT sp.*, (price - sc.mean) / sc.std AS price_z FROM sp, sc),
 nm AS (SELECT name, avg(price_z) AS name_z FROM z WHERE split = 'train' GROUP BY name),
@@ -317,10 +321,9 @@ ORACLE["lowess_trend"] = with_(LISTINGS, PREPARED, *_lowess_ctes(LISTING_POINTS,
 SELECT phone_model, x AS days_passed, round(y, 4) AS price, round(fit, 4) AS trend FROM fit{ROUNDS}"""
 
 
-TOKENS = MODELLING + f""",
-tk AS (SELECT url, split, days_passed_name_desc AS t,
-              list_filter(regexp_split_to_array(lower(days_passed_name_desc), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS toks
-       FROM sp),
+def _tokens(rows: str, key: str) -> str:
+    """CTEs that encode and pad the texts of ``rows`` (key, split, t)."""
+    return f"""tk AS (SELECT {key}, split, t, list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS toks FROM ({rows}) r),
 vc AS (SELECT token, count(*) AS freq FROM (SELECT unnest(toks) AS token FROM tk WHERE split = 'train') u GROUP BY token),
 vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, token) + 1 AS INTEGER) AS id FROM vc),
 d AS (SELECT DISTINCT t, toks FROM tk WHERE t IS NOT NULL),
@@ -328,17 +331,19 @@ ex AS (SELECT t, pos, toks[pos] AS token
        FROM (SELECT t, toks, unnest(range(1, least(len(toks), {_S.ORIGINAL_MAX_LENGTH_TRAIN}) + 1)) AS pos FROM d) r),
 ids AS (SELECT ex.t, list(coalesce(v.id, 1) ORDER BY ex.pos) AS input_ids
         FROM ex LEFT JOIN vocab v USING (token) GROUP BY ex.t),
-enc AS (SELECT tk.url, tk.split, tk.toks, coalesce(ids.input_ids, []::INTEGER[]) AS input_ids
+enc AS (SELECT tk.{key}, tk.split, tk.toks, coalesce(ids.input_ids, []::INTEGER[]) AS input_ids
         FROM tk LEFT JOIN ids USING (t)),
-ln AS (SELECT least({_S.ORIGINAL_MAX_LENGTH_TRAIN}, coalesce(max(len(input_ids)), 0)) AS L FROM enc)"""
-
-ORACLE["tokens_padded"] = with_(LISTINGS, TOKENS) + """
-SELECT url, split, list_resize(input_ids, L, 0) AS input_ids,
+ln AS (SELECT least({_S.ORIGINAL_MAX_LENGTH_TRAIN}, coalesce(max(len(input_ids)), 0)) AS L FROM enc)
+SELECT {key}, split, list_resize(input_ids, L, 0) AS input_ids,
        list_resize(list_transform(input_ids, lambda x: 1), L, 0) AS attention_mask,
        CAST(len(toks) AS INTEGER) AS n_tokens
 FROM enc, ln"""
 
 
+ORACLE["tokens_padded"] = with_(LISTINGS, MODELLING, _tokens("SELECT url, split, days_passed_name_desc AS t FROM sp", "url"))
+ORACLE["tokens_documents"] = with_(_tokens(f"SELECT doc_id, {split_case('doc_id')} AS split, text AS t FROM documents", "doc_id"))
+
+
 # --- files ----------------------------------------------------------------------------
 RAW = f"""rb AS (SELECT *, CAST(('0x' || substr(md5('{RAW_SEED}|' || url), 1, 8))::BIGINT % 100 AS INTEGER) AS b
        FROM listings)"""

@@ -8,7 +8,6 @@ values: condition ``l_returnflag``, type ``l_linestatus``, name ``p_name``;
 
 from __future__ import annotations
 
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +33,8 @@ RAW_BAD_PRICE_BUCKETS = (8,)
 RAW_BAD_DATE_BUCKETS = (9, 10)
 
 _LANDED: dict[tuple, str] = {}
-_LANDED_LOCK = threading.RLock()
+_LOCKS: dict[tuple, threading.RLock] = {}
+_LANDED_LOCK = threading.Lock()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,36 +81,51 @@ def listings_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _fingerprint(sf_dir: str) -> tuple:
-    parts = []
-    for name in ("lineitem", "part", "supplier", "nation", "orders"):
-        p = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        try:
-            st = os.stat(p)
-            parts.append((name, st.st_size, int(st.st_mtime)))
-        except OSError:  # remote store: the path itself is the key
-            parts.append((name, p))
-    return (os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, tuple(parts))
+def _state(spark: SparkSession, path: str) -> tuple:
+    """(name, size, modification time) of every file of a table, as the table's own store lists them."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in store.listStatus(at)))
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    base = sf_dir.rstrip("/")
+    return (base, *((name, _state(spark, f"{base}/{name}.parquet")) for name in ("lineitem", "part", "supplier", "nation", "orders")))
 
 
 def land_once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
     """Path of a dataset derived from ``sf_dir``, written by ``write(path)``
-    once per process and input, under a new unique path in the shared
-    checkpoint folder."""
-    key = (id(spark.sparkContext._jsc), _fingerprint(sf_dir), name)
+    once per application and state of the input files, under a new unique path
+    in the shared checkpoint folder.  Only callers of the same dataset wait for
+    one another."""
+    key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir), name)
     with _LANDED_LOCK:
-        path = _LANDED.get(key)
-        if path is None:
+        own = _LOCKS.setdefault(key, threading.RLock())
+    with own:
+        if key not in _LANDED:
             path = scratch_path(spark, name)
             write(path)
             _LANDED[key] = path
-    return path
+        return _LANDED[key]
+
+
+def forget_landed(spark: SparkSession) -> int:
+    """Delete what this application has landed; later calls land it anew.  Returns how many datasets went."""
+    app = spark.sparkContext.applicationId
+    with _LANDED_LOCK:
+        gone = [k for k in _LANDED if k[0] == app]
+        paths = [_LANDED.pop(k) for k in gone]
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def listings(spark: SparkSession, sf_dir: str, landed: bool = True) -> DataFrame:
     """Listings, landed once as parquet in the shared checkpoint folder.
 
-    The five-way join runs once per process and input; later queries scan
+    The five-way join runs once per application and input; later queries scan
     the landed parquet (pushdown, pruning, no joins).  This is the hand-off
     the original makes with its standardized file.  Each landing goes to a
     new unique path, so concurrent sessions never overwrite each other.
