@@ -154,16 +154,18 @@ def encode_documents(documents: DataFrame, tokenizer: str, keep_ids: bool = True
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for part in slices(texts):
-                sizes, ids_hash, text_hash, all_ids = [], [], [], []
-                for data in encoder.batch(texts[part]):
+                sizes, ids_hash, text_hash = [], [], []
+                encoded = encoder.batch(texts[part])
+                for data in encoded:
                     ids = np.frombuffer(data, "<u4").tolist()
                     sizes.append(len(ids))
                     ids_hash.append(hashlib.sha256(",".join([numerals[i] for i in ids]).encode()).hexdigest())
                     text_hash.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
-                    if keep_ids:
-                        all_ids.append(ids)
-                columns = [doc_ids.slice(part.start, part.stop - part.start), pa.array(sizes, pa.int64()),
-                           *([pa.array(all_ids, pa.list_(pa.int32()))] if keep_ids else []), pa.array(ids_hash), pa.array(text_hash)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", *(["ids"] if keep_ids else []), "ids_sha256", "decoded_sha256"])
+                columns = {"doc_id": doc_ids.slice(part.start, part.stop - part.start), "n_tokens": pa.array(sizes, pa.int64())}
+                if keep_ids:
+                    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)))
+                columns |= {"ids_sha256": pa.array(ids_hash), "decoded_sha256": pa.array(text_hash)}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)

@@ -176,7 +176,8 @@ def normalise(manifest: DataFrame, folder: str, to_folder: str) -> DataFrame:
     the response instead.  Returns archive (new name) and its sidecar index.
     """
     links = revisits(manifest).groupBy("archive").agg(F.collect_list(F.struct("ordinal", "refers_to")).alias("links"))
-    jobs = manifest.select("archive").distinct().join(links, "archive", "left")
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    jobs = manifest.select("archive").distinct().join(links, "archive", "left").repartition(tasks)  # small rows, large work
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, root = store(folder)
