@@ -58,13 +58,13 @@ def regression_metrics(df: DataFrame, label: str, prediction: str, group_cols: S
     """``[group..., ] n, mse, rmse, mae, r2``."""
     agg = df.groupBy(*group_cols).agg(*metric_columns(label, prediction)) if group_cols else \
         df.agg(*metric_columns(label, prediction))
-    return rounded(agg)
+    return agg
 
 
 def smape(df: DataFrame, label: str, prediction: str, group_cols: Sequence[str] = ()) -> DataFrame:
     agg = df.groupBy(*group_cols).agg(F.count(F.col(label)).alias("n"), smape_column(label, prediction)) \
         if group_cols else df.agg(F.count(F.col(label)).alias("n"), smape_column(label, prediction))
-    return agg.withColumn("smape", F.round("smape", DIGITS["smape"]))
+    return agg
 
 
 def unscale_metrics(history: DataFrame, mean, std, mode: str = "correct") -> DataFrame:

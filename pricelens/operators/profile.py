@@ -44,7 +44,7 @@ def category_share(df: DataFrame, column: str, pct_name: str = "pct") -> DataFra
     counts = (df.filter(F.col(column).isNotNull())
                 .groupBy(column).agg(F.count(F.lit(1)).alias("n")))
     total = counts.select(F.sum("n")).scalar()
-    return counts.withColumn(pct_name, F.round(F.lit(100.0) * F.col("n") / total, 6))
+    return counts.withColumn(pct_name, F.lit(100.0) * F.col("n") / total)
 
 
 def mean_by(df: DataFrame, keys: Sequence[str], value: str, name: str = "mean_price") -> DataFrame:
@@ -52,7 +52,7 @@ def mean_by(df: DataFrame, keys: Sequence[str], value: str, name: str = "mean_pr
     present = df
     for k in keys:
         present = present.filter(F.col(k).isNotNull())
-    return present.groupBy(*keys).agg(F.round(F.avg(value), 6).alias(name))
+    return present.groupBy(*keys).agg(F.avg(value).alias(name))
 
 
 def stage_counts(df: DataFrame, conditions: Mapping[str, object], price_clip: float,
@@ -88,7 +88,7 @@ def distinct_keys(df: DataFrame, column: str) -> DataFrame:
 
 def avg_text_length(df: DataFrame, columns: Sequence[str], prefix: str = "avg_len_") -> DataFrame:
     """Mean character length per text column, one row."""
-    return df.agg(*[F.round(F.avg(text_length(c)), 6).alias(prefix + c) for c in columns])
+    return df.agg(*[F.avg(text_length(c)).alias(prefix + c) for c in columns])
 
 
 def phrase_counts(df: DataFrame, column: str, phrases: Sequence[str]) -> DataFrame:

@@ -79,7 +79,7 @@ def lowess_fit(x: np.ndarray, y: np.ndarray, frac: tuple[int, int] = S.ORIGINAL_
 
 def lowess(df: DataFrame, series: Sequence[str], x: str, y: str, target: str = "trend",
            frac: tuple[int, int] = S.ORIGINAL_LOWESS_FRAC,
-           iterations: int = S.ORIGINAL_LOWESS_ITERATIONS, digits: int = 4) -> DataFrame:
+           iterations: int = S.ORIGINAL_LOWESS_ITERATIONS) -> DataFrame:
     """``series..., x, y, trend``: one point per (series, x), y = mean of the rows there."""
     keys = list(series)
     points = (df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -98,5 +98,4 @@ def lowess(df: DataFrame, series: Sequence[str], x: str, y: str, target: str = "
         pdf[target] = lowess_fit(xs, ys, frac, iterations)
         return pdf[[f.name for f in schema.fields]]
 
-    out = points.groupBy(*keys).applyInPandas(smooth, schema)
-    return out.select(*keys, x, F.round(y, digits).alias(y), F.round(target, digits).alias(target))
+    return points.groupBy(*keys).applyInPandas(smooth, schema)

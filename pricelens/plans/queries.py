@@ -48,6 +48,11 @@ def prepared(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(land_once(spark, sf_dir, "prepared", write))
 
 
+def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """Digits that both engines agree on; the operators themselves don't round."""
+    return df.select(*[F.round(F.col(c), digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+
+
 # --- step 1: the cleaning pipeline ------------------------------------------
 
 @query("preprocess")
@@ -106,7 +111,8 @@ def q_model_tag(spark, sf_dir):
 @query("avg_text_length")
 def q_avg_text_length(spark, sf_dir):
     pre = q_preprocess(spark, sf_dir)
-    return profile.avg_text_length(pre, [S.DAYS_PASSED_NAME, S.DAYS_PASSED_NAME_DESC])
+    out = profile.avg_text_length(pre, [S.DAYS_PASSED_NAME, S.DAYS_PASSED_NAME_DESC])
+    return _rounded(out, dict.fromkeys(out.columns, 6))
 
 
 @query("preview")
@@ -134,17 +140,17 @@ def q_added_at_counts(spark, sf_dir):
 
 @query("category_share")
 def q_category_share(spark, sf_dir):
-    return profile.category_share(listings(spark, sf_dir), S.VOIVODESHIP)
+    return _rounded(profile.category_share(listings(spark, sf_dir), S.VOIVODESHIP), {"pct": 6})
 
 
 @query("condition_share")
 def q_condition_share(spark, sf_dir):
-    return profile.category_share(listings(spark, sf_dir), S.CONDITION)
+    return _rounded(profile.category_share(listings(spark, sf_dir), S.CONDITION), {"pct": 6})
 
 
 @query("mean_by_date_model")
 def q_mean_by_date_model(spark, sf_dir):
-    return profile.mean_by(_explore(spark, sf_dir), [S.DATE, S.PHONE_MODEL], S.PRICE)
+    return _rounded(profile.mean_by(_explore(spark, sf_dir), [S.DATE, S.PHONE_MODEL], S.PRICE), {"mean_price": 6})
 
 
 @query("stage_counts")
@@ -171,11 +177,6 @@ def _tagged(spark, sf_dir) -> DataFrame:
 BOX_NUMBERS = ["min", "max", "mean", "q1", "median", "q3", "lower_fence", "upper_fence", "whisker_low", "whisker_high"]
 
 
-def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
-    """Digits that both engines agree on; the operators themselves don't round."""
-    return df.select(*[F.round(F.col(c), digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
-
-
 @query("box_by_model")
 def q_box_by_model(spark, sf_dir):
     box = distribution.box_stats(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE, max_groups=len(TABLE_LADDER))
@@ -260,13 +261,13 @@ def q_unscale_label(spark, sf_dir):
 @query("regression_metrics")
 def q_regression_metrics(spark, sf_dir):
     df, _ = scored(spark, sf_dir)
-    return metrics.regression_metrics(df, S.PRICE, "prediction", [model.SPLIT])
+    return metrics.rounded(metrics.regression_metrics(df, S.PRICE, "prediction", [model.SPLIT]))
 
 
 @query("smape")
 def q_smape(spark, sf_dir):
     df, _ = scored(spark, sf_dir)
-    return metrics.smape(df.filter(F.col(model.SPLIT) == model.VAL), S.PRICE, "prediction")
+    return metrics.rounded(metrics.smape(df.filter(F.col(model.SPLIT) == model.VAL), S.PRICE, "prediction"), ["smape"])
 
 
 @query("test_rmse")
@@ -313,7 +314,7 @@ def q_extrapolated_flag(spark, sf_dir):
 @query("metrics_long")
 def q_metrics_long(spark, sf_dir):
     df, _ = scored(spark, sf_dir)
-    wide = metrics.regression_metrics(df, S.PRICE, "prediction", [model.SPLIT])
+    wide = metrics.rounded(metrics.regression_metrics(df, S.PRICE, "prediction", [model.SPLIT]))
     return reshape.wide_to_long(wide, [model.SPLIT], ["mse", "rmse", "mae", "r2"], "metric", "value")
 
 
@@ -322,7 +323,7 @@ def q_metrics_long(spark, sf_dir):
 @query("lowess_trend")
 def q_lowess_trend(spark, sf_dir):
     df = prepared(spark, sf_dir).filter(F.col(S.PHONE_MODEL).isNotNull())
-    return trend.lowess(df, [S.PHONE_MODEL], S.DAYS_PASSED, S.PRICE)
+    return _rounded(trend.lowess(df, [S.PHONE_MODEL], S.DAYS_PASSED, S.PRICE), {S.PRICE: 4, "trend": 4})
 
 
 # --- step 8: tokens ------------------------------------------------------------
@@ -459,7 +460,7 @@ def q_text_regression_eval(spark, sf_dir):
     df, _ = modelling_frame(spark, sf_dir)
     scored = tokenmean.predict(tokenmean.load_run(spark, path), df, TEXT_RUNS[MAIN_RUN])
     out = model.unscale(scored, textmodel.read_scaler(spark, path), textmodel.PREDICTION_Z, "prediction")
-    return metrics.regression_metrics(out, S.PRICE, "prediction", [model.SPLIT])
+    return metrics.rounded(metrics.regression_metrics(out, S.PRICE, "prediction", [model.SPLIT]))
 
 
 @query("metric_history")
@@ -504,7 +505,7 @@ def q_forecast_prompts(spark, sf_dir):
 @query("forecast_lowess")
 def q_forecast_lowess(spark, sf_dir):
     """Smoothed forecast curve of each prompt, as the charts draw it."""
-    smooth = trend.lowess(text_forecast(spark, sf_dir, TABLE_LADDER), ["prompt"], "day", S.PRICE)
+    smooth = _rounded(trend.lowess(text_forecast(spark, sf_dir, TABLE_LADDER), ["prompt"], "day", S.PRICE), {S.PRICE: 4, "trend": 4})
     last = prepared(spark, sf_dir).select(F.max(S.DAYS_PASSED)).scalar()
     return clean.flag_extrapolated(smooth, last)
 

@@ -53,7 +53,7 @@ def test_lowess_on_spark_groups(spark):
             for _ in range(3):
                 rows.append((s, d, float(1000 + 5 * d + rng.normal(0, 10))))
     pdf = pd.DataFrame(rows, columns=["s", "day", "price"])
-    out = lowess(spark.createDataFrame(pdf), ["s"], "day", "price", digits=8).toPandas()
+    out = lowess(spark.createDataFrame(pdf), ["s"], "day", "price").toPandas()
     assert len(out) == 80
     for s, grp in out.groupby("s"):
         pts = pdf[pdf.s == s].groupby("day").price.mean()
