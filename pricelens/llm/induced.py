@@ -19,11 +19,12 @@ time, instead of a recursion on their names.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 
+from pricelens.llm.shared import store, unique_name
+
 #: Bytes of queue entries held in memory; beyond it the fullest queues go to disk.
 QUEUE_BYTES = 96 << 20
 #: Entries dealt to the queues at a time.
@@ -33,36 +34,46 @@ BLOCK = 1 << 17
 class BucketQueues:
     """A FIFO of (positions, prefixes) arrays for each first byte, disk-backed.
 
-    The file is anonymous scratch of this one task: nothing else reads it and
-    it goes with the task.
+    Beyond ``budget`` bytes the fullest queue is written to a file of its own
+    under ``spill`` (a URI of the shared folder) and read back, once, when its
+    byte's turn comes.  Without ``spill`` all stays in memory.
     """
 
-    def __init__(self, budget: int = QUEUE_BYTES):
-        self.budget, self.held = budget, 0
+    def __init__(self, budget: int = QUEUE_BYTES, spill: str | None = None):
+        self.budget, self.held, self.spill = budget, 0, spill
         self.parts: list[list] = [[] for _ in range(256)]
         self.weight = [0] * 256
-        self.file = None
 
     def put(self, byte: int, positions: np.ndarray, prefixes: np.ndarray) -> None:
         self.parts[byte].append((positions, prefixes))
-        size = 9 * len(positions)
+        size = (positions.itemsize + 1) * len(positions)
         self.weight[byte] += size
         self.held += size
-        if self.held > self.budget:
-            self._spill(max(range(256), key=self.weight.__getitem__))
-
-    def _spill(self, byte: int) -> None:
-        if self.file is None:
-            self.file = tempfile.TemporaryFile()
-        for i, part in enumerate(self.parts[byte]):
-            if isinstance(part[0], np.ndarray):
-                at = self.file.seek(0, 2)
-                self.file.write(np.ascontiguousarray(part[0], np.int64).tobytes())
-                self.file.write(np.ascontiguousarray(part[1], np.uint8).tobytes())
-                self.parts[byte][i] = (at, len(part[0]))
+        if self.held > self.budget and self.spill is not None:
+            self._write_out(max(range(256), key=self.weight.__getitem__))
+
+    def _write_out(self, byte: int) -> None:
+        held = [p for p in self.parts[byte] if isinstance(p, tuple)]
+        positions, prefixes = _joined(held)
+        filesystem, root = store(self.spill)
+        filesystem.create_dir(root, recursive=True)
+        path = f"{root}/{unique_name('queue', '.bin')}"
+        with filesystem.open_output_stream(path, compression=None) as out:
+            out.write(positions.astype("<i8").tobytes())
+            out.write(prefixes.tobytes())
+        # what is in memory came after everything already written
+        self.parts[byte] = [p for p in self.parts[byte] if not isinstance(p, tuple)] + [path]
         self.held -= self.weight[byte]
         self.weight[byte] = 0
 
+    def _read_back(self, path: str) -> tuple[np.ndarray, np.ndarray]:
+        filesystem, _ = store(self.spill)
+        with filesystem.open_input_stream(path, compression=None) as f:
+            data = f.read()
+        filesystem.delete_file(path)
+        n = len(data) // 9
+        return np.frombuffer(data, "<i8", n), np.frombuffer(data, np.uint8, n, 8 * n)
+
     def take(self, byte: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All entries of a byte put so far, in order; the queue is empty afterwards."""
         parts, self.parts[byte] = self.parts[byte], []
@@ -71,10 +82,8 @@ class BucketQueues:
         ready: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
         for part in parts:
-            if not isinstance(part[0], np.ndarray):
-                self.file.seek(part[0])
-                data = self.file.read(9 * part[1])
-                part = np.frombuffer(data, np.int64, part[1]), np.frombuffer(data, np.uint8, part[1], 8 * part[1])
+            if not isinstance(part, tuple):
+                part = self._read_back(part)
             ready.append(part)
             count += len(part[0])
             if count >= BLOCK:
@@ -151,17 +160,17 @@ class _RangeMin:
 class SuffixOrder:
     """Sorted suffixes of ``text`` (uint8, strings separated and ended by 0), first byte by first byte."""
 
-    def __init__(self, text: np.ndarray, depth: int, budget: int = QUEUE_BYTES):
+    def __init__(self, text: np.ndarray, depth: int, budget: int = QUEUE_BYTES, spill: str | None = None):
         if not len(text) or text[-1] != 0:
             raise ValueError("the text must end in a separator")
-        self.text, self.depth, self.budget = text, depth, budget
+        self.text, self.depth, self.budget, self.spill = text, depth, budget, spill
         n = len(text)
         # S-type: smaller than the suffix to its right; equal bytes take the type of the next
         step = np.zeros(n, np.int8)
         step[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1])
         step[-1] = 1
         moves = step != 0
-        self.rising = step[moves][np.cumsum(moves) - moves] > 0
+        self.rising = step[moves][np.cumsum(moves, dtype=np.int32) - moves] > 0
         self.words = _words(text)
 
     def prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,7 +191,7 @@ class SuffixOrder:
 
     def seeds(self) -> np.ndarray:
         """LMS suffixes in order, up to ``depth``: eight bytes at a time, only those still tied."""
-        lms = np.nonzero(self.rising[1:] & ~self.rising[:-1])[0] + 1
+        lms = (np.nonzero(self.rising[1:] & ~self.rising[:-1])[0] + 1).astype(np.int32 if len(self.text) < 1 << 31 else np.int64)
         order = lms[np.argsort(self.words[lms], kind="stable")]
         tied = np.arange(len(order))
         key = self.words[order]
@@ -210,7 +219,7 @@ class SuffixOrder:
         text, rising = self.text, self.rising
         seeds = self.seeds()
         seed_bytes = text[seeds]
-        queues, kept = BucketQueues(self.budget), BucketQueues(self.budget)
+        queues, kept = BucketQueues(self.budget, self.spill), BucketQueues(self.budget, self.spill)
         dealer = _Dealer(text, queues, self.depth)
         for byte in range(256):
             last = None
@@ -232,9 +241,9 @@ class SuffixOrder:
                 if last is None:
                     prefixes[0] = 0
                 dealer.deal(own, prefixes, np.ones(len(own), bool))
-        queues = BucketQueues(self.budget)
+        queues = BucketQueues(self.budget, self.spill)
         dealer = _Dealer(text, queues, self.depth)
-        none = (np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        none = (seeds[:0], np.zeros(0, np.uint8))
         for byte in range(255, -1, -1):
             falling: list[tuple[np.ndarray, np.ndarray]] = []
             while queues.parts[byte]:

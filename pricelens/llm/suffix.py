@@ -37,7 +37,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -49,10 +48,13 @@ from pricelens.llm.shared import shared_folder, written
 
 WINDOW = 50
 GRAM = 16
-#: Text bytes of a chunk (one document at least).
-CHUNK_BYTES = 1 << 20
-#: Distinct cells of a shard, on average, at most.
+#: Text bytes of a chunk (one document at least); rows of this size stay small objects for the JVM's collector.
+CHUNK_BYTES = 1 << 18
+#: Cells of a shard that is judged, and of one that is sorted, on average, at most.
 SHARD_CELLS = 1_500_000
+SORT_CELLS = 25_000
+#: Parts of a shard that are judged one after the other, which bounds the memory of its sort.
+JUDGED_PARTS = 8
 #: Bytes hashed at a time.
 BLOCK_BYTES = 1 << 17
 
@@ -160,8 +162,11 @@ class Chunk:
         self.entry[order] = np.cumsum(new) - 1
         self.member = order[new]  # a cell of the smallest doc
         self.anchor, self.content, self.first = a[new], c[new], doc[order][new]
-        bucket = ((self.anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with the anchor
-        self.cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        self.cuts = self.shards(buckets)
+
+    def shards(self, count: int) -> np.ndarray:
+        """Where each of ``count`` shards begins among the entries (shards rise with the anchor), and their end."""
+        return np.searchsorted(((self.anchor >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64), np.arange(count + 1))
 
     def states(self, told: list, buckets: int) -> np.ndarray:
         out = np.zeros(len(self.anchor), np.uint8)
@@ -230,20 +235,26 @@ def _first_entries(chunks: DataFrame, buckets: int) -> DataFrame:
     """(bucket, chunk, n, anchors, contents, docs) packed per chunk and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row["rows"], row["counts"])
-                chunk.cells(buckets)
-                out = []
-                for b in np.nonzero(np.diff(chunk.cuts))[0]:
-                    s = slice(chunk.cuts[b], chunk.cuts[b + 1])
-                    out.append((int(b), row["chunk"], s.stop - s.start, _low_bytes(chunk.anchor[s], 6), _low_bytes(chunk.content[s], 6), _pack_docs(chunk.first[s])))
-                if out:
-                    yield _table(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["bucket", "chunk", "n", "anchors", "contents", "docs"])
+        for row in _rows(batches):
+            chunk = Chunk(row["rows"], row["counts"])
+            chunk.cells(buckets)
+            out = []
+            for b in np.nonzero(np.diff(chunk.cuts))[0]:
+                s = slice(chunk.cuts[b], chunk.cuts[b + 1])
+                out.append((int(b), row["chunk"], s.stop - s.start, _low_bytes(chunk.anchor[s], 6), _low_bytes(chunk.content[s], 6), _pack_docs(chunk.first[s])))
+            if out:
+                yield _table(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["bucket", "chunk", "n", "anchors", "contents", "docs"])
 
     return chunks.select("chunk", "rows", "counts").mapInArrow(run, "bucket long, chunk long, n long, anchors binary, contents binary, docs binary")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time: chunk rows are large, so a batch is never held twice."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _table(rows: list[tuple], types: tuple, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
@@ -255,8 +266,18 @@ def judge_entries(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray) -> n
     occurrence; COVERED: the cell is in a smaller document; FIRST: first
     occurrence of a cell whose anchor has other cells as well.
     """
+    out = np.empty(len(anchor), np.uint8)
+    part = (_mixed(anchor) % np.uint64(JUDGED_PARTS)).astype(np.uint8)
+    for p in range(JUDGED_PARTS):
+        at = np.nonzero(part == p)[0]
+        if len(at):
+            out[at] = _judge(anchor[at], content[at], doc[at])
+    return out
+
+
+def _judge(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
     n = len(anchor)
-    order = np.lexsort((doc, content, anchor))
+    order = np.lexsort((content, anchor))
     a, c, d = anchor[order], content[order], doc[order]
     new_anchor, new_cell = np.ones(n, bool), np.ones(n, bool)
     new_anchor[1:] = a[1:] != a[:-1]
@@ -265,70 +286,79 @@ def judge_entries(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray) -> n
     of_anchor, of_cell = np.cumsum(new_anchor) - 1, np.cumsum(new_cell) - 1
     shared = np.minimum.reduceat(d, anchor_at) != np.maximum.reduceat(d, anchor_at)
     several = np.add.reduceat(new_cell, anchor_at, dtype=np.int64) > 1
-    state = np.where(d > d[cell_at][of_cell], COVERED, np.where((shared & several)[of_anchor], FIRST, NEW))
+    state = np.where(d > np.minimum.reduceat(d, cell_at)[of_cell], COVERED, np.where((shared & several)[of_anchor], FIRST, NEW))
     out = np.empty(n, np.uint8)
     out[order] = state
     return out
 
 
 def _judged(entries: DataFrame) -> DataFrame:
-    """(chunk, bucket, states) for every packed entry row."""
+    """(chunk, bucket, states, firsts) for every packed entry row; ``firsts`` counts its FIRST entries."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sizes = frame["n"].to_numpy(np.int64)
+    def run(rows: pa.Table) -> pa.Table:
+        sizes = rows["n"].to_numpy()
         total = int(sizes.sum())
-        state = judge_entries(_from_low_bytes(b"".join(frame["anchors"]), total, 6), _from_low_bytes(b"".join(frame["contents"]), total, 6),
-                              np.concatenate([_unpack_docs(x, int(n)) for x, n in zip(frame["docs"], sizes, strict=True)]))
+        state = judge_entries(_from_low_bytes(_joined(rows["anchors"]), total, 6), _from_low_bytes(_joined(rows["contents"]), total, 6),
+                              np.concatenate([_unpack_docs(x.as_py(), int(n)) for x, n in zip(rows["docs"], sizes, strict=True)]))
         ends = np.cumsum(sizes)
-        return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "states": [state[e - n:e].tobytes() for e, n in zip(ends, sizes, strict=True)]})
+        parts = [state[e - n:e] for e, n in zip(ends, sizes, strict=True)]
+        return pa.table({"chunk": rows["chunk"], "bucket": rows["bucket"], "states": pa.array([x.tobytes() for x in parts], pa.binary()),
+                         "firsts": pa.array([int((x == FIRST).sum()) for x in parts], pa.int64())})
+
+    return entries.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, states binary, firsts long")
+
 
-    return entries.groupBy("bucket").applyInPandas(run, "chunk long, bucket long, states binary")
+def _joined(column: pa.ChunkedArray) -> bytes:
+    return b"".join(x.as_py() for x in column)
 
 
-def _first_cells(chunks: DataFrame, states: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, sizes, docs, text) of the FIRST cells, in the order of their entries."""
+def _first_cells(chunks: DataFrame, states: DataFrame, buckets: int, shards: int) -> DataFrame:
+    """(shard, chunk, sizes, docs, text) of the FIRST cells, in the order of their entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row["rows"], row["counts"])
-                chunk.cells(buckets)
-                picked = np.nonzero(chunk.states(row["told"], buckets) == FIRST)[0]
-                shard = np.searchsorted(chunk.cuts, picked, side="right") - 1
-                out = []
-                for b in np.unique(shard):
-                    mine = picked[shard == b] if len(picked) < 64 else picked[slice(*np.searchsorted(shard, [b, b + 1]))]
-                    cells = chunk.member[mine]
-                    low, size = chunk.low[cells], chunk.count[cells] + WINDOW - 1
-                    places = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
-                    out.append((int(b), row["chunk"], size.astype(np.uint8).tobytes(), _pack_docs(chunk.first[mine]), chunk.data[places].tobytes()))
-                if out:
-                    yield _table(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["bucket", "chunk", "sizes", "docs", "text"])
-
-    return chunks.join(states, "chunk").select("chunk", "rows", "counts", "told").mapInArrow(run, "bucket long, chunk long, sizes binary, docs binary, text binary")
-
-
-def mark_windows(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        for row in _rows(batches):
+            chunk = Chunk(row["rows"], row["counts"])
+            chunk.cells(buckets)
+            picked = np.nonzero(chunk.states(row["told"], buckets) == FIRST)[0]
+            shard = np.searchsorted(chunk.shards(shards), picked, side="right") - 1
+            out = []
+            for b in np.unique(shard):
+                mine = picked[shard == b] if len(picked) < 64 else picked[slice(*np.searchsorted(shard, [b, b + 1]))]
+                cells = chunk.member[mine]
+                low, size = chunk.low[cells], chunk.count[cells] + WINDOW - 1
+                places = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+                out.append((int(b), row["chunk"], size.astype(np.uint8).tobytes(), _pack_docs(chunk.first[mine]), chunk.data[places].tobytes()))
+            if out:
+                yield _table(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["shard", "chunk", "sizes", "docs", "text"])
+
+    return chunks.join(states, "chunk").select("chunk", "rows", "counts", "told").mapInArrow(run, "shard long, chunk long, sizes binary, docs binary, text binary")
+
+
+def mark_windows(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray, spill: str | None = None) -> np.ndarray:
     """Mask of each cell: bit j is set when its j-th window is in a cell of a smaller doc.
 
-    ``text`` holds the cells end to end, ``sizes`` their bytes.
+    ``text`` holds the cells end to end, ``sizes`` their bytes; the sorter's
+    queues go to ``spill`` beyond their memory budget.
     """
     masks = np.zeros(len(sizes), np.uint64)
     if not len(sizes):
         return masks
-    used = np.zeros(256, bool)
-    used[np.unique(text)] = True
+    used = np.bincount(text, minlength=256) > 0
     if used.sum() > 255:
         raise ValueError("text that uses every byte value can't be separated")
     code = np.cumsum(used).astype(np.uint8)  # keeps order, leaves 0 for separators
     begin = np.cumsum(sizes + 1) - sizes - 1
     whole = np.zeros(int(sizes.sum()) + len(sizes), np.uint8)
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes + 1)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
     inside = np.ones(len(whole), bool)
     inside[begin + sizes] = False
     whole[inside] = code[text]
-    windows = np.arange(len(whole)) - begin[owner] <= (sizes - WINDOW)[owner]
-    for positions, common in SuffixOrder(whole, WINDOW).buckets():
+    # a window starts where WINDOW bytes are left in its cell: count the starts open at each place
+    edges = np.zeros(len(whole) + 1, np.int8)
+    edges[begin] = 1
+    edges[begin + sizes - WINDOW + 1] -= 1
+    windows = np.cumsum(edges[:-1], dtype=np.int8) > 0
+    for positions, common in SuffixOrder(whole, WINDOW, spill=spill).buckets():
         run = np.cumsum(common < WINDOW)
         at = windows[positions]
         positions, run = positions[at], run[at]
@@ -344,25 +374,28 @@ def mark_windows(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.nd
 
 
 def _marked(cells: DataFrame) -> DataFrame:
-    """(chunk, bucket, masks) for every row of cells."""
+    """(chunk, shard, masks) for every row of cells."""
+    spill = shared_folder(cells.sparkSession, "queues")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sizes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in frame["sizes"]]
-        docs = [_unpack_docs(x, len(s)) for x, s in zip(frame["docs"], sizes, strict=True)]
-        masks = mark_windows(np.frombuffer(b"".join(frame["text"]), np.uint8), np.concatenate(sizes), np.concatenate(docs))
+    def run(rows: pa.Table) -> pa.Table:
+        sizes = [np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in rows["sizes"]]
+        docs = [_unpack_docs(x.as_py(), len(s)) for x, s in zip(rows["docs"], sizes, strict=True)]
+        masks = mark_windows(np.frombuffer(_joined(rows["text"]), np.uint8), np.concatenate(sizes), np.concatenate(docs), spill)
         ends = np.cumsum([len(s) for s in sizes])
-        return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "masks": [masks[e - len(s):e].astype("<u8").tobytes() for e, s in zip(ends, sizes, strict=True)]})
+        packed = pa.array([masks[e - len(s):e].astype("<u8").tobytes() for e, s in zip(ends, sizes, strict=True)], pa.binary())
+        return pa.table({"chunk": rows["chunk"], "shard": rows["shard"], "masks": packed})
 
-    return cells.groupBy("bucket").applyInPandas(run, "chunk long, bucket long, masks binary")
+    return cells.groupBy("shard").applyInArrow(run, "chunk long, shard long, masks binary")
 
 
-def removed_bytes(chunk: Chunk, told: list, masked: list, buckets: int) -> np.ndarray:
+def removed_bytes(chunk: Chunk, told: list, masked: list, buckets: int, shards: int) -> np.ndarray:
     """Whether each byte of the chunk goes."""
     chunk.cells(buckets)
     state = chunk.states(told, buckets)
     mask = np.zeros(len(state), np.uint64)
+    cuts = chunk.shards(shards)
     for row in masked or []:
-        s = slice(chunk.cuts[row["bucket"]], chunk.cuts[row["bucket"] + 1])
+        s = slice(cuts[row["shard"]], cuts[row["shard"] + 1])
         here = np.nonzero(state[s] == FIRST)[0] + s.start
         mask[here] = np.frombuffer(row["masks"], "<u8")
     starts = np.zeros(len(chunk.data) + 1, np.int32)
@@ -394,28 +427,29 @@ def dedup_substrings(documents: DataFrame, text: str = "text") -> DataFrame:
     spark = documents.sparkSession
     chunks = pack_chunks(documents, text)
     cells = chunks.agg(F.coalesce(F.sum("cells"), F.lit(0))).first()[0]
-    # twice as many shards as tasks, so that dealing them by hash evens out
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells // SHARD_CELLS))
-    states = (written(_judged(_first_entries(chunks, buckets)), "cell-states").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "states")).alias("told")))
-    masks = (written(_marked(_first_cells(chunks, states, buckets)), "cell-masks").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "masks")).alias("masked")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, -(-cells // SHARD_CELLS))
+    judged = written(_judged(_first_entries(chunks, buckets)), "cell-states")
+    states = judged.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "states")).alias("told"))
+    shards = max(parts, -(-judged.agg(F.coalesce(F.sum("firsts"), F.lit(0))).first()[0] // SORT_CELLS))
+    masks = (written(_marked(_first_cells(chunks, states, buckets, shards)), "cell-masks").groupBy("chunk").agg(F.collect_list(F.struct("shard", "masks")).alias("masked")))
     schema = T.StructType([documents.schema[c] if c != text else T.StructField(c, T.StringType()) for c in kept_columns]
                           + [T.StructField(c, T.LongType() if c != "kept_sha256" else T.StringType()) for c in OUTPUT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row["rows"], row["counts"])
-                gone = removed_bytes(chunk, row["told"], row["masked"], buckets)
-                texts, removed, spans, digests = [], [], [], []
-                for a, n in zip(chunk.begin.tolist(), chunk.sizes.tolist(), strict=True):
-                    out = gone[a:a + n]
-                    left = chunk.data[a:a + n][~out].tobytes()
-                    removed.append(int(out.sum()))
-                    spans.append(int(np.count_nonzero(np.diff(out.astype(np.int8), prepend=0) == 1)))
-                    digests.append(hashlib.sha256(left).hexdigest())
-                    texts.append(left.decode("utf-8", "replace"))
-                made = {"n_bytes": pa.array(chunk.sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string()),
-                        text: pa.array(texts, pa.string())}
-                yield pa.RecordBatch.from_arrays([made[c] if c in made else chunk.batch.column(c) for c in (*kept_columns, *OUTPUT)], names=[*kept_columns, *OUTPUT])
+        for row in _rows(batches):
+            chunk = Chunk(row["rows"], row["counts"])
+            gone = removed_bytes(chunk, row["told"], row["masked"], buckets, shards)
+            texts, removed, spans, digests = [], [], [], []
+            for a, n in zip(chunk.begin.tolist(), chunk.sizes.tolist(), strict=True):
+                out = gone[a:a + n]
+                left = chunk.data[a:a + n][~out].tobytes()
+                removed.append(int(out.sum()))
+                spans.append(int(np.count_nonzero(np.diff(out.astype(np.int8), prepend=0) == 1)))
+                digests.append(hashlib.sha256(left).hexdigest())
+                texts.append(left.decode("utf-8", "replace"))
+            made = {"n_bytes": pa.array(chunk.sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string()),
+                    text: pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else chunk.batch.column(c) for c in (*kept_columns, *OUTPUT)], names=[*kept_columns, *OUTPUT])
 
     return (chunks.join(states, "chunk", "left").join(masks, "chunk", "left").select("chunk", "rows", "counts", "told", "masked").mapInArrow(run, schema))

@@ -40,13 +40,14 @@ def got(df):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_suffix_order(seed, monkeypatch):
+def test_suffix_order(seed, monkeypatch, tmp_path):
     rng = random.Random(seed)
     monkeypatch.setattr(induced, "BLOCK", rng.choice([3, 17, 1 << 17]))
     parts = [bytes(rng.choice([1, 2, 3, 255][:rng.randint(1, 4)]) for _ in range(rng.randint(1, 90))) for _ in range(14)]
     parts += parts[:4] + [parts[0][:30] + parts[-1], b"\x04" * 120, b"\x04" * 120]
     text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
-    found = list(induced.SuffixOrder(text, 50, budget=rng.choice([0, 500, 1 << 20])).buckets())[::-1]
+    found = list(induced.SuffixOrder(text, 50, budget=rng.choice([0, 500, 1 << 20]), spill=f"file://{tmp_path}").buckets())[::-1]
+    assert not list(tmp_path.iterdir())  # every spilled queue has been read back and removed
     order, common = (np.concatenate([f[i] for f in found]) for i in (0, 1))
     whole = text.tobytes() + bytes(60)
     assert sorted(order.tolist()) == list(range(len(text) - 1))  # all but the last separator
@@ -98,3 +99,4 @@ def test_empty_table(spark):
 def test_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").collect()]
     assert got(QUERIES["op8_suffix_dedup"](spark, SMALL)) == expected(rows)
+
