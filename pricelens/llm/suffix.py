@@ -152,7 +152,8 @@ class Chunk:
             # the owner of a cell is the least gram of its first window
             keys = _gram_hashes(piece, GRAM)
             least = _least((keys >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(keys), dtype=np.uint64), WINDOW - GRAM + 1)
-            anchor[cells] = keys[(least[low] & _PLACE).astype(np.int64)]
+            # the least of many hashes is a small number: mixed once more, shards of it are even
+            anchor[cells] = _mixed(keys[(least[low] & _PLACE).astype(np.int64)] ^ _BASE)
         doc = self.rank[self.owner]
         order = np.lexsort((doc, content, anchor))
         a, c = anchor[order], content[order]

@@ -100,3 +100,19 @@ def test_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").collect()]
     assert got(QUERIES["op8_suffix_dedup"](spark, SMALL)) == expected(rows)
 
+
+def test_shards_are_even():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(5000)) for _ in range(12)]
+    data, sizes = suffix._text_bytes(pa.array(texts))
+    counts, _ = suffix.cell_counts(data, sizes)
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(12), pa.uint64())], names=["_text", "_rank"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    chunk = suffix.Chunk(sink.getvalue().to_pybytes(), counts.tobytes())
+    chunk.cells(16)
+    share = np.diff(chunk.cuts) / len(chunk.anchor)
+    assert share.max() < 0.1 and share.min() > 0.03
