@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pricelens.llm.tokenbin import PieceEncoder, slices
 
 LONG_WORD = 64
+#: Pieces a worker's codec remembers in a generation; only a memory bound.
+CACHE_PIECES = 250_000
 NO_RANK = 1 << 60
 
 # Fixed value: the split pattern of byte-level BPE tokenizers (published with the tokenizer files).
@@ -136,7 +138,7 @@ def codec(path: str) -> tuple[BytePairCodec, PieceEncoder]:
     """One codec and its cache of pieces per worker process."""
     if path not in _CODECS:
         own = BytePairCodec(path)
-        _CODECS[path] = own, PieceEncoder(lambda texts: [own.encode(t) for t in texts])
+        _CODECS[path] = own, PieceEncoder(lambda texts: [np.array(own.encode(t), "<u4").tobytes() for t in texts], CACHE_PIECES)
     return _CODECS[path]
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ MAGIC = b"TOKIDX01"
 END_ID = 0
 #: Distinct pieces of text whose ids a worker remembers; only a memory bound,
 #: pieces beyond it are encoded again.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 700_000
 #: Pieces handed to the library in one text.
 JOINED_PIECES = 4_096
 MANIFEST = "path string, first_task int, n_docs long, n_tokens long"
@@ -47,64 +47,110 @@ def pieces(text: str) -> list[str]:
     return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
 
+# Inside a piece a token also ends between a letter and a mark, and after a
+# line end that follows a mark; plain letters and marks only, so that no
+# tokenizer's tables can see it otherwise.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_INNER = re.compile(f"(?<=[{_LETTER}])(?=[.,;:!?|$&%*#])|(?<=[.,;:!?|$&%*#]\\n)(?=[{_LETTER}])")
+
+
+def atoms(piece: str) -> list[str]:
+    """Parts of a piece whose encodings, joined, are the encoding of the piece.
+
+    A piece that might hold a control string stays whole.
+    """
+    return [piece] if "<" in piece else _INNER.split(piece)
+
+
+#: A remembered piece: a string stands for itself with a space before it, a
+#: 1-tuple for the string alone (the start of a text, or an atom inside a piece).
+Key = str | tuple[str]
+
+
+def _spelled(key: Key) -> str:
+    return key[0] if type(key) is tuple else " " + key
+
+
+def _key(text: str) -> Key:
+    return text[1:] if text[:1] == " " and len(text) > 1 else (text,)
+
+
 class PieceEncoder:
     """Ids of whole texts by way of remembered pieces.
 
-    ``encode(list of strings)`` gives a list of id lists.  Two generations of
-    the cache are kept: when the young one is full it becomes the old one, so
-    memory is bounded and frequent pieces stay.
+    ``encode`` gives the ids of a list of strings, as little-endian bytes.  A
+    text is cut into pieces, an unknown piece into atoms, and only unknown atoms
+    are encoded.  Two generations of the cache are kept: when the young one is
+    full it becomes the old one, so memory is bounded and frequent pieces stay.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], dtype: str = "<u4", limit: int = CACHE_PIECES):
-        self.encode, self.dtype, self.limit = encode, dtype, limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _known(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of every piece wanted; all unknown ones are encoded in one call."""
-        here = {p: self.young[p] for p in wanted if p in self.young}
-        kept = {p: self.old[p] for p in wanted if p in self.old and p not in here}
-        missing = [p for p in wanted if p not in here and p not in kept]
-        learnt = {p: np.array(ids, self.dtype).tobytes() for p, ids in zip(missing, self.encode(missing), strict=True)} if missing else {}
-        if len(self.young) + len(kept) + len(learnt) > self.limit:
-            self.old, self.young = self.young, {}
-        self.young.update(kept)
-        self.young.update(learnt)
-        return here | kept | learnt
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_PIECES):
+        self.encode, self.limit = encode, limit
+        self.young: dict[Key, bytes] = {}
+        self.old: dict[Key, bytes] = {}
+
+    def _learn(self, missing: set[Key]) -> None:
+        """Put every piece that the young generation lacks into it; all unknown atoms are encoded in one call."""
+        young, old = self.young, self.old
+        young.update([(k, old[k]) for k in missing if k in old])
+        rest = missing.difference(old)
+        words = [k for k in rest if type(k) is str and k.isalpha()]
+        compound = {k: [_key(a) for a in atoms(_spelled(k))] for k in rest.difference(words)}
+        inside = {k for keys in compound.values() for k in keys}
+        young.update([(k, old[k]) for k in inside if k in old])
+        words += [k for k in inside.difference(young, words) if type(k) is str]
+        starts = [k for k in inside.difference(young, words)]
+        young.update(zip(words, self.encode([" " + k for k in words]), strict=True))
+        young.update(zip(starts, self.encode([k[0] for k in starts]), strict=True))
+        young.update([(k, b"".join([young[x] for x in keys])) for k, keys in compound.items()])
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        cut: list[list[str]] = []
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        cut: list[list[Key]] = []
         for text in texts:
-            parts = pieces(text)
-            parts[1:] = [" " + p for p in parts[1:]]
+            parts: list[Key] = pieces(text)
+            parts[0] = (parts[0],)
             cut.append(parts)
-        look = self._known({p for parts in cut for p in parts}).__getitem__
+        if missing := set().union(*cut).difference(self.young):
+            self._learn(missing)
+        look = self.young.__getitem__
         return [b"".join(map(look, parts)) for parts in cut]
 
 
-def encode_joined(tokenizer, widths: np.ndarray, texts: list[str]) -> list[np.ndarray]:
+def encode_joined(tokenizer, widths: np.ndarray, dtype: str, texts: list[str]) -> list[bytes]:
     """Ids of each piece, many pieces to a call of the library.
 
-    Pieces that start with a space and a non-space can follow one another in
-    one text without changing each other's tokens; the ids are cut apart again
-    by the bytes their tokens stand for.  Other pieces are encoded alone.
+    Pieces that start with a space and a non-space can follow one another in one
+    text without changing each other's tokens; so can pieces without blanks at
+    either end if each has a line end before it, which is one token.  The ids
+    are cut apart again by the bytes their tokens stand for; a run of pieces
+    that does not come apart, and any other piece, is encoded alone.
     """
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-    joined = [i for i, t in enumerate(texts) if len(t) > 1 and t[0] == " " and not t[1].isspace()]
-    for a in range(0, len(joined), JOINED_PIECES):
-        part = joined[a:a + JOINED_PIECES]
-        ids = np.array(tokenizer.encode_batch_fast(["".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.cumsum(widths[ids])
-        wanted = np.cumsum([len(texts[i].encode()) for i in part])
-        cuts = np.searchsorted(ends, wanted) + 1
-        if len(ids) < cuts[-1] or not np.array_equal(ends[cuts - 1], wanted):
-            raise ValueError("the tokenizer does not keep pieces apart")
-        for i, ids_of in zip(part, np.split(ids, cuts[:-1]), strict=True):
-            out[i] = ids_of
-    alone = sorted(set(range(len(texts))) - set(joined))
-    for i, e in zip(alone, tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
-        out[i] = np.array(e.ids, np.int64)
+    out = [b""] * len(texts)
+    spaced = [i for i, t in enumerate(texts) if t[:1] == " " and t[1:2].strip()]
+    lined = [i for i, t in enumerate(texts) if t[:1].strip() and t[-1:].strip()] if len(spaced) < len(texts) else []
+    alone = list(set(range(len(texts))).difference(spaced, lined))
+    size = np.dtype(dtype).itemsize
+    for group, before in ((spaced, ""), (lined, "\n")):
+        for a in range(0, len(group), JOINED_PIECES):
+            part = group[a:a + JOINED_PIECES]
+            held = [texts[i] for i in part]
+            ids = np.array(tokenizer.encode_batch_fast([before + before.join(held)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum(widths[ids])
+            wanted = np.cumsum(np.fromiter((len(t.encode()) for t in held), np.int64, len(held)) + len(before))
+            cuts = np.searchsorted(ends, wanted) + 1
+            begins = np.concatenate([[0], cuts[:-1]])
+            if not len(ids) or cuts[-1] > len(ids) or not np.array_equal(ends[cuts - 1], wanted) or (before and (widths[ids[begins]] != 1).any()):
+                alone += part
+                continue
+            data = ids.astype(dtype).tobytes()
+            for i, x, y in zip(part, ((begins + len(before)) * size).tolist(), (cuts * size).tolist(), strict=True):
+                out[i] = data[x:y]
+    if alone:
+        for i, e in zip(alone, tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, dtype).tobytes()
     return out
 
 
@@ -126,7 +172,7 @@ def library_encoder(path: str, dtype: str) -> PieceEncoder:
             widths[i] = len(token)
         for i, token in tokenizer.get_added_tokens_decoder().items():
             widths[i] = len(token.content.encode())
-        _ENCODERS[key] = PieceEncoder(lambda texts: encode_joined(tokenizer, widths, texts), dtype)
+        _ENCODERS[key] = PieceEncoder(lambda texts: encode_joined(tokenizer, widths, dtype, texts))
     return _ENCODERS[key]
 
 
@@ -134,7 +180,7 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def slices(texts: list[str], limit: int = 1 << 20) -> Iterator[slice]:
+def slices(texts: list[str], limit: int = 1 << 21) -> Iterator[slice]:
     """Runs of texts of about ``limit`` characters, at least one text each."""
     begin = size = 0
     for i, t in enumerate(texts):

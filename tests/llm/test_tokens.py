@@ -17,6 +17,7 @@ ODD = [
     "", " ", "  ", "\n", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n \nb", "a\n\n b", "x\t y", "tab \there", "don't we'll I'm",
     "<|endoftext|>", "a <|endoftext|>b", "x <|endoftext|> y<|endoftext|>", "\x1c a \x1cb", "\u00a0a \u00a0 b", "\u3000 \u3000x", "１２ ３ Ⅷ½ a1b2",
     "Ééà ñ 漢字 かな 🎉🎉 e\u0301", "a" * 500, "ab" * 300, "!" * 200, "=-" * 150, "1" * 300, "\r\n\r\n x", "end \n", " \n", " <|endoftext|>", "'s 's'S",
+    "Foo.\nBar, baz!!\n\nQux.\n Zap.\nÉté,\nü.x|y $a*b", "a.\n", ".\nA", "a,b;c:d", "x<|endoftext|>.\nB", "don't.\nI'm!", "word\u0301,\nA", "ŽŁ.,\nż!", "a#\n1", "##\nß,",
 ]
 
 
@@ -46,9 +47,10 @@ def test_scan_and_heap_agree():
 
 @pytest.mark.parametrize("limit", [5, 100_000])
 def test_pieces_do_not_change_the_encoding(library, limit):
-    encoder = tokenbin.PieceEncoder(lambda ts: [e.ids for e in library.encode_batch_fast(ts, add_special_tokens=False)], limit=limit)
+    encoder = tokenbin.library_encoder(TOKENIZER, "<u4")
+    encoder = tokenbin.PieceEncoder(encoder.encode, limit=limit)
     rng = random.Random(7)
-    texts = ODD + ["".join(rng.choice("ab  \n\t.'0é\u00a0\x1c") for _ in range(60)) for _ in range(300)]
+    texts = ODD + ["".join(rng.choice("ab  \n\t.'0é\u00a0\x1c,!<|") for _ in range(60)) for _ in range(600)]
     for _ in range(2):
         for t, data in zip(texts, encoder.batch(texts), strict=True):
             assert np.frombuffer(data, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
