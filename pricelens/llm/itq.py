@@ -4,10 +4,13 @@ A rotation of the principal axes is learned (on a bounded sample) so that
 the signs of the rotated vectors are balanced bits that lose little; further
 rotations from other starts lengthen the code.  The code is cut into
 substrings, one hash table each: by the pigeonhole principle vectors that
-differ in fewer bits than there are tables meet in one at least.  All pairs
-that meet are reranked by the cosine of the original vectors in double
-precision, so only true links remain; what the tables miss is measured in
-the tests (recall over 0.9).
+differ in fewer bits than there are tables meet in one at least.  Vectors at
+the threshold differ in more bits than that, so tables of random rotations are
+added until ``SURE`` of the pairs planted at the threshold around the sample's
+vectors, and of the sample's own close pairs, meet.  These rotations turn about
+the origin, so two vectors part there by their angle alone, whatever the data.
+All pairs that meet are reranked by the cosine of the original vectors in
+double precision, so only true links remain.
 
 Equal vectors fold into one class first and are counted by their number, so a
 large group of copies costs one row.  A bucket gives per-vector link counts
@@ -38,9 +41,14 @@ from pricelens.llm.shared import written
 #: Distinct vectors that the rotations are learned from, at most.
 SAMPLE_ROWS = 8_192
 ITERATIONS = 30
-#: Hash tables, each keyed by 16 bits of the code.
+#: Hash tables of learned rotations, each keyed by 16 bits of the code.
 TABLES = 12
 TABLE_BITS = 16
+#: Tables added at a time until ``SURE`` of the measured pairs meet.
+MORE_TABLES = 4
+SURE = 0.95
+#: Vectors of the sample that pairs are planted around, and whose own pairs are looked at.
+MEASURED_ROWS = 2_048
 #: Rows of a bucket on either side of a block pair, at most about.
 BLOCK_ROWS = 4_096
 #: Rows of all buckets that one group of a task holds, on average.
@@ -73,12 +81,48 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def substrings(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+def substrings(vectors: np.ndarray, projection: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """[rows, tables] 16-bit pieces of the sign codes."""
-    bits = ((vectors - mean) @ projection >= 0).astype(np.uint8)
+    bits = (vectors @ projection >= offset).astype(np.uint8)
     return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view("<u2")
 
 
+def planted(vectors: np.ndarray, cosine: float, draw: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sets of pairs to measure: partners at exactly ``cosine`` in free directions and towards other vectors, and the pairs at ``cosine`` or over."""
+    rows = np.resize(draw.permutation(len(vectors)), MEASURED_ROWS)
+    out = []
+    for towards in (draw.standard_normal((len(rows), vectors.shape[1])), vectors[draw.permutation(rows)]):
+        base = vectors[rows]
+        side = towards - (towards * base).sum(axis=1, keepdims=True) * base
+        size = np.sqrt((side * side).sum(axis=1))
+        apart = size > 1e-6  # a partner along the vector itself has no direction to plant in
+        out.append((base[apart], cosine * base[apart] + np.sqrt(1 - cosine * cosine) * side[apart] / size[apart, None]))
+    some = vectors[rows[:len(vectors)]]
+    a, b = np.nonzero(np.triu(some @ some.T >= cosine, 1))
+    thin = draw.permutation(len(a))[:1 << 16]
+    out.append((some[a[thin]], some[b[thin]]))
+    return [pair for pair in out if len(pair[0])]
+
+
+def code_tables(vectors: np.ndarray, cosine: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(projection [dims, bits], offset [bits]) of as many tables as it takes for ``SURE`` of every set of measured pairs to meet."""
+    mean, projection = rotation(vectors, TABLES * TABLE_BITS)
+    offset = mean @ projection
+    draw = np.random.default_rng(seed)
+    pairs = planted(vectors, cosine, draw)
+    met = [np.zeros(len(a), bool) for a, _ in pairs]
+    fresh, zero = projection, offset
+    while True:
+        for (a, b), m in zip(pairs, met, strict=True):
+            m |= (substrings(a, fresh, zero) == substrings(b, fresh, zero)).any(axis=1)
+        if all(m.mean() >= SURE for m in met):
+            return projection, offset
+        bits, dims = MORE_TABLES * TABLE_BITS, vectors.shape[1]
+        turns = [np.linalg.qr(draw.standard_normal((dims, min(dims, bits))))[0] for _ in range(-(-bits // dims))]
+        fresh, zero = np.concatenate(turns, axis=1)[:, :bits], np.zeros(bits)
+        projection, offset = np.concatenate([projection, fresh], axis=1), np.concatenate([offset, zero])
+
+
 class _Forest:
     def __init__(self, n: int):
         self.parent = np.arange(n)
@@ -135,33 +179,33 @@ def link_classes(classes: DataFrame, cosine: float) -> DataFrame:
     sample = classes.select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE_ROWS).collect()
     if not sample:
         return spark.createDataFrame([], "a long, b long, links long")
-    mean, projection = rotation(unit(np.array([r.embedding for r in sample], np.float64)), TABLES * TABLE_BITS)
+    projection, offset = code_tables(unit(np.array([r.embedding for r in sample], np.float64)), cosine)
+    tables = len(offset) // TABLE_BITS
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            words = substrings(unit(flat.reshape(batch.num_rows, -1)), mean, projection)
+            words = substrings(unit(flat.reshape(batch.num_rows, -1)), projection, offset)
             code = pa.array([w.tobytes() for w in words], pa.binary())
-            for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("copies"), batch.column("embedding"), code, pa.array(np.full(len(words), t), pa.int32()), pa.array(words[:, t].astype(np.int32))],
-                    names=["id", "copies", "embedding", "code", "slot", "word"])
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * tables, pa.int32()), pa.array(words.reshape(-1).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), batch.column("embedding"), code, keys], names=["id", "copies", "embedding", "code", "words"])
 
     element = classes.schema["embedding"].dataType.simpleString()
-    indexed = classes.select("id", "copies", "embedding").mapInArrow(index, f"id long, copies long, embedding {element}, code binary, slot int, word int")
-    indexed = written(indexed, "itq-index")
+    coded = written(classes.select("id", "copies", "embedding").mapInArrow(index, f"id long, copies long, embedding {element}, code binary, words array<int>"), "itq-index")
+    # a vector's row for each table holds its id and key only, until the buckets of one are gone
+    indexed = coded.select("id", F.posexplode("words").alias("slot", "word"))
     buckets = indexed.groupBy("slot", "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    placed = indexed.join(buckets.select("slot", "word", blocks.alias("blocks")), ["slot", "word"])
+    placed = indexed.join(buckets.select("slot", "word", blocks.alias("blocks")), ["slot", "word"]).join(coded.drop("words"), "id")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     # block i of home rows meets block j of visitors
     cell = F.struct
     along = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: cell(mine.alias("i"), j.alias("j"), F.lit(True).alias("home"), (j == mine).alias("visit")))
     down = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != mine), lambda i: cell(i.alias("i"), mine.alias("j"), F.lit(False).alias("home"), F.lit(True).alias("visit")))
     cells = placed.withColumn("cell", F.explode(F.concat(along, down))).select("id", "copies", "embedding", "code", "slot", "word", "cell.*")
-    shards = max(1, -(-classes.count() * TABLES // SHARD_ROWS))
+    shards = max(1, -(-classes.count() * tables // SHARD_ROWS))
     dealt = cells.withColumn("shard", F.pmod(F.xxhash64("slot", "word", "i", "j"), F.lit(shards)))
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
@@ -169,7 +213,7 @@ def link_classes(classes: DataFrame, cosine: float) -> DataFrame:
         keys = frame[["slot", "word", "i", "j"]].to_numpy(np.int64)
         cuts = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1, [len(keys)]])
         vectors = unit(np.array(frame["embedding"].tolist(), np.float64))
-        words = np.frombuffer(b"".join(frame["code"]), "<u2").reshape(len(frame), TABLES)
+        words = np.frombuffer(b"".join(frame["code"]), "<u2").reshape(len(frame), tables)
         ids, weight = frame["id"].to_numpy(np.int64), frame["copies"].to_numpy(np.int64)
         home, visit = frame["home"].to_numpy(bool), frame["visit"].to_numpy(bool)
         out = []

@@ -67,3 +67,26 @@ def test_odd_vectors(spark):
     assert got == sorted(want, key=str)
     assert itq.near_duplicates(df.where("false")).count() == 0
     assert itq.near_duplicates(df.where("vec_id in (4, 6)")).count() == 2
+
+
+def at_cosine(vectors, low, high, rng):
+    """A partner of every vector at a cosine between low and high."""
+    u = itq.unit(vectors)
+    side = rng.standard_normal(u.shape)
+    side = itq.unit(side - (side * u).sum(axis=1, keepdims=True) * u)
+    c = rng.uniform(low, high, (len(u), 1))
+    return c * u + np.sqrt(1 - c * c) * side
+
+
+def test_recall_just_over_the_threshold(spark):
+    rng = np.random.default_rng(3)
+    tables = [np.array([r.embedding for r in table(spark, "/root/testdata/sf0.1", "embeddings").orderBy("vec_id").limit(1000).collect()], np.float64),
+              rng.standard_normal((300, 64)) + 1.5 * rng.standard_normal(64), rng.standard_normal((1, 64))]
+    for base in tables:
+        vectors = np.concatenate([itq.unit(base), at_cosine(base, 0.9001, 0.92, rng)])
+        close, label = brute(vectors)
+        assert close.sum() > 0
+        got = {r.vec_id: r for r in itq.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).collect()}
+        found = sum(r.n_links for r in got.values())
+        assert 0.9 * close.sum() <= found <= close.sum(), (found, close.sum())
+        assert np.mean([got[i].component_id == c for i, c in enumerate(label.tolist())]) >= 0.9
