@@ -10,7 +10,8 @@ threshold - is made for all passages and blocks of an Arrow batch at once;
 only blocks that can are opened and their items scored exactly, and all items
 above the threshold are retrieved, with no top-k.  A retrieved item is then
 verified on five-word shingles of the document: ``MIN_OVERLAP`` of those of its
-question and of its answer must occur.
+question and of its answer must occur, or ``MIN_OVERLAP`` of those of the whole
+item, as one changed word can take every shingle of a short answer.
 
 An item's answer is its last sentence, the rest is its question (an item of
 one sentence is split in half).  A half of fewer words than a shingle is
@@ -80,7 +81,7 @@ class Index:
     """One part of the benchmark; items are numbered by rising length, ``BLOCK_ITEMS`` to a block."""
 
     item_ids: list[int | None]
-    halves: list[tuple[list[bytes], list[bytes]]]  # words of question and answer
+    halves: list[tuple[list[bytes], list[bytes]]]  # words of question and answer, which are the item's words end to end
     terms: dict[bytes, int]
     #: Postings of term t: items[starts[t]:starts[t + 1]] and their impacts.
     starts: np.ndarray
@@ -168,17 +169,19 @@ def matches(index: Index, texts: list[str], min_score: float = MIN_SCORE, min_ov
     for (row, item), score in sorted(found.items()):
         if cache[0] != row:
             cache = (row, {})
+        question, answer = index.halves[item]
         overlaps = []
-        for half in index.halves[item]:
-            width = min(SHINGLE, len(half))
+        for part in (question, answer, question + answer):
+            width = min(SHINGLE, len(part))
             if not width:
                 overlaps.append(1.0)
                 continue
             if width not in cache[1]:
                 cache[1][width] = shingles(documents[row], width) if len(documents[row]) >= width else set()
-            wanted = shingles(half)
+            wanted = shingles(part)
             overlaps.append(len(wanted & cache[1][width]) / len(wanted))
-        if min(overlaps) >= min_overlap:
+        *overlaps, whole = overlaps
+        if min(overlaps) >= min_overlap or whole >= min_overlap:
             out.append((row, item, score, *overlaps))
     return out
 

@@ -74,3 +74,24 @@ def test_odd_rows(spark, monkeypatch):
     none = benchmark.where("false")
     assert D.find_leaks(documents, none).count() == 0 and D.without_leaks(documents, none).count() == len(docs)
     assert D.find_leaks(documents.where("false"), benchmark).count() == 0
+
+
+def test_one_word_changed_anywhere(spark):
+    """Every one-word change that leaves 0.8 of the whole item's five-word runs is found, those in the answer too."""
+    items = [(r.item_id, r.text) for r in table(spark, "/root/testdata/sf0.1", "benchmark").collect()]
+    index = D.build_index(items)
+    edits, own, in_answer = [], [], 0
+    for i, text in items:
+        question, answer = D.question_answer(text)
+        words = question + answer
+        wanted = D.shingles(words)
+        for k in range(len(words)):
+            changed = [*words[:k], b"zzqx", *words[k + 1:]]
+            if len(wanted & D.shingles(changed)) >= 0.8 * len(wanted):
+                edits.append(b" ".join([b"some", b"words", b"before", *changed, b"and", b"after"]).decode())
+                own.append(i)
+                in_answer += k >= len(question)
+    found = {(row, index.item_ids[item]) for row, item, *_ in D.matches(index, edits)}
+    assert len(edits) > 5000 and in_answer > 1000
+    missed = [e for e in enumerate(own) if e not in found]
+    assert not missed, (len(missed), len(edits), in_answer)
