@@ -18,9 +18,13 @@ one sentence is split in half).  A half of fewer words than a shingle is
 verified by its whole word sequence.  Words are lower-cased runs of letters,
 digits, ``_`` and non-ASCII characters.
 
-The benchmark is split by hash into parts of about ``PART_ITEMS`` items; every
-document meets every part.  One part is what is collected and sent to tasks
-at a time, so its size has a fixed bound whatever the benchmark's.
+The number of items, their mean length and the document frequencies are counted
+once over the whole benchmark, so scores don't depend on its parts.  Items of
+equal text fold into one, which is counted by their number; their ids are joined
+back at the end.  The texts are split by hash into parts of about ``PART_ITEMS``;
+every document meets every part.  One part with the frequencies of its own words
+is what is collected and sent to tasks at a time, and its results are written
+before the next is sent, so its size has a bound whatever the benchmark's.
 
 Edge cases: null and empty texts of documents match nothing; null, empty or
 wordless items are never matched; repeated items match each on their own;
@@ -29,6 +33,7 @@ null ids stay null; empty tables give no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -42,6 +47,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.llm.shared import written
+
 K1, B = 1.2, 0.75
 #: Items in a block.
 BLOCK_ITEMS = 4
@@ -51,7 +58,7 @@ MIN_OVERLAP = 0.8
 SHINGLE = 5
 #: Words of half a passage, at least; widened to the longest item of the part.
 HALF_PASSAGE = 64
-#: Items of a part, on average.
+#: Distinct texts of a part, on average.
 PART_ITEMS = 1_000
 
 _CUT = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c == 95 or c >= 128 else 32 for c in range(256))
@@ -76,6 +83,15 @@ def shingles(words: list[bytes], width: int = SHINGLE) -> set[tuple[bytes, ...]]
     return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)} if width else set()
 
 
+@dataclass
+class Statistics:
+    """Of the whole benchmark; ``frequency`` holds the words of one part at least."""
+
+    items: int
+    mean_words: float
+    frequency: dict[bytes, int]
+
+
 @dataclass
 class Index:
     """One part of the benchmark; items are numbered by rising length, ``BLOCK_ITEMS`` to a block."""
@@ -92,13 +108,15 @@ class Index:
     half: int
 
 
-def build_index(items: list[tuple[int | None, str | None]]) -> Index:
+def build_index(items: list[tuple[int | None, str | None]], statistics: Statistics | None = None) -> Index:
+    """Index of some items by the statistics given, or by their own."""
     known = sorted(((words_of(t or ""), i, question_answer(t or "")) for i, t in items), key=lambda x: len(x[0]))
     known = [x for x in known if x[0]]
-    n = max(1, len(known))
-    mean = sum(len(w) for w, _, _ in known) / n
-    frequency = Counter(t for w, _, _ in known for t in set(w))
-    terms = {t: k for k, t in enumerate(sorted(frequency))}
+    own_words = Counter(t for w, _, _ in known for t in set(w))
+    if statistics is None:
+        statistics = Statistics(len(known), sum(len(w) for w, _, _ in known) / max(1, len(known)), own_words)
+    n, mean, frequency = statistics.items, statistics.mean_words, statistics.frequency
+    terms = {t: k for k, t in enumerate(sorted(own_words))}
     postings: list[list[tuple[int, float]]] = [[] for _ in terms]
     blocks = -(-len(known) // BLOCK_ITEMS)
     block_max = np.zeros((len(terms) + 1, blocks), np.float32)
@@ -186,12 +204,43 @@ def matches(index: Index, texts: list[str], min_score: float = MIN_SCORE, min_ov
     return out
 
 
-def _parts(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the benchmark's parts, built on the driver one at a time."""
-    count = -(-benchmark.count() // PART_ITEMS)
-    for p in range(count):
-        part = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == p)
-        yield build_index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()])
+@dataclass
+class Benchmark:
+    """``texts``: part, number, text, terms (word and frequency in the whole benchmark); ``ids``: number, item_id of every item."""
+
+    texts: DataFrame
+    ids: DataFrame
+    parts: int
+    items: int
+    mean_words: float
+
+    def indexes(self) -> Iterator[Index]:
+        """Indexes of the parts by number, built on the driver one at a time."""
+        for p in range(self.parts):
+            rows = self.texts.where(F.col("part") == p).orderBy("text").collect()
+            frequency = {bytes(t.term): t.frequency for r in rows for t in r.terms}
+            yield build_index([(r.number, r.text) for r in rows], Statistics(self.items, self.mean_words, frequency))
+
+
+def fold(benchmark: DataFrame) -> Benchmark:
+    known = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            distinct = [sorted(set(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("copies"), pa.array(map(len, words), pa.int64()), pa.array(distinct, pa.list_(pa.binary()))], names=["text", "copies", "n_words", "words"])
+
+    folded = known.groupBy("text").agg(F.count(F.lit(1)).alias("copies")).mapInArrow(run, "text string, copies long, n_words long, words array<binary>")
+    texts = written(folded.where("n_words > 0").withColumn("number", F.monotonically_increasing_id()), "benchmark-texts")
+    total = texts.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum("copies"), F.lit(0)).alias("items"), F.coalesce(F.sum(F.col("copies") * F.col("n_words")), F.lit(0)).alias("words")).first()
+    parts = -(-total["texts"] // PART_ITEMS)
+    frequency = texts.select("copies", F.explode("words").alias("term")).groupBy("term").agg(F.sum("copies").alias("frequency"))
+    terms = (texts.select("number", F.explode("words").alias("term")).join(frequency, "term")
+             .groupBy("number").agg(F.collect_list(F.struct("term", "frequency")).alias("terms")))
+    told = texts.join(terms, "number").select(F.pmod(F.xxhash64("text"), F.lit(max(1, parts))).alias("part"), "number", "text", "terms")
+    ids = known.join(texts.select("text", "number"), "text").select("number", "item_id")
+    return Benchmark(written(told, "benchmark-parts"), written(ids, "benchmark-ids"), parts, total["items"], total["words"] / max(1, total["items"]))
 
 
 def _runs(texts: list[str], limit: int = 1 << 20) -> Iterator[slice]:
@@ -208,10 +257,11 @@ def _runs(texts: list[str], limit: int = 1 << 20) -> Iterator[slice]:
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and test item it holds: doc_id, item_id, bm25 (share of the self-score), question_overlap, answer_overlap.
 
-    One scan of the documents for each part of the benchmark; no shuffle.
+    One scan of the documents for each part of the benchmark; only what is found is joined, to the ids of its item's text.
     """
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    schema = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double"
+    spark = documents.sparkSession
+    schema = "doc_id long, number long, bm25 double, question_overlap double, answer_overlap double"
 
     def against(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,26 +270,59 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ids, words = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 rows = [(ids[s.start + r], index.item_ids[i], *rest) for s in _runs(words) for r, i, *rest in matches(index, words[s])]
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names=["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names=["doc_id", "number", "bm25", "question_overlap", "answer_overlap"])
 
         return texts.mapInArrow(run, schema)
 
-    spark = documents.sparkSession
-    found = [against(spark.sparkContext.broadcast(index)) for index in _parts(benchmark)]
-    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
+    tests = fold(benchmark)
+    found = []
+    for index in tests.indexes():
+        shared = spark.sparkContext.broadcast(index)
+        found.append(written(against(shared), "leaks"))
+        shared.destroy()
+    if not found:
+        return spark.createDataFrame([], schema.replace("number", "item_id"))
+    return reduce(DataFrame.unionAll, found).join(tests.ids, "number").select("doc_id", "item_id", "bm25", "question_overlap", "answer_overlap")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no test item, whole rows, each part of the benchmark in turn."""
+    """The documents that hold no test item, whole rows.
+
+    All parts of the benchmark but the last write the SHA-256 of the texts they
+    find, as equal texts hold equal items; the last part is met by the rows that remain.
+    """
     spark = documents.sparkSession
+    tests = fold(benchmark)
 
-    def kept_by(frame: DataFrame, shared) -> DataFrame:
+    def leaking(shared, texts: list[str]) -> set[int]:
+        return {s.start + r for s in _runs(texts) for r, *_ in matches(shared.value, texts[s])}
+
+    def found_by(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                words = [t or "" for t in batch.column("text").to_pylist()]
-                leaking = {s.start + r for s in _runs(words) for r, *_ in matches(shared.value, words[s])}
-                yield batch.filter(pa.array([i not in leaking for i in range(batch.num_rows)], pa.bool_()))
+                texts = batch.column("text").to_pylist()
+                digests = sorted({hashlib.sha256(texts[i].encode()).hexdigest() for i in leaking(shared, texts)})
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string())], names=["gone"])
 
-        return frame.mapInArrow(run, frame.schema)
+        return documents.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "gone string")
 
-    return reduce(kept_by, [spark.sparkContext.broadcast(index) for index in _parts(benchmark)], documents)
+    def kept_by(frame: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                gone = leaking(shared, [t or "" for t in batch.column("text").to_pylist()])
+                yield batch.filter(pa.array([i not in gone for i in range(batch.num_rows)], pa.bool_()))
+
+        return frame.mapInArrow(run, documents.schema)
+
+    left, found = documents, []
+    for p, index in enumerate(tests.indexes()):
+        shared = spark.sparkContext.broadcast(index)
+        if p < tests.parts - 1:
+            found.append(written(found_by(shared), "leaking-texts"))
+            shared.destroy()
+            continue
+        if found:
+            gone = reduce(DataFrame.unionAll, found).distinct()
+            left = left.join(gone, F.sha2(left["text"], 256) == gone["gone"], "left_anti")
+        left = kept_by(left, shared)
+    return left

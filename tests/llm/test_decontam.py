@@ -95,3 +95,27 @@ def test_one_word_changed_anywhere(spark):
     assert len(edits) > 5000 and in_answer > 1000
     missed = [e for e in enumerate(own) if e not in found]
     assert not missed, (len(missed), len(edits), in_answer)
+
+
+def test_scores_do_not_depend_on_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    say = lambda n: " ".join(vocabulary[int(rng.paretovariate(0.7)) % 60] for _ in range(n))
+    items = [(i, say(rng.randint(8, 60))) for i in range(40)]
+    bench = items + [(100 + i, items[0][1]) for i in range(30)] + [(200, None), (201, "?!")]
+    docs = [(i, say(20) + " " + " ".join(["zz", *t.split()[1:]]) + " " + say(20), "x") for i, t in items] + [(50, None, "x"), (51, "", "x")]
+    benchmark = spark.createDataFrame(bench, "item_id long, text string")
+    documents = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(2)
+    whole = D.build_index(bench)
+    want = sorted((docs[r][0], whole.item_ids[i], round(score, 9)) for r, i, score, *_ in D.matches(whole, [t or "" for _, t, _ in docs]))
+    leaking = {d for d, *_ in want}
+    assert len(want) > 40 and any(score < 0.999 for *_, score in want)
+    for size in (1_000, 7):
+        monkeypatch.setattr(D, "PART_ITEMS", size)
+        tests = D.fold(benchmark)
+        assert tests.parts == -(-40 // size)
+        assert sum(len(index.item_ids) for index in tests.indexes()) == 40
+        got = D.find_leaks(documents, benchmark).collect()
+        assert sorted((r.doc_id, r.item_id, round(r.bm25, 9)) for r in got) == want
+        kept = D.without_leaks(documents, benchmark)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, *_ in docs if d not in leaking) and kept.columns == documents.columns
