@@ -18,9 +18,11 @@ and a spanning forest, never its pairs; a pair that meets in several tables
 counts in the first of them only.  Buckets over ``BLOCK_ROWS`` are cut into a
 grid of block pairs, so no task holds more than two blocks and none is capped.
 
-Edge cases: vectors that are null, empty, zero, of another length than most,
-or hold null or non-finite components link with nothing and are their own
-component; a null vec_id takes part but cannot name a component; repeated
+Vectors of different lengths have no cosine: each length has its own rotations
+and tables.
+
+Edge cases: vectors that are null, empty, zero, or hold null or non-finite
+components link with nothing and are their own component; a null vec_id takes part but cannot name a component; repeated
 vec_ids stay separate rows; the empty table gives no rows; extra columns are
 not read.
 """
@@ -28,6 +30,7 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -233,18 +236,18 @@ def link_classes(classes: DataFrame, cosine: float) -> DataFrame:
 def near_duplicates(embeddings: DataFrame, cosine: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding)."""
     rows = embeddings.select("vec_id", "embedding", usable().alias("usable"))
-    lengths = rows.where("usable").groupBy(F.size("embedding").alias("length")).count().orderBy(F.desc("count"), "length").first()
-    length = lengths["length"] if lengths else 0
-    fits = F.col("usable") & (F.size("embedding") == length)
-    folded = rows.where(fits).groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    folded = rows.where("usable").groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = written(folded.withColumn("id", F.monotonically_increasing_id()), "itq-classes")
-    links = written(link_classes(classes, cosine), "itq-links")
+    # a length that one class has alone has nothing to link
+    lengths = classes.groupBy(F.size("embedding").alias("length")).count().where("count > 1").orderBy("length").select("length").collect()
+    each = [written(link_classes(classes.where(F.size("embedding") == r["length"]), cosine), "itq-links") for r in lengths]
+    links = reduce(DataFrame.unionAll, each) if each else rows.sparkSession.createDataFrame([], "a long, b long, links long")
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
     members = connected_components(links.select("a", "b"))
     named = (classes.join(counts, classes["id"] == counts["a"], "left").join(members, classes["id"] == members["node"], "left")
              .select("embedding", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))
     heads = named.groupBy("component").agg(F.min("first").alias("component_id"))
     known = named.join(heads, "component").select("embedding", "n_links", "component_id")
-    linked = rows.where(fits).join(known, "embedding").select("vec_id", "n_links", "component_id")
-    alone = rows.where(~fits).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = rows.where("usable").join(known, "embedding").select("vec_id", "n_links", "component_id")
+    alone = rows.where(~F.col("usable")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

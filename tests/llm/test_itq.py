@@ -90,3 +90,9 @@ def test_recall_just_over_the_threshold(spark):
         found = sum(r.n_links for r in got.values())
         assert 0.9 * close.sum() <= found <= close.sum(), (found, close.sum())
         assert np.mean([got[i].component_id == c for i, c in enumerate(label.tolist())]) >= 0.9
+
+
+def test_every_length_is_searched(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0]), (5, [3.0, 0.0]), (6, [1.0, 0.0]), (7, [5.0]), (8, [5.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 2, 4), (5, 2, 4), (6, 2, 4), (7, 1, 7), (8, 1, 7)]
