@@ -32,7 +32,7 @@ RIDGE = 1e-2
 STEPS = 25
 CUT = 0.7
 HELD_OUT_PART, PARTS = 2, 4
-#: Words of a text whose spread is measured together; longer texts are measured in pieces.
+#: Words of a text whose spread is measured together; longer texts are measured in pieces, the last of which ends with the text.
 WINDOW = 200
 
 FEATURES = ["log_words", "log_chars", "upper", "lower", "digit", "space", "line_end", "mark", "stop", "other_mark", "high",
@@ -59,8 +59,9 @@ def text_features(text: str) -> list[float]:
     marked = np.fromiter((w[-1] in _MARKS or w[0] in _MARKS for w in words), bool, len(words))
     upper = np.fromiter((w.isupper() and len(w) > 1 for w in words), bool, len(words))
     lines = [x for x in text.split("\n") if x]
-    windows = [slice(a, a + WINDOW) for a in range(0, len(words), WINDOW)] or [slice(0, 0)]
-    full = [w for w in windows if w.stop <= len(words)] or windows[:1]
+    full = [slice(a, a + WINDOW) for a in range(0, len(words) - WINDOW + 1, WINDOW)] or [slice(0, WINDOW)]
+    if full[-1].stop < len(words):
+        full.append(slice(len(words) - WINDOW, len(words)))
     distinct = [len(set(words[w])) / max(1, len(words[w])) for w in full]
     return [
         np.log1p(len(words)), np.log1p(len(text)), *shares[:9].tolist(),

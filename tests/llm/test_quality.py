@@ -58,3 +58,14 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     flipped = labels.withColumn("quality", quality.F.when(quality.held_out(quality.F.col("doc_id")), 1 - quality.F.col("quality")).otherwise(quality.F.col("quality")))
     a, b = quality.learn(docs, labels), quality.learn(docs, flipped)
     assert np.array_equal(a.weights, b.weights) and a.threshold == b.threshold
+
+
+def test_worst_window_covers_the_end_of_a_text():
+    plain = [f"word{i}" for i in range(450)]
+    junk = [*plain[:400], *["#BUY!"] * 50]
+    worst = {n: i for i, n in enumerate(quality.FEATURES) if n.startswith(("worst", "window"))}
+    clean, ended = quality.text_features(" ".join(plain)), quality.text_features(" ".join(junk))
+    assert clean[worst["worst_marks"]] == 0 and ended[worst["worst_marks"]] == 50 / 200
+    assert ended[worst["worst_upper"]] == 50 / 200 and ended[worst["worst_distinct"]] == 151 / 200 and ended[worst["window_distinct"]] < 1
+    short = quality.text_features(" ".join(junk[380:]))
+    assert short[worst["worst_marks"]] == 50 / 70
