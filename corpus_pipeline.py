@@ -6,8 +6,8 @@ kept and returns a DataFrame; all but the last return the columns of
 parquet in the shared folder and reread as the next one's input, so a lost
 executor never costs more than the stage it was in.
 
-Rows that repeat a doc_id are versions of one document: they stay or go
-together in the near-copy stage.  Empty tables pass through every stage.
+Rows that repeat a doc_id are judged on their own in the near-copy stage, so
+of equal rows one stays.  Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from pricelens.llm.queries import SIMHASH_DISTANCE, SIMHASH_SHINGLE, TOKENIZER
 from pricelens.llm.shared import table, written
 
 
+#: Column that tells rows apart inside the near-copy stage.
+ROW_KEY = "_near_copies_row"
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps (score at or over its threshold)."""
     scored = quality.classify(docs, table(spark, sf_dir, "labels"))
@@ -27,11 +31,15 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
-    groups = simhash.near_duplicates(docs, SIMHASH_SHINGLE, SIMHASH_DISTANCE)
-    head = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = written(groups.groupBy("doc_id").agg(F.max(head).alias("head")).where("not head").select(F.col("doc_id").alias("gone")), "copies")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    """One row of each group of near copies: that with the smallest doc_id, and of its rows the smallest text hash."""
+    # doc_ids may repeat or be null, so rows get a key of their own; it must not change between reads
+    rows = written(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed")
+    groups = simhash.near_duplicates(rows.select(F.col(ROW_KEY).alias("doc_id"), "text"), SIMHASH_SHINGLE, SIMHASH_DISTANCE)
+    member = written(groups.select(F.col("doc_id").alias(ROW_KEY), "component_id"), "copies")
+    order = rows.select(ROW_KEY, F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.xxhash64("text").alias("hash"), ROW_KEY).alias("place"))
+    heads = member.join(order, ROW_KEY).groupBy("component_id").agg(F.min("place").alias("place")).select(f"place.{ROW_KEY}")
+    gone = written(member.select(ROW_KEY).join(heads, ROW_KEY, "left_anti"), "copies-gone")
+    return rows.join(gone, ROW_KEY, "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,3 +80,13 @@ def test_empty_and_odd_tables(spark, name):
     got = function(spark, spark.createDataFrame(rows, schema), SMALL)
     assert name == "tokens" or got.columns == [c.split()[0] for c in schema.split(", ")]
     assert got.count() <= len(rows)
+
+
+def test_one_row_of_each_group_of_near_copies(spark):
+    same, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in ("same", "other", "third"))
+    rows = [(1, same), (1, same), (1, other), (2, same), (3, third), (3, same), (3, third), (4, other), (None, third), (None, "only without an id " * 5), (None, "only without an id " * 5), (5, None), (5, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    got = P.near_copies(spark, docs, SMALL)
+    assert got.columns == COLUMNS
+    kept = [(r.doc_id, r.text or "") for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(1, same), (1, other), (3, third), (None, "only without an id " * 5), (5, "")], key=str)
