@@ -7,19 +7,22 @@ doc_ids and 64-bit offsets into the ids).  The place of a file's first id in
 the whole stream is the prefix sum of the files before it.  Readers map the
 files into memory where the store is a local or mounted folder.
 
-Edge cases: null text is encoded as empty (its end id alone); a null doc_id
-sorts first; repeated doc_ids stay separate rows, in an order that is fixed by
-the text; empty tables give no rows.
+Edge cases: null and empty text is its end id alone; a null doc_id sorts first;
+rows that repeat a doc_id, equal ones too, stay separate rows in an order fixed
+by the text, and may lie in several files; a text of any length is one row of
+one task, encoded whole; empty tables give no rows; extra columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,95 +31,122 @@ from pricelens.llm.shared import store, unique_name, written
 
 MAGIC = b"TOKIDX01"
 END_ID = 0
-#: Distinct pieces of text whose ids a worker remembers; only a memory bound,
-#: pieces beyond it are encoded again.
-CACHE_PIECES = 700_000
-#: Pieces handed to the library in one text.
+#: Atoms of text whose ids a worker remembers in a generation; only a memory bound,
+#: atoms beyond it are encoded again.
+CACHE_PIECES = 600_000
+#: Atoms handed to the library in one text.
 JOINED_PIECES = 4_096
 MANIFEST = "path string, first_task int, n_docs long, n_tokens long"
 
 # A pre-tokenizer of the byte-level family always starts a new token at a
-# space that a non-space follows, so the pieces between such spaces can be
-# encoded alone, and equal pieces once.
-_CUT = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?:\s|$)")
-
-
-def pieces(text: str) -> list[str]:
-    """Pieces whose encodings, joined, are the encoding of the text; all but the first lack their leading space."""
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
-
-
-# Inside a piece a token also ends between a letter and a mark, and after a
-# line end that follows a mark; plain letters and marks only, so that no
-# tokenizer's tables can see it otherwise.
+# space that a non-space follows, and ends one between a letter and a mark, and
+# after a line end that follows a mark (plain letters and marks only, so that no
+# tokenizer's tables can see it otherwise).  The atoms between such places can
+# be encoded alone, and equal atoms once.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_INNER = re.compile(f"(?<=[{_LETTER}])(?=[.,;:!?|$&%*#])|(?<=[.,;:!?|$&%*#]\\n)(?=[{_LETTER}])")
+_MARK = ".,;:!?|$&%*#"
+_CUT = re.compile(r" (?=\S)")
+_INNER = re.compile(f"(?<=[{_LETTER}])(?=[{_MARK}])|(?<=[{_MARK}]\\n)(?=[{_LETTER}])")
+#: Stands before an atom that no space goes before.
+BARE = "\x01"
+# Texts that are cut in Python: a space that starts no word, the sign for bare atoms, and what may start a control string.
+_ODD = re.compile(r" (?:\s|$)|[\x01<]")
 
 
-def atoms(piece: str) -> list[str]:
-    """Parts of a piece whose encodings, joined, are the encoding of the piece.
+def atoms(text: str) -> list[str]:
+    """Keys of the atoms whose encodings, joined, are the encoding of the text.
 
-    A piece that might hold a control string stays whole.
+    A key that starts with ``BARE`` stands for the rest of it, any other for
+    itself with a space before it.  A piece that might hold a control string stays whole.
     """
-    return [piece] if "<" in piece else _INNER.split(piece)
-
-
-#: A remembered piece: a string stands for itself with a space before it, a
-#: 1-tuple for the string alone (the start of a text, or an atom inside a piece).
-Key = str | tuple[str]
+    out = []
+    for i, piece in enumerate(_CUT.split(text)):
+        first, *rest = [piece] if "<" in piece else _INNER.split(piece)
+        out.append(first if i else BARE + first)
+        out += [BARE + x for x in rest]
+    return out
 
 
-def _spelled(key: Key) -> str:
-    return key[0] if type(key) is tuple else " " + key
+def atom_lists(texts: pa.Array) -> pa.Array:
+    """``atoms`` of every text that isn't odd, by Arrow; null for null."""
+    marked = pc.replace_substring_regex(texts, f"([{_LETTER}])([{_MARK}])", f"\\1 {BARE}\\2")
+    marked = pc.replace_substring_regex(marked, f"([{_MARK}]\\n)([{_LETTER}])", f"\\1 {BARE}\\2")
+    return pc.split_pattern(pc.binary_join_element_wise(pa.scalar(BARE, texts.type), marked, pa.scalar("", texts.type)), " ")
 
 
-def _key(text: str) -> Key:
-    return text[1:] if text[:1] == " " and len(text) > 1 else (text,)
+def spelled(key: str) -> str:
+    """The text a key stands for."""
+    return key[1:] if key[:1] == BARE else " " + key
 
 
 class PieceEncoder:
-    """Ids of whole texts by way of remembered pieces.
-
-    ``encode`` gives the ids of a list of strings, as little-endian bytes.  A
-    text is cut into pieces, an unknown piece into atoms, and only unknown atoms
-    are encoded.  Two generations of the cache are kept: when the young one is
-    full it becomes the old one, so memory is bounded and frequent pieces stay.
+    """Ids of whole texts by way of remembered atoms.
+
+    ``encode`` gives the ids of a list of strings, as little-endian bytes of
+    ``dtype``.  The texts of a batch are cut into atoms and these folded to the
+    distinct ones by Arrow, so Python looks up each atom once a batch, and only
+    unknown ones are encoded.  Two generations of the cache are kept: when the
+    young one is full it becomes the old one, so memory is bounded and frequent
+    atoms stay.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_PIECES):
-        self.encode, self.limit = encode, limit
-        self.young: dict[Key, bytes] = {}
-        self.old: dict[Key, bytes] = {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_PIECES, dtype: str = "<u4"):
+        self.encode, self.limit, self.dtype = encode, limit, dtype
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _learn(self, missing: set[Key]) -> None:
-        """Put every piece that the young generation lacks into it; all unknown atoms are encoded in one call."""
+    def _lookup(self, keys: list[str]) -> list[bytes]:
+        """Ids of every key; all unknown ones are encoded in one call."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        young.update([(k, old[k]) for k in missing if k in old])
-        rest = missing.difference(old)
-        words = [k for k in rest if type(k) is str and k.isalpha()]
-        compound = {k: [_key(a) for a in atoms(_spelled(k))] for k in rest.difference(words)}
-        inside = {k for keys in compound.values() for k in keys}
-        young.update([(k, old[k]) for k in inside if k in old])
-        words += [k for k in inside.difference(young, words) if type(k) is str]
-        starts = [k for k in inside.difference(young, words)]
-        young.update(zip(words, self.encode([" " + k for k in words]), strict=True))
-        young.update(zip(starts, self.encode([k[0] for k in starts]), strict=True))
-        young.update([(k, b"".join([young[x] for x in keys])) for k, keys in compound.items()])
+        held = [*map(young.get, keys)]
+        missing = [i for i, h in enumerate(held) if h is None]
+        fresh = []
+        for i in missing:
+            k = keys[i]
+            known = old.get(k)
+            if known is None:
+                fresh.append(k)
+            else:
+                young[k] = held[i] = known
+        young.update(zip(fresh, self.encode([spelled(k) for k in fresh]), strict=True))
+        for i in missing:
+            held[i] = young[keys[i]]
+        return held
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, bounds of each text in them: one more than texts)."""
+        if not texts:
+            return np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        odd = {i: pa.array(atoms(t), pa.large_string()) for i, t in enumerate(texts) if _ODD.search(t)}
+        lists = atom_lists(pa.array([None if i in odd else t for i, t in enumerate(texts)] if odd else texts, pa.large_string()))
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        flat = lists.flatten()
+        if odd:  # the atoms of odd texts go to their places between the others
+            begins = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            runs, done = [], 0
+            for i, own in odd.items():
+                runs += [flat.slice(done, begins[i] - done), own]
+                done, sizes[i] = begins[i], len(own)
+            flat = pa.concat_arrays([*runs, flat.slice(done)])
+        folded = flat.dictionary_encode()
+        at = folded.indices.to_numpy()
+        held = self._lookup(folded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        lengths = np.fromiter(map(len, held), np.int64, len(held)) // np.dtype(self.dtype).itemsize
+        source = np.cumsum(lengths) - lengths
+        ids = np.frombuffer(b"".join(held), self.dtype)
+        n = lengths[at]
+        ends = np.cumsum(n)
+        # id number j of the batch is that many places into its atom's ids
+        gathered = ids[np.arange(ends[-1]) + np.repeat(source[at] - (ends - n), n)]
+        return gathered, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        cut: list[list[Key]] = []
-        for text in texts:
-            parts: list[Key] = pieces(text)
-            parts[0] = (parts[0],)
-            cut.append(parts)
-        if missing := set().union(*cut).difference(self.young):
-            self._learn(missing)
-        look = self.young.__getitem__
-        return [b"".join(map(look, parts)) for parts in cut]
+        ids, bounds = self.flat(texts)
+        data, cuts = ids.tobytes(), (bounds * ids.itemsize).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def encode_joined(tokenizer, widths: np.ndarray, dtype: str, texts: list[str]) -> list[bytes]:
@@ -172,7 +202,7 @@ def library_encoder(path: str, dtype: str) -> PieceEncoder:
             widths[i] = len(token)
         for i, token in tokenizer.get_added_tokens_decoder().items():
             widths[i] = len(token.content.encode())
-        _ENCODERS[key] = PieceEncoder(lambda texts: encode_joined(tokenizer, widths, dtype, texts))
+        _ENCODERS[key] = PieceEncoder(lambda texts: encode_joined(tokenizer, widths, dtype, texts), dtype=dtype)
     return _ENCODERS[key]
 
 
@@ -200,9 +230,10 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, vocabulary:
     """
     dtype = id_type(vocabulary)
     spark = documents.sparkSession
-    ordered = (documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-               .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-               .sortWithinPartitions("doc_id", "text"))
+    # the hash parts rows that repeat a doc_id, however many
+    ordered = (documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+               .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "hash")
+               .sortWithinPartitions("doc_id", "hash", "text").drop("hash"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
