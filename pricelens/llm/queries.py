@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import bpe, chat, decontam, itq, quality, simhash, suffix, tokenbin, urlfilter, warc
+from pricelens.llm import bpe, chat, decontam, itq, lexical, merkle, quality, secrets, simhash, suffix, tokenbin, urlfilter, warc
 from pricelens.llm.shared import shared_folder, table, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,7 @@ URL_RULES = [
     urlfilter.HostRule("allow", "com", "/fr/"),
     urlfilter.HostRule("block", "com", "/de/"),
 ]
+SEARCH_TOP = 10
 BLOCK_GLOBS = ["*spam-farm*", "*cheap-pills*"]
 
 
@@ -83,6 +84,24 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, URL_RULES, BLOCK_GLOBS).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.digests(found)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical.search(documents, benchmark, SEARCH_TOP).select("item_id", "rank", "doc_id", "score")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, verified against a copy in which some texts have lost their line ends."""
+    documents = table(spark, sf_dir, "documents")
+    altered = F.when(merkle.tampered(), merkle.leaf_digest(F.replace("text", F.lit("\n"), F.lit(""))))
+    told = merkle.verify(merkle.manifest(documents, altered))
+    return told.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_normalise": op1_warc_normalise,
     "op2_token_files": op2_token_files,
@@ -94,4 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
