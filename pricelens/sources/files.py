@@ -9,41 +9,43 @@ Raw listing exports have three kinds of records:
   placed and go to a quarantine instead of silently shifting columns, as do
   records with a value that its column's type cannot read.
 
-The scan is one PERMISSIVE CSV read that also keeps the whole text of every
-record that does not fit the schema (too few or too many fields, unreadable
-values); the header of each file must be the schema's.  Such records are
-judged by their text: unwrapped, counted in fields, re-parsed with
-``from_csv`` (a narrow projection, no second scan).  Records of fewer fields are
-padded with nulls; one empty field after the last (a lone trailing comma) is
-dropped.  ``multiLine`` files are not splittable, so a large export should be
-many files; after the repair the rows are landed as parquet and every later
-job reads that.
+The scan cuts the files into records in parallel (``sources.records``), so one
+large export is read by many tasks.  Every record is then judged by its text:
+unwrapped, counted in fields and parsed once with ``from_csv`` into texts, which
+``try_cast`` reads by the columns' types.  The first record of each file must be the
+schema's header.  Records of fewer fields are padded with nulls; one empty field
+after the last (a lone trailing comma) is dropped.  After the repair the rows
+are landed as parquet and every later job reads that.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelens import schema as S
+from pricelens.sources import records
 
-CSV_OPTIONS = {"header": "true", "sep": ",", "quote": '"', "escape": '"', "encoding": "UTF-8",
-               "mode": "PERMISSIVE", "nullValue": "", "columnNameOfCorruptRecord": S.CORRUPT, "enforceSchema": "false"}
 LINE_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 TOO_LONG = "too many fields"
+UNCLOSED = "unclosed quote"
 WRAPPED = "_wrapped"
 
 
-def read_raw_listings(spark: SparkSession, path: str, multi_line: bool = True,
-                      schema: T.StructType = S.LISTING_WITH_RECORD) -> DataFrame:
-    """Raw scan: the declared 13 columns plus the text of records that do not fit; a header with other names raises."""
-    return (spark.read.schema(schema).options(**CSV_OPTIONS)
-                 .option("multiLine", str(multi_line).lower()).csv(path))
+def read_raw_listings(spark: SparkSession, path: str) -> DataFrame:
+    """Raw scan: ``record`` (its text) and ``unclosed`` of every record but the headers; a header with other names raises."""
+    return listing_records(records.read_lines(spark, path))
+
+
+def listing_records(lines: DataFrame) -> DataFrame:
+    header = ",".join(S.LISTING_COLUMNS)
+    same = F.lower(F.replace(F.replace(F.col(records.RECORD), F.lit('"'), F.lit("")), F.lit("\ufeff"), F.lit(""))) == header
+    wrong = F.raise_error(F.concat(F.lit("the header is not that of listings: "), F.left(F.col(records.RECORD), F.lit(200)))).cast("boolean")
+    data = F.when(~F.col(records.FIRST), F.lit(True)).when(same, F.lit(False)).otherwise(wrong)
+    return records.records(lines).where(data).select(records.RECORD, records.UNCLOSED)
 
 
 def raw_preview(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
@@ -53,12 +55,6 @@ def raw_preview(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
     return lines.filter(F.lower("line") != header).orderBy("line").limit(n)
 
 
-def is_wrapped(columns=S.LISTING_COLUMNS) -> Column:
-    """A record that does not fit, with its first field set and every other null."""
-    rest = [F.col(c).isNull() for c in columns[1:]]
-    return F.col(S.CORRUPT).isNotNull() & F.col(columns[0]).isNotNull() & reduce(and_, rest)
-
-
 def field_count(record: Column) -> Column:
     """Fields of one CSV record: commas outside quoted stretches, plus one."""
     bare = F.regexp_replace(record, '"(?:[^"]|"")*"', "")
@@ -66,25 +62,33 @@ def field_count(record: Column) -> Column:
 
 
 def repair(raw: DataFrame, schema: T.StructType = S.LISTING) -> DataFrame:
-    """The listing columns, and for every row ``n_fields``, ``reason`` (null: accepted), ``record`` (its whole text where it does not fit)
-    and whether it was wrapped."""
+    """The listing columns, and for every record ``n_fields``, ``reason`` (null: accepted), ``record`` (its whole text where it is not)
+    and whether it was wrapped (has one field in all).
+
+    ``raw`` is ``read_raw_listings``' output.  One parse: the texts stand behind a generator, which the optimizer does not
+    copy into what uses them.
+    """
     names = [f.name for f in schema.fields]
-    record = F.regexp_replace(F.col(S.CORRUPT), "[\r\n]+$", "")
-    told = raw.withColumn(WRAPPED, is_wrapped(names)).withColumn(S.RECORD, record)
-    told = told.withColumn("_line", F.when(F.col(WRAPPED), F.col(names[0])).otherwise(F.col(S.RECORD)))
-    told = told.withColumn(S.N_FIELDS, F.when(F.col("_line").isNull(), F.lit(len(names))).otherwise(field_count(F.col("_line"))))
+    text = F.col(records.RECORD)
+    alone = field_count(text) == 1
+    quoted = alone & text.startswith('"') & text.endswith('"') & (F.length(text) > 1)
+    line = F.when(quoted, F.replace(F.substring(text, F.lit(2), F.length(text) - 2), F.lit('""'), F.lit('"'))).otherwise(text)
+    told = raw.select(text.alias(S.RECORD), records.UNCLOSED, alone.alias(WRAPPED), line.alias("_line"))
     texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    told = (told.withColumn("_typed", F.from_csv("_line", S.ddl(schema), LINE_OPTIONS))
-                .withColumn("_texts", F.from_csv("_line", S.ddl(texts), LINE_OPTIONS)))
-    trailing = (F.col(S.N_FIELDS) == len(names) + 1) & F.col("_line").endswith(",")
-    reason = F.when((F.col(S.N_FIELDS) > len(names)) & ~trailing, F.lit(TOO_LONG))
+    parsed = F.struct(F.from_csv("_line", S.ddl(texts), LINE_OPTIONS).alias("_t"), field_count(F.col("_line")).alias(S.N_FIELDS),
+                      F.col("_line").endswith(",").alias("_trailing"))
+    told = told.select(S.RECORD, records.UNCLOSED, WRAPPED, F.inline(F.array(parsed)))
+    trailing = (F.col(S.N_FIELDS) == len(names) + 1) & F.col("_trailing")
+    reason = F.when(F.col(records.UNCLOSED), F.lit(UNCLOSED)).when((F.col(S.N_FIELDS) > len(names)) & ~trailing, F.lit(TOO_LONG))
+    columns = []
     for f in schema.fields:
+        own = F.nullif(F.col(f"_t.{f.name}"), F.lit(""))
+        typed = own if isinstance(f.dataType, T.StringType) else own.try_cast(f.dataType)
+        columns.append(typed.alias(f.name))
         if not isinstance(f.dataType, T.StringType):
-            unread = F.coalesce(F.col(f"_texts.{f.name}"), F.lit("")) != ""
-            reason = reason.when(F.col("_line").isNotNull() & unread & F.col(f"_typed.{f.name}").isNull(), F.lit(f"unreadable {f.name}"))
-    plain = F.struct(*[F.col(n) for n in names])
-    return (told.select(F.when(F.col("_line").isNull(), plain).otherwise(F.col("_typed")).alias("_r"), S.N_FIELDS, reason.alias(S.REASON), S.RECORD, WRAPPED)
-                .select("_r.*", S.N_FIELDS, S.REASON, S.RECORD, WRAPPED))
+            reason = reason.when(own.isNotNull() & typed.isNull(), F.lit(f"unreadable {f.name}"))
+    told = told.select(*columns, S.N_FIELDS, reason.alias(S.REASON), S.RECORD, WRAPPED)
+    return told.withColumn(S.RECORD, F.when(F.col(S.REASON).isNotNull(), F.col(S.RECORD)))
 
 
 def accepted(repaired: DataFrame) -> DataFrame:
@@ -130,19 +134,6 @@ def write_listings_parquet(df: DataFrame, path: str, partition_by: str | None =
     clustered.write.mode("errorifexists").partitionBy(partition_by).parquet(path)
 
 
-def _with_header(header: str):
-    def run(batches):
-        first = True
-        for pdf in batches:
-            if first:
-                yield pd.DataFrame({"value": [header]})
-                first = False
-            yield pdf
-        if first:  # empty partition: a file with just the header
-            yield pd.DataFrame({"value": [header]})
-    return run
-
-
 def write_raw_export(df: DataFrame, path: str, wrapped: Column, extra: Column, texts: dict[str, Column] | None = None) -> None:
     """Write rows as a raw export: ``wrapped`` rows as one quoted field, rows with a non-null ``extra`` string followed by it
     (it brings its own commas), and columns in ``texts`` replaced where that text is not null.
@@ -159,10 +150,9 @@ def write_raw_export(df: DataFrame, path: str, wrapped: Column, extra: Column, t
     line = F.to_csv(F.struct(*[shown(c) for c in S.LISTING_COLUMNS]), {"quote": '"', "escape": '"'})
     line = F.when(extra.isNotNull(), F.concat(line, extra)).otherwise(line)
     line = F.when(wrapped, F.concat(F.lit('"'), F.replace(line, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(line)
-    lines = df.select(line.alias("value"))
     header = ",".join(S.LISTING_COLUMNS)
-    schema = T.StructType([T.StructField("value", T.StringType(), True)])
-    lines.mapInPandas(_with_header(header), schema).write.mode("errorifexists").text(path)
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its task, so of its file
+    df.select(F.when(first, F.concat(F.lit(header + "\n"), line)).otherwise(line).alias("value")).write.mode("errorifexists").text(path)
 
 
 # --- published tables -------------------------------------------------------------

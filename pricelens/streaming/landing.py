@@ -4,10 +4,10 @@ Scrapes arrive as new export files over time.  The repair and quarantine
 steps are stateless projections, so the batch functions run unchanged on each
 micro-batch:
 
-    raw CSV files (readStream, declared schema) -> repair -> one write,
+    lines of raw CSV files (readStream) -> records -> repair -> one write,
     partitioned into accepted rows and quarantined records
 
-Every file is parsed once and both outcomes leave in the same write.  A batch
+Every record is parsed once and both outcomes leave in the same write.  A batch
 writes to a folder named by its id, replacing what a failed attempt left
 there, and the checkpoint (under the shared folder) replays a batch with the
 same id and files, so a restarted job never lands a file twice.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelens import schema as S
-from pricelens.sources import files
+from pricelens.sources import files, records
 
 ACCEPTED = "accepted"
 QUARANTINE = "quarantine"
@@ -34,11 +34,10 @@ LANDED = T.StructType([*S.LISTING.fields, T.StructField(S.N_FIELDS, T.IntegerTyp
 
 
 def raw_stream(spark: SparkSession, raw_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = (spark.readStream.schema(S.LISTING_WITH_RECORD).options(**files.CSV_OPTIONS)
-              .option("multiLine", "true"))
+    reader = spark.readStream.option("lineSep", "\n")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.csv(raw_dir)
+    return records.lines_of(reader.text(raw_dir))
 
 
 def land(spark: SparkSession, raw_dir: str, out_dir: str, checkpoint_dir: str, available_now: bool = True,
@@ -46,7 +45,7 @@ def land(spark: SparkSession, raw_dir: str, out_dir: str, checkpoint_dir: str, a
     """Start the landing; returns the running query (already finished with ``available_now``)."""
     def write(batch: DataFrame, batch_id: int) -> None:
         outcome = F.when(F.col(S.REASON).isNull(), F.lit(ACCEPTED)).otherwise(F.lit(QUARANTINE))
-        (files.repair(batch).drop(files.WRAPPED).withColumn(OUTCOME, outcome)
+        (files.repair(files.listing_records(batch)).drop(files.WRAPPED).withColumn(OUTCOME, outcome)
               .write.mode("overwrite").partitionBy(OUTCOME).parquet(f"{out_dir}/{BATCH}={batch_id}"))
 
     w = (raw_stream(spark, raw_dir, max_files_per_trigger).writeStream.foreachBatch(write)

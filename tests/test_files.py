@@ -66,7 +66,7 @@ def test_repair_and_quarantine(spark, tmp_path):
     audit = {r["stage"]: r["n_rows"] for r in files.repair_audit(raw).collect()}
     assert audit == {"raw": 14, "wrapped": 6, "quarantined": 6, "accepted": 8}
     plan = files.repair_audit(raw)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1
+    assert plan.count("FileScan text") == 1 and plan.count("from_csv") == 1
 
 
 def test_a_reordered_header_raises(spark, tmp_path):

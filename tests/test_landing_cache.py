@@ -1,5 +1,6 @@
 """Derived datasets: landed once per state of the input, in parallel for different ones, removed on request."""
 
+import os
 import shutil
 import threading
 
@@ -8,9 +9,9 @@ from pricelens.sources import tables
 SF = "/root/testdata/sf0.001"
 
 
-def test_changed_input_lands_again_and_forget_deletes(spark, tmp_path):
+def test_changed_input_lands_again(spark, tmp_path):
     for name in ("lineitem", "part", "supplier", "nation", "orders"):
-        shutil.copy(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+        shutil.copyfile(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")  # contents alone: the given tables are read-only
     made = []
 
     def write(path):
@@ -23,6 +24,23 @@ def test_changed_input_lands_again_and_forget_deletes(spark, tmp_path):
     assert tables.land_once(spark, str(tmp_path), "probe", write) != first and len(made) == 2
 
 
+def test_forget_deletes_and_lands_anew(spark, monkeypatch):
+    monkeypatch.setattr(tables, "_LANDED", {})  # other tests keep theirs
+    made = []
+
+    def write(path):
+        made.append(path)
+        spark.range(3).write.parquet(path)
+
+    first = tables.land_once(spark, SF, "forget-probe", write)
+    tables.land_once(spark, SF, "forget-probe-2", write)
+    local = first.removeprefix("file:")
+    assert os.path.isdir(local)
+    assert tables.forget_landed(spark) == 2 and not os.path.exists(local)
+    again = tables.land_once(spark, SF, "forget-probe", write)
+    assert again != first and len(made) == 3 and spark.read.parquet(again).count() == 3
+
+
 def test_one_slow_landing_does_not_hold_up_another(spark):
     started, done = threading.Event(), threading.Event()
 
