@@ -57,7 +57,8 @@ def raw_preview(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
 
 def field_count(record: Column) -> Column:
     """Fields of one CSV record: commas outside quoted stretches, plus one."""
-    bare = F.regexp_replace(record, '"(?:[^"]|"")*"', "")
+    quoted = F.regexp_replace(record, '"(?:[^"]++|"")*+"', "")
+    bare = F.when(F.contains(record, F.lit('"')), quoted).otherwise(record)
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 

@@ -47,8 +47,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines_of(text: DataFrame) -> DataFrame:
-    """The same from a text scan (batch, or a micro-batch of a stream)."""
-    return text.select(F.col("value").alias(LINE), F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(SPLIT_AT))
+    """The same from a text scan (batch, or a micro-batch of a stream); a file goes by 64 bits of its path's hash."""
+    return text.select(F.col("value").alias(LINE), F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(SPLIT_AT))
 
 
 def _quotes() -> F.Column:
@@ -70,18 +70,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def told(kinds, records) -> pa.RecordBatch:
         n = len(records)
-        return pa.RecordBatch.from_arrays([pa.array([place[0]] * n, pa.string()), pa.array([place[1]] * n, pa.int64()), pa.array(kinds, pa.int32()), pa.array(records, pa.string())],
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, place[0])), pa.array(np.full(n, place[1])), pa.array(kinds, pa.int32()), pa.array(records, pa.string())],
                                           names=[FILE, SPLIT_AT, "kind", RECORD])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         lines, quotes = batch.column(0), batch.column(3).to_numpy().astype(np.int64)
-        names, at = batch.column(1).dictionary_encode(), batch.column(2).to_numpy()
-        code = names.indices.to_numpy()
-        cuts = np.nonzero((at[1:] != at[:-1]) | (code[1:] != code[:-1]))[0] + 1
+        name, at = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        cuts = np.nonzero((at[1:] != at[:-1]) | (name[1:] != name[:-1]))[0] + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            here = (names.dictionary[int(code[a])].as_py(), int(at[a]))
+            here = (int(name[a]), int(at[a]))
             if here != place:
                 if held:
                     yield told([BEGIN if begun or not fresh else THROUGH], ["\n".join(held)])
@@ -123,7 +122,7 @@ def _cut_lines(lines: DataFrame, inside: DataFrame) -> DataFrame:
         known = (known.join(F.broadcast(side.withColumn("met", F.lit(True))), [FILE, SPLIT_AT], "left")
                  .withColumn("inside", F.col("inside") | F.coalesce("met", F.lit(False))).drop("met"))
     rows = known.select(LINE, FILE, SPLIT_AT, "quotes", "inside")
-    return rows.mapInArrow(_cut, f"{FILE} string, {SPLIT_AT} long, kind int, {RECORD} string")
+    return rows.mapInArrow(_cut, f"{FILE} long, {SPLIT_AT} long, kind int, {RECORD} string")
 
 
 def records(lines: DataFrame) -> DataFrame:
