@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pricelens import schema as S
 from pricelens.functions import days_prompt
-from pricelens.operators import clean, distribution, metrics, model, profile, reshape, textmodel, tokenmean, tokens, trend
+from pricelens.operators import clean, distribution, epochs, metrics, model, profile, reshape, textmodel, tokenmean, tokens, trend
 from pricelens.functions import stable_bucket
 from pricelens.session import scratch_path
 from pricelens.sources import files
@@ -530,3 +530,40 @@ def q_forecast_csv(spark, sf_dir):
     path = scratch_path(spark, "predictions")
     files.write_predictions_csv(text_forecast(spark, sf_dir, prompts), path, prompts)
     return reshape.wide_to_long(files.read_predictions_csv(spark, path, prompts), ["day"], prompts, "prompt", S.PRICE)
+
+
+# --- step 11: training by epochs ------------------------------------------------
+
+def epoch_run(spark, sf_dir) -> str:
+    """The run trained by epochs, once per process and input; returns its folder."""
+    def write(path):
+        df, _ = modelling_frame(spark, sf_dir)
+        epochs.fit(df.select(S.URL, model.SPLIT, "price_z", TEXT_RUNS[MAIN_RUN]), path, TEXT_RUNS[MAIN_RUN], "price_z", keep=EPOCHS_KEPT)
+    return land_once(spark, sf_dir, "epoch-run", write)
+
+
+#: Checkpoints kept of the run: fewer than its epochs, so that the limit shows.
+EPOCHS_KEPT = 3
+
+
+@query("epoch_history")
+def q_epoch_history(spark, sf_dir):
+    """Training loss and validation errors after every epoch, and whether its checkpoint is still kept."""
+    told = epochs.history(spark, epoch_run(spark, sf_dir))
+    return _rounded(told, dict.fromkeys(["loss", "mse", "rmse", "mae", "r2"], 8))
+
+
+@query("best_checkpoint")
+def q_best_checkpoint(spark, sf_dir):
+    """Token weights of the best epoch, loaded through the run's manifest."""
+    weights, _ = epochs.load(spark, epoch_run(spark, sf_dir))
+    return weights.select(epochs.TOKEN, (F.round(epochs.WEIGHT, 7) + F.lit(0.0)).alias(epochs.WEIGHT))  # no negative zero
+
+
+@query("epoch_model_eval")
+def q_epoch_model_eval(spark, sf_dir):
+    """Errors in price units of the best epoch on all splits."""
+    df, scaler = modelling_frame(spark, sf_dir)
+    out = epochs.predict(epochs.load(spark, epoch_run(spark, sf_dir)), df, TEXT_RUNS[MAIN_RUN])
+    out = model.unscale(out, scaler, textmodel.PREDICTION_Z, "prediction")
+    return metrics.rounded(metrics.regression_metrics(out, S.PRICE, "prediction", [model.SPLIT]))

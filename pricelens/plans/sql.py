@@ -452,3 +452,40 @@ SELECT phone_model AS prompt, x AS day, round(y, 4) AS price, round(fit, 4) AS t
 ORACLE["metrics_csv"] = " UNION ALL ".join(
     f"SELECT {q(run)} AS run, epoch, mse AS MSE, mae AS MAE, rmse AS RMSE, r2 AS R2 FROM (" + with_(LISTINGS, _text_run(text)) + _history("correct") + ")"
     for run, text in (("days_name", "days_passed_name"), ("days_name_desc", "days_passed_name_desc")))
+
+
+# --- training by epochs ---------------------------------------------------------------
+from pricelens.operators.epochs import EPOCHS, RIDGE, STEP  # noqa: E402
+from pricelens.plans.queries import EPOCHS_KEPT  # noqa: E402
+
+
+def _epochs(text: str = "days_passed_name_desc") -> str:
+    """Every epoch written out: weights ``w<e>``, text scores ``p<e>``; ``eh`` has the errors after each."""
+    parts = [MODELLING, f"""tx AS (SELECT DISTINCT {text} AS t, {WORDS.format(t=text)} AS toks FROM z),
+sh AS (SELECT t, token, count(*) / any_value(len(toks)) AS x FROM (SELECT t, toks, unnest(toks) AS token FROM tx) u GROUP BY t, token),
+sm AS (SELECT {text} AS t, count(*) AS n, sum(price_z) AS y FROM z WHERE split = 'train' GROUP BY {text}),
+bi AS (SELECT sum(y) / sum(n) AS bias FROM sm),
+p0 AS (SELECT t, 0.0::DOUBLE AS score FROM tx)"""]
+    for e in range(1, EPOCHS + 1):
+        before = f" + coalesce((SELECT weight FROM w{e - 1} b WHERE b.token = g.token), 0.0)" if e > 1 else ""
+        parts.append(f"""r{e} AS (SELECT t, n, y - n * (bias + coalesce(score, 0.0)) AS r FROM sm LEFT JOIN p{e - 1} USING (t), bi),
+g{e} AS (SELECT token, {STEP!r} * sum(x * r) / (sum(x * n) + {RIDGE!r}) AS move FROM sh JOIN r{e} USING (t) GROUP BY token),
+w{e} AS MATERIALIZED (SELECT token, move{before} AS weight FROM g{e} g),
+p{e} AS MATERIALIZED (SELECT t, sum(x * weight) AS score FROM sh JOIN w{e} USING (token) GROUP BY t),
+v{e} AS (SELECT {e - 1} AS epoch, avg(CASE WHEN split = 'train' THEN d * d END) AS loss, avg(CASE WHEN split = 'val' THEN d * d END) AS mse,
+               avg(CASE WHEN split = 'val' THEN abs(d) END) AS mae, var_pop(CASE WHEN split = 'val' THEN price_z END) AS spread
+        FROM (SELECT split, price_z, bias + coalesce(score, 0.0) - price_z AS d FROM z LEFT JOIN p{e} ON t = {text}, bi) u)""")
+    parts.append("eh AS (" + " UNION ALL ".join(f"SELECT * FROM v{e}" for e in range(1, EPOCHS + 1)) + ")")
+    parts.append("eb AS (SELECT epoch AS best FROM eh ORDER BY mse, epoch LIMIT 1)")
+    return ",\n".join(parts)
+
+
+ORACLE["epoch_history"] = with_(LISTINGS, _epochs()) + f"""
+SELECT epoch, round(loss, 8) AS loss, round(mse, 8) AS mse, round(sqrt(mse), 8) AS rmse, round(mae, 8) AS mae, round(1 - mse / spread, 8) AS r2,
+       epoch = best OR epoch >= (CASE WHEN best >= {EPOCHS - EPOCHS_KEPT} THEN {EPOCHS - EPOCHS_KEPT} ELSE {EPOCHS - EPOCHS_KEPT + 1} END) AS kept FROM eh, eb"""
+ORACLE["best_checkpoint"] = with_(LISTINGS, _epochs()) + "\nUNION ALL\n".join(
+    f"SELECT token, round(weight, 7) + 0.0::DOUBLE AS weight FROM w{e}, eb WHERE best = {e - 1}" for e in range(1, EPOCHS + 1))
+ORACLE["epoch_model_eval"] = with_(LISTINGS, _epochs()) + """,
+ps AS (""" + " UNION ALL ".join(f"SELECT t, score FROM p{e}, eb WHERE best = {e - 1}" for e in range(1, EPOCHS + 1)) + f"""),
+out AS (SELECT split, price, (bias + coalesce(score, 0.0)) * sc.std + sc.mean AS prediction FROM z LEFT JOIN ps ON t = days_passed_name_desc, bi, sc)
+SELECT split, {METRICS_SEL} FROM out GROUP BY split"""
