@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pricelens import schema as S
 from pricelens.functions import days_prompt
-from pricelens.operators import clean, distribution, epochs, metrics, model, profile, reshape, textmodel, tokenmean, tokens, trend
+from pricelens.operators import clean, distribution, epochs, ladder, metrics, model, profile, reshape, subwords, textmodel, tokenmean, tokens, trend
 from pricelens.functions import stable_bucket
 from pricelens.session import scratch_path
 from pricelens.sources import files
@@ -108,6 +108,19 @@ def q_model_tag(spark, sf_dir):
     return df.select(S.URL, S.PHONE_MODEL)
 
 
+LONG_LADDER, LONG_LADDER_LETTERS = 5_000, 5
+
+
+@query("long_ladder_tag")
+def q_long_ladder_tag(spark, sf_dir):
+    """Documents tagged by a ladder of 5,000 phrases: the most frequent words of five letters or more, the longest first."""
+    df = read_table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    words = subwords.distinct_words(df, "text").where(F.length(subwords.WORD) >= LONG_LADDER_LETTERS)
+    top = words.orderBy(F.desc("n"), subwords.WORD).limit(LONG_LADDER).collect()  # the ladder is a parameter of this size
+    phrases = sorted((r[subwords.WORD] for r in top), key=lambda w: (-len(w), w.encode()))
+    return ladder.add_first_phrase(df, "text", phrases).select("doc_id", "phrase")
+
+
 @query("avg_text_length")
 def q_avg_text_length(spark, sf_dir):
     pre = q_preprocess(spark, sf_dir)
@@ -345,6 +358,28 @@ def q_tokens_documents(spark, sf_dir):
     return out.select("doc_id", model.SPLIT, tokens.INPUT_IDS, tokens.ATTENTION_MASK, tokens.N_TOKENS)
 
 
+def subword_file() -> str:
+    """The public vocabulary that the queries cut words with (the operators take any path)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("tokens_subword")
+def q_tokens_subword(spark, sf_dir):
+    """Documents as pieces of words, truncated and padded."""
+    df = model.add_split(read_table(spark, sf_dir, "documents").select("doc_id", "text"), key="doc_id")
+    out = subwords.tokenize(df, "text", subwords.read_pieces(spark, subword_file()), S.ORIGINAL_MAX_LENGTH_TRAIN)
+    return out.select("doc_id", model.SPLIT, tokens.INPUT_IDS, tokens.ATTENTION_MASK)
+
+
+@query("subword_unknown_rate")
+def q_subword_unknown_rate(spark, sf_dir):
+    """Words, pieces and unknown words over the whole texts of all documents."""
+    told = subwords.unknown_rate(read_table(spark, sf_dir, "documents"), "text", subwords.read_pieces(spark, subword_file()))
+    return _rounded(told, {"unknown_rate": 9})
+
+
 # --- step 9: files: raw export repair, quarantine, CSV round trip -----------------
 
 def raw_export_path(spark, sf_dir) -> str:

@@ -489,3 +489,59 @@ ORACLE["epoch_model_eval"] = with_(LISTINGS, _epochs()) + """,
 ps AS (""" + " UNION ALL ".join(f"SELECT t, score FROM p{e}, eb WHERE best = {e - 1}" for e in range(1, EPOCHS + 1)) + f"""),
 out AS (SELECT split, price, (bias + coalesce(score, 0.0)) * sc.std + sc.mean AS prediction FROM z LEFT JOIN ps ON t = days_passed_name_desc, bi, sc)
 SELECT split, {METRICS_SEL} FROM out GROUP BY split"""
+
+
+# --- subword tokens --------------------------------------------------------------------
+from pricelens.operators.subwords import MAX_WORD  # noqa: E402
+from pricelens.plans.queries import subword_file  # noqa: E402
+
+
+def _subwords(path: str, first: int | None) -> str:
+    """CTEs: ``dw`` (doc_id, split, position, word), ``cw`` (word, ids)."""
+    limit = "" if first is None else f"[1:{first}]"
+    return f"""vc AS (SELECT TRY(decode(from_base64(coded))) AS piece, rank + 2 AS id
+  FROM read_csv({q(path)}, delim = ' ', header = false, quote = '', escape = '', columns = {{'coded': 'VARCHAR', 'rank': 'INTEGER'}})),
+vo AS (SELECT piece, id FROM vc WHERE piece IS NOT NULL),
+td AS (SELECT row_number() OVER () AS row, doc_id, {split_case("doc_id")} AS split, {WORDS.format(t="text")}{limit} AS toks FROM documents),
+dw AS (SELECT row, unnest(toks) AS word, unnest(range(len(toks))) AS place FROM td),
+wd AS (SELECT word, ' ' || word AS s FROM (SELECT DISTINCT word FROM dw) u),
+pl AS (SELECT word, s, unnest(range(1, len(s) + 1)) AS pos FROM wd WHERE len(word) <= {MAX_WORD}),
+pn AS (SELECT word, pos, unnest(range(1, least(len(s) - pos + 1, (SELECT max(len(piece)) FROM vo)) + 1)) AS n, s FROM pl),
+ma AS (SELECT word, pos, max(n) AS n, arg_max(id, n) AS id FROM pn JOIN vo ON vo.piece = substr(s, pos, n) GROUP BY word, pos),
+wk AS (SELECT word, 1 AS pos, []::INTEGER[] AS ids FROM wd UNION ALL
+       SELECT wk.word, CAST(wk.pos + ma.n AS INTEGER), list_append(ids, id) FROM wk JOIN ma ON ma.word = wk.word AND ma.pos = wk.pos),
+cw AS (SELECT wd.word, coalesce(f.ids, [1]) AS ids FROM wd LEFT JOIN (SELECT word, ids FROM wk WHERE pos = len(word) + 2) f USING (word))"""
+
+
+def _with_subwords() -> dict[str, str]:
+    try:
+        path = subword_file()
+    except ModuleNotFoundError:  # the vocabulary is not there: its queries can't run either
+        return {}
+    length = _S.ORIGINAL_MAX_LENGTH_TRAIN
+    return {
+        "tokens_subword": f"""WITH RECURSIVE {_subwords(path, length)},
+en AS (SELECT row, flatten(list(ids ORDER BY place))[1:{length}] AS ids FROM dw JOIN cw USING (word) GROUP BY row),
+al AS (SELECT doc_id, split, toks, coalesce(ids, []::INTEGER[]) AS ids FROM td LEFT JOIN en USING (row)),
+ln AS (SELECT least({length}, coalesce(max(len(ids)), 0)) AS L FROM al)
+SELECT doc_id, split, CASE WHEN toks IS NOT NULL THEN list_resize(ids, L, 0) END AS input_ids,
+       CASE WHEN toks IS NOT NULL THEN list_resize(list_transform(ids, lambda x: 1), L, 0) END AS attention_mask FROM al, ln""",
+        "subword_unknown_rate": f"""WITH RECURSIVE {_subwords(path, None)}
+SELECT count(*) AS n_words, CAST(sum(len(ids)) AS BIGINT) AS n_pieces, CAST(count_if(ids = [1]) AS BIGINT) AS n_unknown,
+       round(count_if(ids = [1]) / count(*), 9) AS unknown_rate FROM dw JOIN cw USING (word)""",
+    }
+
+
+ORACLE |= _with_subwords()
+
+
+# --- a long phrase ladder ---------------------------------------------------------------
+from pricelens.plans.queries import LONG_LADDER, LONG_LADDER_LETTERS  # noqa: E402
+
+ORACLE["long_ladder_tag"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, lower(text) AS t FROM documents),
+w AS (SELECT word, count(*) AS n FROM (SELECT unnest({WORDS.format(t="t")}) AS word FROM d) u WHERE len(word) >= {LONG_LADDER_LETTERS} GROUP BY word),
+top AS (SELECT word FROM w ORDER BY n DESC, word LIMIT {LONG_LADDER}),
+ph AS (SELECT word, row_number() OVER (ORDER BY len(word) DESC, word) AS rank FROM top),
+hit AS (SELECT row, arg_min(word, rank) AS phrase FROM d JOIN ph ON contains(t, word) GROUP BY row)
+SELECT doc_id, phrase FROM d LEFT JOIN hit USING (row)"""
