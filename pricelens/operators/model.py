@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,67 @@ def add_split(df: DataFrame, key: str = S.URL, seed: int = S.ORIGINAL_SEED,
     return df.withColumn(SPLIT, F.when(b < t, F.lit(TRAIN)).when(b < v, F.lit(VAL)).otherwise(F.lit(TEST)))
 
 
+# --- splits of exact sizes -------------------------------------------------------
+
+#: Buckets that a range of hashes is cut into in each round of the selection.
+SELECT_BUCKETS = 1 << 12
+_HASH = "_split_hash"
+
+
+def exact_sizes(rows: int, train_fraction: float = S.ORIGINAL_TRAIN_FRACTION) -> tuple[int, int, int]:
+    """(train, val, test) sizes: the part held out is rounded up, first the test rows, then the validation rows of what is left."""
+    held = 1 - train_fraction
+    test = math.ceil(round(rows * held, 9))
+    val = math.ceil(round((rows - test) * held, 9))
+    return rows - test - val, val, test
+
+
+def kth_smallest(df: DataFrame, value: str, k: int, bits: int) -> tuple[int, int]:
+    """(the k-th smallest of a column of whole numbers below ``2 ** bits``, how many are smaller); k from 1 on.
+
+    Every round counts the values of one range by bucket and goes on with the
+    bucket that holds the k-th: what reaches the driver is at most ``SELECT_BUCKETS`` counts.
+    """
+    low, size, below = 0, 1 << bits, 0
+    while size > 1:
+        width = max(1, size // SELECT_BUCKETS)  # a power of two, as the size is
+        counts = (df.where((F.col(value) >= F.lit(low)) & (F.col(value) < F.lit(low + size)))
+                  .groupBy(F.shiftright(F.col(value) - F.lit(low), width.bit_length() - 1).alias("_b"))
+                  .agg(F.count(F.lit(1)).alias("_n")).collect())
+        for r in sorted(counts, key=lambda r: r["_b"]):
+            if below + r["_n"] >= k:
+                low, size = low + r["_b"] * width, width
+                break
+            below += r["_n"]
+        else:
+            raise ValueError(f"there are fewer than {k} values")
+    return low, below
+
+
+def add_exact_split(df: DataFrame, key: str = S.URL, seed: int = S.ORIGINAL_SEED, train_fraction: float = S.ORIGINAL_TRAIN_FRACTION) -> DataFrame:
+    """``split`` in train/val/test of exactly ``exact_sizes`` rows, by the order of a stable hash of ``key`` (ties by key).
+
+    Neither partitioning nor retries move a row.  Rows that repeat a key stay
+    in one split, the earlier one, so that a repeated key at a cut can make it larger.
+    """
+    k = F.col(key).cast("string")
+    bits = 60
+    hashed = df.withColumn(_HASH, F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(k, F.lit("")))), 1, bits // 4), 16, 10).cast("long"))
+    hashes = hashed.select(_HASH, k.alias("_key"))
+    n = hashes.count()
+    train, val, _ = exact_sizes(n, train_fraction)
+    split = F.lit(TEST)
+    for name, last in ((VAL, train + val), (TRAIN, train)):
+        if not last:
+            continue
+        cut, below = kth_smallest(hashes, _HASH, last, bits)
+        # rows of the very hash at the cut: those of one key, but for collisions
+        upto = hashes.where(F.col(_HASH) == cut).orderBy(F.asc_nulls_first("_key")).limit(last - below).agg(F.max("_key")).first()[0]
+        within = (F.col(_HASH) < cut) | ((F.col(_HASH) == cut) & (F.coalesce(k, F.lit("")) <= F.lit(upto or "")))
+        split = F.when(within, F.lit(name)).otherwise(split)
+    return hashed.withColumn(SPLIT, split).drop(_HASH)
+
+
 def fit_scaler(df: DataFrame, column: str = S.PRICE) -> DataFrame:
     """One row ``(mean, std, n)``; std is the population std (divides by n)."""
     return df.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.count(column).alias("n"))

@@ -214,6 +214,13 @@ def q_price_kde(spark, sf_dir):
     return _rounded(curve, {"x": 6, "density": 14})
 
 
+@query("price_kde_binned")
+def q_price_kde_binned(spark, sf_dir):
+    """The density curves from bin weights."""
+    curve = distribution.binned_kde(_tagged(spark, sf_dir), [S.PHONE_MODEL], S.PRICE, S.ORIGINAL_KDE_POINTS, max_groups=len(TABLE_LADDER))
+    return _rounded(curve, {"x": 6, "density": 14})
+
+
 # Chart viewports are applied to the finished statistics: the axis is cut, the numbers stay.
 
 @query("box_date_viewport")
@@ -257,6 +264,12 @@ def q_split_counts(spark, sf_dir):
     return df.groupBy(model.SPLIT).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("split_exact")
+def q_split_exact(spark, sf_dir):
+    """Every prepared row's split, of exactly the original's sizes."""
+    return model.add_exact_split(prepared(spark, sf_dir).select(S.URL)).select(S.URL, model.SPLIT)
+
+
 @query("scale_label")
 def q_scale_label(spark, sf_dir):
     _, scaler = modelling_frame(spark, sf_dir)
@@ -419,6 +432,13 @@ def q_repair_audit(spark, sf_dir):
     return files.repair_audit(_raw(spark, sf_dir))
 
 
+@query("landing_audit")
+def q_landing_audit(spark, sf_dir):
+    """The audit's counts as they were observed while the repaired rows were written."""
+    path = land_once(spark, sf_dir, "repaired", lambda p: files.land_repaired(_raw(spark, sf_dir), p))
+    return spark.read.parquet(f"{path}/audit")
+
+
 def streamed_landing(spark, sf_dir) -> str:
     """The raw export landed incrementally by the streaming job (once per process and input)."""
     raw = raw_export_path(spark, sf_dir)

@@ -545,3 +545,29 @@ top AS (SELECT word FROM w ORDER BY n DESC, word LIMIT {LONG_LADDER}),
 ph AS (SELECT word, row_number() OVER (ORDER BY len(word) DESC, word) AS rank FROM top),
 hit AS (SELECT row, arg_min(word, rank) AS phrase FROM d JOIN ph ON contains(t, word) GROUP BY row)
 SELECT doc_id, phrase FROM d LEFT JOIN hit USING (row)"""
+
+
+# --- exact split sizes, binned density, observed counts ------------------------------------
+ORACLE["split_exact"] = with_(LISTINGS, PREPARED) + f""",
+h AS (SELECT url, row_number() OVER (ORDER BY ('0x' || substr(md5('{SEED}|' || url), 1, 15))::BIGINT, url) AS pos FROM prepared),
+s AS (SELECT count(*) AS n, CAST(ceil(round(count(*) * 0.2, 9)) AS BIGINT) AS test FROM h),
+c AS (SELECT n - test AS rest, CAST(ceil(round((n - test) * 0.2, 9)) AS BIGINT) AS val FROM s)
+SELECT url, CASE WHEN pos <= rest - val THEN 'train' WHEN pos <= rest THEN 'val' ELSE 'test' END AS split FROM h, c"""
+
+ORACLE["landing_audit"] = ORACLE["repair_audit"]
+
+from pricelens.operators.distribution import KDE_BINS_PER_POINT, KDE_REACH  # noqa: E402
+
+_POINTS = _S.ORIGINAL_KDE_POINTS
+_BINS = _POINTS * KDE_BINS_PER_POINT
+ORACLE["price_kde_binned"] = with_(LISTINGS, EXPLORE, TAGGED) + f""",
+s AS (SELECT phone_model, count(*) AS n, min(price) AS lo, max(price) AS hi, stddev_samp(price) * pow(CAST(count(*) AS DOUBLE), -0.2) AS h
+      FROM e GROUP BY phone_model HAVING count(*) >= 2 AND stddev_samp(price) > 0),
+p AS (SELECT phone_model, (price - lo) / (hi - lo) * {float(_BINS)!r}::DOUBLE AS p FROM e JOIN s USING (phone_model)),
+b AS (SELECT phone_model, p, least(floor(p), {_BINS - 1}) AS b FROM p),
+ed AS (SELECT phone_model, b, sum(w) AS w FROM (SELECT phone_model, b, 1 - (p - b) AS w FROM b UNION ALL SELECT phone_model, b + 1, p - b FROM b) u GROUP BY phone_model, b),
+g AS (SELECT s.*, CAST(j AS INTEGER) AS grid_index, lo + (j * (hi - lo)) / {float(_POINTS)!r}::DOUBLE AS x FROM s, range(0, {_POINTS}) t(j)),
+k AS (SELECT g.phone_model, grid_index, x, n, h, sum(CASE WHEN abs(b / {float(KDE_BINS_PER_POINT)!r}::DOUBLE - grid_index) <= {float(KDE_REACH)!r}::DOUBLE * h / (hi - lo) * {float(_POINTS)!r}::DOUBLE
+        THEN w * exp(-0.5 * ((x - (lo + b * (hi - lo) / {float(_BINS)!r}::DOUBLE)) / h) * ((x - (lo + b * (hi - lo) / {float(_BINS)!r}::DOUBLE)) / h)) ELSE 0.0 END) AS t
+      FROM g JOIN ed USING (phone_model) GROUP BY g.phone_model, grid_index, x, n, h)
+SELECT phone_model, grid_index, round(x, 6) AS x, round(t / (n * h * sqrt(2 * pi())), 14) AS density FROM k"""

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,14 +102,33 @@ def quarantine(repaired: DataFrame) -> DataFrame:
     return repaired.filter(F.col(S.REASON).isNotNull()).select(S.URL, S.N_FIELDS, S.REASON, S.RECORD)
 
 
+def _audit_counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("raw"), F.count_if(WRAPPED).alias("wrapped"),
+            F.count_if(F.col(S.REASON).isNotNull()).alias("quarantined"), F.count_if(F.col(S.REASON).isNull()).alias("accepted")]
+
+
+AUDIT_STAGES = ["raw", "wrapped", "quarantined", "accepted"]
+
+
+def land_repaired(raw: DataFrame, path: str) -> dict[str, int]:
+    """Write the repaired records to ``path/rows`` as parquet, the audit's counts beside them; the counts.
+
+    They are taken while the rows are written (``observe``): no second job reads anything.
+    """
+    seen = Observation("repair")
+    repair(raw).observe(seen, *_audit_counts()).write.mode("errorifexists").parquet(f"{path}/rows")
+    counts = {stage: seen.get.get(stage, 0) for stage in AUDIT_STAGES}
+    raw.sparkSession.createDataFrame([(s, counts[s], i) for i, s in enumerate(AUDIT_STAGES)], "stage string, n_rows long, step int") \
+        .coalesce(1).write.mode("errorifexists").parquet(f"{path}/audit")
+    return counts
+
+
 def repair_audit(raw: DataFrame) -> DataFrame:
     """``stage, n_rows, step``: raw records, wrapped among them, quarantined, accepted -- one scan, one aggregate."""
-    row = repair(raw).agg(F.count(F.lit(1)).alias("raw"), F.count_if(WRAPPED).alias("wrapped"),
-                          F.count_if(F.col(S.REASON).isNotNull()).alias("quarantined"), F.count_if(F.col(S.REASON).isNull()).alias("accepted"))
-    stages = ["raw", "wrapped", "quarantined", "accepted"]
+    row = repair(raw).agg(*_audit_counts())
     return row.select(F.inline(F.array(*[
         F.struct(F.lit(s).alias("stage"), F.col(s).cast("long").alias("n_rows"), F.lit(i).alias("step"))
-        for i, s in enumerate(stages)])))
+        for i, s in enumerate(AUDIT_STAGES)])))
 
 
 # --- sinks ----------------------------------------------------------------------
