@@ -15,7 +15,8 @@ Edge cases: null text and null role are empty; a null tree id is a tree of
 its own; a message whose parent is absent or itself is a root; equal nodes
 must not repeat (``from_turns`` numbers rows, so repeated turns stay, ordered
 by role and text); a cycle raises; empty tables give no rows.  A path is one
-row, so a single conversation must fit in a task.
+row, so a single conversation, and with it any text, must fit in a task.  Extra
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -1,11 +1,12 @@
 """Connected components of an edge table, by hooking and contraction.
 
 Every round hooks each node to its smallest neighbour (one partial/final
-aggregate), follows the hook once more, and replaces both ends of every edge
-by where they now point.  Edges inside a component vanish, so the edge table
-shrinks by a constant factor a round and the number of rounds is
-logarithmic.  Each round's tables are written to the shared folder; nothing but
-one count a round reaches the driver.
+aggregate), which makes trees, and follows the hooks by doubling until every
+node knows the root of its tree; then both ends of every edge are replaced by
+their roots.  A tree has two nodes at least, so a round halves the nodes that
+still have edges, and a tree of depth d takes log d doublings: a path in id
+order, however long, is one tree.  Each step's table is written to the shared
+folder; nothing but an emptiness test a step reaches the driver.
 """
 
 from __future__ import annotations
@@ -29,9 +30,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = left.union(left.select("b", "a"))
         hooks = written(both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("low")).select("x", F.least("x", "low").alias("y")), "hooks")
-        # one jump along the hooks: the target of a node is at most its hook's hook
-        nxt = hooks.select(F.col("x").alias("y"), F.col("y").alias("z"))
-        jump = written(hooks.join(nxt, "y").select("x", F.least("y", "z").alias("to")), "jumps")
+        while True:
+            further = hooks.select(F.col("x").alias("y"), F.col("y").alias("to"))
+            jump = written(hooks.join(further, "y").select("x", "to", (F.col("to") < F.col("y")).alias("moved")), "jumps")
+            if jump.where("moved").isEmpty():
+                break
+            hooks = jump.select("x", F.col("to").alias("y"))
         labels = written(labels.join(jump, labels["component"] == jump["x"], "left")
                          .select("node", F.coalesce("to", "component").alias("component")), "labels")
         ends_a, ends_b = (jump.select(F.col("x").alias(c), F.col("to").alias(f"to_{c}")) for c in ("a", "b"))

@@ -6,9 +6,10 @@ cut into half-overlapping passages and each passage is a query.  Impacts are
 scaled by the item's score against itself, so one threshold serves items of any
 length: a passage must reach ``MIN_SCORE`` of what the item's own text scores.
 WAND's pivot test - can the summed maxima of the query's terms reach the
-threshold - is made for all passages and blocks of an Arrow batch at once;
-only blocks that can are opened and their items scored exactly, and all items
-above the threshold are retrieved, with no top-k.  A retrieved item is then
+threshold - is made for all passages and blocks of an Arrow batch at once; of
+the postings of a passage's terms only those in blocks that can are read and
+their items scored exactly, and all items above the threshold are retrieved,
+with no top-k.  A retrieved item is then
 verified on five-word shingles of the document: ``MIN_OVERLAP`` of those of its
 question and of its answer must occur, or ``MIN_OVERLAP`` of those of the whole
 item, as one changed word can take every shingle of a short answer.
@@ -28,7 +29,9 @@ before the next is sent, so its size has a bound whatever the benchmark's.
 
 Edge cases: null and empty texts of documents match nothing; null, empty or
 wordless items are never matched; repeated items match each on their own;
-null ids stay null; empty tables give no rows; extra columns are not read.
+null ids stay null; a document of any length is searched whole, window by
+window, by one task; rows that repeat a doc_id are judged each; empty tables
+give no rows; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import repeat
 from math import log
 
@@ -107,6 +110,11 @@ class Index:
     block_max: np.ndarray
     half: int
 
+    @cached_property
+    def keys(self) -> np.ndarray:
+        """term * items + item of every posting, rising."""
+        return np.repeat(np.arange(len(self.terms)), np.diff(self.starts)) * len(self.item_ids) + self.items
+
 
 def build_index(items: list[tuple[int | None, str | None]], statistics: Statistics | None = None) -> Index:
     """Index of some items by the statistics given, or by their own."""
@@ -134,11 +142,14 @@ def build_index(items: list[tuple[int | None, str | None]], statistics: Statisti
                  np.array([i for p in postings for i, _ in p], np.int64), np.array([x for p in postings for _, x in p], np.float64), block_max, max(HALF_PASSAGE, longest))
 
 
-def retrieve(index: Index, documents: list[list[bytes]], min_score: float = MIN_SCORE) -> dict[tuple[int, int], float]:
-    """(document, item) -> best passage score, for every pair that reaches the threshold."""
+def retrieve(index: Index, documents: list[list[bytes]], min_score: float = MIN_SCORE, read: list[tuple[int, int]] | None = None) -> dict[tuple[int, int], float]:
+    """(document, item) -> best passage score, for every pair that reaches the threshold.
+
+    ``read`` gets, for every passage that opens a block, the postings read and those its terms have.
+    """
     if not index.terms or not documents:
         return {}
-    none = len(index.terms)
+    none, n_items = len(index.terms), len(index.item_ids)
     look = index.terms.get
     sizes = np.fromiter(map(len, documents), np.int64, len(documents))
     terms = np.concatenate([np.fromiter(map(look, w, repeat(none)), np.int64, len(w)) for w in documents])
@@ -167,14 +178,17 @@ def retrieve(index: Index, documents: list[list[bytes]], min_score: float = MIN_
     for p in np.unique(passages):
         blocks = opened[slice(*np.searchsorted(passages, [p, p + 1]))]
         query = np.unique(key_term[edges[p]:edges[p + 2]])
-        scores = np.zeros(len(index.item_ids))
-        counts = index.starts[query + 1] - index.starts[query]
-        places = np.repeat(index.starts[query] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        # a term's postings are in item order, so those of a block lie together: the rest is never read
+        begin = np.searchsorted(index.keys, (query[:, None] * n_items + blocks * BLOCK_ITEMS).ravel())
+        counts = np.searchsorted(index.keys, (query[:, None] * n_items + np.minimum((blocks + 1) * BLOCK_ITEMS, n_items)).ravel()) - begin
+        places = np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        if read is not None:
+            read.append((len(places), int((index.starts[query + 1] - index.starts[query]).sum())))
+        scores = np.zeros(n_items)
         np.add.at(scores, index.items[places], index.impacts[places])
         for item in np.nonzero(scores >= min_score - 1e-9)[0]:
-            if item // BLOCK_ITEMS in blocks:
-                pair = (int(owner[p]), int(item))
-                best[pair] = max(float(scores[item]), best.get(pair, 0.0))
+            pair = (int(owner[p]), int(item))
+            best[pair] = max(float(scores[item]), best.get(pair, 0.0))
     return best
 
 

@@ -10,8 +10,10 @@ so that the threshold reads ``CUT``.
 Edge cases: null and empty texts have defined features (all counts 0) and get
 a score; labels that are null, not 0/1, or contradictory for a doc_id are not
 learned from; without both labels nothing can be ranked and every document
-scores exactly ``CUT`` (kept); an empty table gives no rows; extra columns
-are not read.
+scores exactly ``CUT`` (kept); rows that repeat a doc_id are scored each; a
+text of any length is read whole by one task; an empty table gives no rows;
+extra columns of the labels are not read, those of the documents are kept unless
+an output column has their name.
 """
 
 from __future__ import annotations

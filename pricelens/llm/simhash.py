@@ -16,7 +16,9 @@ into blocks of home rows, one task each.
 Edge cases: null or blank text has fingerprint zero and is linked like any
 other; equal fingerprints link at distance 0; a null doc_id takes part
 but is never a component id unless nothing else is there (then null); the
-empty table gives no rows; extra columns are not read.
+empty table gives no rows; rows that repeat a doc_id are fingerprinted each; a
+text of any length is read whole by one task; extra columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations

@@ -27,7 +27,9 @@ the sort, and a cell counts as equal to another by 96 bits.
 Edge cases: null text is empty, and texts under ``WINDOW`` bytes lose nothing;
 a null doc_id ranks after all others; rows with equal doc_ids take nothing from
 one another and each get their own result row; the empty table gives no
-rows; columns of the input are kept unless an output column has their name.
+rows; a text of any length is cut into chunks that many tasks search, and put
+together by one; columns of the input are kept unless an output column has
+their name.
 """
 
 from __future__ import annotations

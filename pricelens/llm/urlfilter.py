@@ -9,7 +9,9 @@ so a step costs a few vector operations for the whole batch.
 Edge cases: a null URL or one without ``://`` has empty host and path and
 goes through the same automaton (as the canonical URL ``""``); the empty
 table gives an empty result; columns of the input are kept unless they
-clash with an output column, in which case the output column wins.
+clash with an output column, in which case the output column wins.  Rows that
+repeat are judged each; a URL of any length is stepped through whole, a byte of
+it a step of its batch.
 """
 
 from __future__ import annotations

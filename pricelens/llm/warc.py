@@ -12,7 +12,9 @@ of failed attempts have names no manifest holds.
 Edge cases: null html is an empty payload; a null URL is written as
 ``about:blank``; empty tables give no archives; repeated page_ids stay apart
 (one record per row); among equal payloads with the same smallest page_id one
-row is the response.  Control characters in a URL are percent-encoded.
+row is the response.  Control characters in a URL are percent-encoded.  A page of
+any length is one record, held whole by its task; extra columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations

@@ -37,6 +37,20 @@ def test_retrieval_against_every_score():
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_postings_of_closed_blocks_are_not_read():
+    rng = random.Random(2)
+    common = [f"c{i}" for i in range(6)]
+    items = [" ".join([f"own{i}x{k}" for k in range(10)] + rng.sample(common, 4)) for i in range(200)]
+    index = D.build_index(list(enumerate(items)))
+    documents = [D.words_of(" ".join(common * 5) + " " + items[i]) for i in range(0, 200, 20)]
+    read = []
+    got = D.retrieve(index, documents, 0.7, read)
+    assert {(d, index.item_ids[i]) for d, i in got} == {(d, 20 * d) for d in range(10)}
+    assert read and all(0 < a < 0.2 * b for a, b in read)
+    want = {(d, i): s for d, w in enumerate(documents) for i, s in enumerate(plain_scores(index, w)) if s >= 0.7}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def holds(document, item):
     """Whether the document has 0.8 of the five-word runs of the item's question and of its answer (a shorter half: all its words in a row)."""
     words = D.words_of(document)
