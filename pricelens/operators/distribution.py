@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricelens import schema as S
 from pricelens.operators.joins import bounded_broadcast
 from pricelens.operators.ranking import exact_quantiles
 
@@ -49,7 +50,7 @@ def box_stats(df: DataFrame, group_cols: Sequence[str], value: str, max_groups:
                 .select(*g, "n", "min", "max", "mean", "q1", "median", "q3", "lower_fence", "upper_fence", "whisker_low", "whisker_high", "n_outliers"))
 
 
-def histogram(df: DataFrame, group_cols: Sequence[str], value: str, width: float,
+def histogram(df: DataFrame, group_cols: Sequence[str], value: str, width: float = S.ORIGINAL_BIN_WIDTH,
               max_groups: int | None = None) -> DataFrame:
     """Density-normalised histogram per group; bins start at the group minimum.
 

@@ -74,8 +74,7 @@ def plan_windows(first: np.ndarray, last: np.ndarray, n: int, k: int, size: int)
             pieces.append({"l": left, "r": right, "s0": s, "s1": stop})
             s = stop + 1
         l0, l1, r0, r1 = lo // size, hi // size, (lo + k - 1) // size, (hi + k - 1) // size
-        before = _runs_between(l1 + 1, b) if l1 + 1 < b else []
-        after = _runs_between(b + 1, r0) if b + 1 < r0 else []
+        before, after = _runs_between(l1 + 1, min(b, r0)), _runs_between(max(b, l1) + 1, r0)
         used.update(before, after)
         out.append({"_b": b, "ends": pieces, "near": sorted({*range(l0, l1 + 1), b, *range(r0, r1 + 1)}),
                     "far": [{"level": v, "run": r, "side": -1} for v, r in before] + [{"level": v, "run": r, "side": 1} for v, r in after],

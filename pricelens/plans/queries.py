@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pricelens import schema as S
 from pricelens.functions import days_prompt
-from pricelens.operators import clean, distribution, epochs, ladder, metrics, model, profile, reshape, subwords, textmodel, tokenmean, tokens, trend
+from pricelens.operators import cells, clean, distribution, epochs, ladder, longtrend, metrics, model, profile, reshape, subwords, textmodel, tokenmean, tokens, trend
 from pricelens.functions import stable_bucket
 from pricelens.session import scratch_path
 from pricelens.sources import files
@@ -221,6 +221,29 @@ def q_price_kde_binned(spark, sf_dir):
     return _rounded(curve, {"x": 6, "density": 14})
 
 
+def price_cells(spark, sf_dir) -> DataFrame:
+    """Counts per (tag, day) from which quantiles of any range of days follow, stored once."""
+    def write(path):
+        cells.count_cells(_tagged(spark, sf_dir), [S.PHONE_MODEL, S.DATE], S.PRICE).write.parquet(path)
+    return spark.read.parquet(land_once(spark, sf_dir, "price-cells", write))
+
+
+CELL_NUMBERS = ["min", "max", "mean", *[f"{q}{end}" for q in ("q1", "median", "q3") for end in ("", "_low", "_high")]]
+
+
+@query("box_cells_by_model")
+def q_box_cells_by_model(spark, sf_dir):
+    """Quartiles with bounds from the stored counts, all days merged."""
+    return _rounded(cells.box_from_cells(price_cells(spark, sf_dir), [S.PHONE_MODEL]), dict.fromkeys(CELL_NUMBERS, 6))
+
+
+@query("box_cells_by_date_range")
+def q_box_cells_by_date_range(spark, sf_dir):
+    """The same for the rows of the date viewport: only its days' counts are merged."""
+    lo, hi = (F.to_date(F.lit(d)) for d in TABLE_DATE_VIEWPORT)
+    return _rounded(cells.box_from_cells(clean.viewport(price_cells(spark, sf_dir), S.DATE, lo, hi), [S.PHONE_MODEL]), dict.fromkeys(CELL_NUMBERS, 6))
+
+
 # Chart viewports are applied to the finished statistics: the axis is cut, the numbers stay.
 
 @query("box_date_viewport")
@@ -352,6 +375,16 @@ def q_lowess_trend(spark, sf_dir):
     return _rounded(trend.lowess(df, [S.PHONE_MODEL], S.DAYS_PASSED, S.PRICE), {S.PRICE: 4, "trend": 4})
 
 
+#: Points a block of the overall trend's one series.
+TREND_BLOCK = 128
+
+
+@query("lowess_overall")
+def q_lowess_overall(spark, sf_dir):
+    """One series of all prepared listings, smoothed by blocks."""
+    return _rounded(longtrend.long_lowess(prepared(spark, sf_dir), [], S.DAYS_PASSED, S.PRICE, block_points=TREND_BLOCK), {S.PRICE: 6, "trend": 4})
+
+
 # --- step 8: tokens ------------------------------------------------------------
 
 @query("tokens_padded")

@@ -571,3 +571,35 @@ k AS (SELECT g.phone_model, grid_index, x, n, h, sum(CASE WHEN abs(b / {float(KD
         THEN w * exp(-0.5 * ((x - (lo + b * (hi - lo) / {float(_BINS)!r}::DOUBLE)) / h) * ((x - (lo + b * (hi - lo) / {float(_BINS)!r}::DOUBLE)) / h)) ELSE 0.0 END) AS t
       FROM g JOIN ed USING (phone_model) GROUP BY g.phone_model, grid_index, x, n, h)
 SELECT phone_model, grid_index, round(x, 6) AS x, round(t / (n * h * sqrt(2 * pi())), 14) AS density FROM k"""
+
+
+from pricelens.operators.cells import ACCURACY, growth_of  # noqa: E402
+
+
+def _cells(where: str) -> str:
+    """Quartiles from counts per cell; the SQL counts the rows of the wanted days anew."""
+    def picks(name, p):
+        at = f"((tot - 1) * {p!r}::DOUBLE)"
+        def one(rank, what):
+            return f"max(CASE WHEN {rank} >= under AND {rank} < under + n THEN {what} END)"
+        kinds = {"": "lo + ({r} - under) * step", "_low": "lo", "_high": "hi"}
+        return ", ".join(
+            f"round({one(f'floor({at})', w.format(r=f'floor({at})'))} + any_value({at} - floor({at})) * "
+            f"({one(f'ceil({at})', w.format(r=f'ceil({at})'))} - {one(f'floor({at})', w.format(r=f'floor({at})'))}), 6) AS {name}{end}"
+            for end, w in kinds.items())
+    return with_(LISTINGS, EXPLORE, TAGGED) + f""",
+c AS (SELECT phone_model, floor(ln(price) / ln({growth_of(ACCURACY)!r}::DOUBLE)) AS cell, count(*) AS n, sum(price) AS s, min(price) AS lo, max(price) AS hi
+      FROM e WHERE {where} GROUP BY ALL),
+r AS (SELECT *, CASE WHEN n > 1 THEN (hi - lo) / (n - 1) ELSE 0.0 END AS step, sum(n) OVER (PARTITION BY phone_model) AS tot,
+             coalesce(sum(n) OVER (PARTITION BY phone_model ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM c)
+SELECT phone_model, CAST(tot AS BIGINT) AS n, round(min(lo), 6) AS min, round(max(hi), 6) AS max, round(sum(s) / tot, 6) AS mean,
+       {picks("q1", 0.25)}, {picks("median", 0.5)}, {picks("q3", 0.75)}
+FROM r GROUP BY phone_model, tot"""
+
+
+ORACLE["box_cells_by_model"] = _cells("price > 0")
+ORACLE["box_cells_by_date_range"] = _cells(f"price > 0 AND date BETWEEN DATE {q(TABLE_DATE_VIEWPORT[0])} AND DATE {q(TABLE_DATE_VIEWPORT[1])}")
+
+ALL_POINTS = "SELECT 'all' AS phone_model, days_passed AS x, avg(price) AS y FROM prepared GROUP BY days_passed"
+ORACLE["lowess_overall"] = with_(LISTINGS, PREPARED, *_lowess_ctes(ALL_POINTS, ROUNDS)) + f"""
+SELECT x AS days_passed, round(y, 6) AS price, round(fit, 4) AS trend FROM fit{ROUNDS}"""

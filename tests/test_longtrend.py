@@ -36,6 +36,32 @@ def test_series_of_all_shapes_match_the_plain_fit(spark, frac):
     _check(spark, {"even": even, "none": dense, "short": short, "one": one}, frac=frac, iterations=2, block_points=32)
 
 
+@pytest.mark.parametrize("n", [1, 8, 9, 63, 65, 97, 160])
+@pytest.mark.parametrize("frac", [(2, 3), (1, 10), (1, 1)])
+def test_near_blocks_and_runs_are_apart_and_cover_the_window(n, frac):
+    size, k = 8, max(1, n * frac[0] // frac[1])
+    x = np.cumsum(np.random.default_rng(n).exponential(1.0, n))
+    begins = range(0, n, size)
+    rows = plan_windows(x[::size], np.array([x[min(n, b + size) - 1] for b in begins]), n, k, size)
+    for row in rows:
+        far = [b for f in row["far"] for b in range(f["run"] << f["level"], (f["run"] + 1) << f["level"])]
+        met = row["near"] + far
+        assert len(met) == len(set(met))
+        for f in row["far"]:
+            blocks = range(f["run"] << f["level"], (f["run"] + 1) << f["level"])
+            assert blocks[0] > row["_b"] if f["side"] > 0 else blocks[-1] < row["_b"]
+        for i in range(row["_b"] * size, min(n, (row["_b"] + 1) * size)):
+            h = np.partition(np.abs(x - x[i]), k - 1)[k - 1]
+            inside = np.abs(x - x[i]) < h
+            assert {int(j) // size for j in np.flatnonzero(inside)} <= set(met)
+            assert all(inside[j] for b in far for j in range(b * size, (b + 1) * size))
+
+
+def test_last_block_of_one_point(spark):
+    x = np.arange(129.0)
+    _check(spark, {"a": (x, 50 + np.random.default_rng(1).normal(0, 5, 129))}, block_points=8, iterations=1)
+
+
 def test_flat_series_keeps_its_value(spark):
     x = np.arange(100.0)
     _check(spark, {"flat": (x, np.full(100, 5.0))}, block_points=8)
