@@ -231,7 +231,9 @@ def pack_chunks(documents: DataFrame, text: str) -> DataFrame:
     name = f"text_chunks_{uuid.uuid4().hex}"
     (source.mapInArrow(pack, "chunk long, rows binary, counts binary, cells long").write.format("parquet").option("compression", "zstd")
      .option("path", shared_folder(spark, "chunks")).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").saveAsTable(name))
-    return spark.table(name)
+    chunks = spark.table(name)  # analysed here: its files and buckets are known without the catalog
+    spark.sql(f"DROP TABLE {name}")  # an external table, so the files stay
+    return chunks
 
 
 def _first_entries(chunks: DataFrame, buckets: int) -> DataFrame:
