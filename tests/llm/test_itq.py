@@ -96,3 +96,42 @@ def test_every_length_is_searched(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0]), (5, [3.0, 0.0]), (6, [1.0, 0.0]), (7, [5.0]), (8, [5.0])]
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
     assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 2, 4), (5, 2, 4), (6, 2, 4), (7, 1, 7), (8, 1, 7)]
+
+
+def test_pairs_are_counted_once():
+    """Over all buckets, every pair that probes can find within the reach is counted once in each direction."""
+    vectors = itq.unit(families(5, groups=25, dims=16))
+    tables = itq.code_tables(vectors, 0.9, len(vectors))
+    signs, weak = tables.bits(vectors)
+    packed, words, masks = tables.read(tables.codes(signs, weak))
+    assert np.array_equal(words, tables.words(signs)) and np.array_equal(masks, itq.masks(weak))
+    flat = signs.reshape(len(signs), -1)
+    apart = (flat[:, None] != flat[None]).sum(axis=2)
+    one, other = itq.meet(words[:, None], masks[:, None], words[None], masks[None])
+    want = (one | other).any(axis=2) & (apart <= tables.reach) & (vectors @ vectors.T >= 0.9)
+    np.fill_diagonal(want, False)
+    got = np.zeros(len(vectors), np.int64)
+    keys = itq.probes(words, weak)
+    for slot in range(tables.number):
+        for word in np.unique(words[:, slot]):
+            rows = np.nonzero((keys[:, slot] == word).any(axis=1))[0]
+            cell = itq.Cell(packed[rows], words[rows], masks[rows], words[rows, slot] == word, np.ones(len(rows), bool), slot, int(word))
+            got[rows] += itq.bucket_links(cell, vectors[rows], np.ones(len(rows), np.int64), 0.9, tables.reach)[0]
+    assert want.any() and np.array_equal(got, want.sum(axis=1))
+
+
+def test_buckets_stay_small_as_rows_grow():
+    """Of random vectors the rows in buckets that can hold a pair grow as the vectors do, not with their square."""
+    rng = np.random.default_rng(8)
+    rates = []
+    for n in (4_000, 32_000):
+        vectors = itq.unit(rng.standard_normal((n, 32)))
+        tables = itq.code_tables(vectors[:4_000], 0.9, n)
+        signs, weak = tables.bits(vectors)
+        words = tables.words(signs)
+        placed = 0
+        for slot, keys in enumerate(itq.probes(words, weak).transpose(1, 0, 2)):
+            bucket, counts = np.unique(keys, return_counts=True)
+            placed += counts[(counts > 1) & np.isin(bucket, words[:, slot])].sum()
+        rates.append(placed / n)
+    assert rates[1] < 1.5 * rates[0], rates
