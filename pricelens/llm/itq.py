@@ -5,7 +5,8 @@ signs of the rotated vectors are balanced bits that lose little; each start of
 the iteration gives another rotation, and together they make a code.  The
 code is cut into substrings, one hash table each.  A substring has ``SPARE``
 bits more than the number of vectors needs, so buckets stay as small at any
-number of rows.  A vector lives in a table under its own substring and probes the
+number of rows; longer substrings need more tables, so what lies in all buckets grows by a
+power of about 1.3.  A vector lives in a table under its own substring and probes the
 neighbours that differ in its ``WEAK`` bits nearest to their cut, those that a near
 vector most likely has otherwise.  Two vectors meet in a table when either probes the
 other.  Tables are added until ``SURE`` of the pairs planted at the threshold
