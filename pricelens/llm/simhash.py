@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints linked through vantage-point trees.
 
 Fingerprints are partitioned by Hamming distance.  A top tree of vantage
-points and radii, built from a bounded sample, deals every distinct
-fingerprint to its home shard; it also visits, as a guest, each shard that
+points and radii, built from a sample of ``SAMPLE`` fingerprints for each shard
+wanted (one in 1,024 of all), deals every distinct fingerprint to its home shard; it also visits, as a guest, each shard that
 its ball of ``distance`` bits reaches into (triangle bounds prune the rest).
 Two fingerprints part at one node only, and there the inner one visits the
 outer side, so each pair within the distance meets in exactly one shard.
@@ -11,7 +11,8 @@ leaves compare home rows with visitors in blocks of XOR and popcount.
 
 A shard gives a spanning forest of the links it found, never the pairs, so
 its output is at most its rows.  A dense ball that no split can part is cut
-into blocks of home rows, one task each.
+into blocks of home rows, one task each.  Shards are large, because each level of
+the top tree sends a random fingerprint to about half as many shards again.
 
 Edge cases: null or blank text has fingerprint zero and is linked like any
 other; equal fingerprints link at distance 0; a null doc_id takes part
@@ -23,6 +24,7 @@ names, are not read.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +38,13 @@ from pricelens.llm.components import connected_components
 from pricelens.llm.shared import written
 from pricelens.llm.tokenbin import slices
 
-#: Fingerprints (of all distinct ones) that the top tree is built from.
-SAMPLE = 16_384
-#: Home rows wanted in a shard, and leaves of the top tree at most.
-SHARD_ROWS = 4_096
-MAX_SHARDS = 4_096
+#: Home rows wanted in a shard, and fingerprints for each shard that the top tree is built from.
+SHARD_ROWS = 16_384
+SAMPLE = 16
+#: Fingerprints routed through the top tree at a time.
+ROUTE_ROWS = 1 << 16
 #: Home rows of a shard that one task compares with all its visitors.
-BLOCK_ROWS = 8_192
+BLOCK_ROWS = 65_536
 #: Rows under which a tree inside a shard is a leaf.
 LEAF_ROWS = 512
 HASH_SEED = 42
@@ -122,11 +124,12 @@ def build_tree(sample: np.ndarray, leaves: int) -> list[tuple[int, int, int, int
     The largest part is split next, until there are ``leaves`` parts.
     """
     nodes: list[list[int]] = []
-    parts: list[tuple[np.ndarray, tuple[int, int] | None]] = [(sample, None)]
+    # parts by falling size; the running number settles ties
+    parts: list[tuple[int, int, np.ndarray, tuple[int, int] | None]] = [(-len(sample), 0, sample, None)]
     closed: list[tuple[int, int] | None] = []
+    made = 1
     while parts and len(parts) + len(closed) < leaves:
-        i = max(range(len(parts)), key=lambda k: len(parts[k][0]))
-        values, parent = parts.pop(i)
+        _, _, values, parent = heapq.heappop(parts)
         found = _split(values) if len(values) > 8 else None
         if found is None:
             closed.append(parent)
@@ -137,8 +140,10 @@ def build_tree(sample: np.ndarray, leaves: int) -> list[tuple[int, int, int, int
         if parent:
             nodes[parent[0]][parent[1]] = node
         near = _far(values, point) <= radius
-        parts += [(values[near], (node, 2)), (values[~near], (node, 3))]
-    for leaf, parent in enumerate([*(p for _, p in parts), *closed]):
+        for side, child in ((values[near], 2), (values[~near], 3)):
+            heapq.heappush(parts, (-len(side), made, side, (node, child)))
+            made += 1
+    for leaf, parent in enumerate([*(p for *_, p in parts), *closed]):
         if parent:
             nodes[parent[0]][parent[1]] = -1 - leaf
     return [tuple(n) for n in nodes]
@@ -222,29 +227,34 @@ def link_fingerprints(distinct: DataFrame, distance: int) -> DataFrame:
     """Edges (a, b) that span each component of the distinct fingerprints within ``distance`` bits."""
     spark = distinct.sparkSession
     total = distinct.count()
-    shards = max(1, min(MAX_SHARDS, -(-total // SHARD_ROWS)))
-    sample = [r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()] if shards > 1 else []
-    tree = build_tree(np.array(sample, np.int64).view(np.uint64), shards) if sample else []
+    shards = max(1, -(-total // SHARD_ROWS))
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE * shards).toPandas()["fp"].to_numpy(np.int64) if shards > 1 else np.zeros(0, np.int64)
+    tree = build_tree(sample.view(np.uint64), shards) if len(sample) else []
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column("fp").to_numpy(zero_copy_only=False)
-            rows, shard, home = route(tree, values.astype(np.int64).view(np.uint64), distance)
+        def routed(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            values = np.concatenate(parts)
+            rows, shard, home = route(tree, values.view(np.uint64), distance)
             for a in range(0, len(rows), 1 << 17):
                 b = a + (1 << 17)
                 yield pa.RecordBatch.from_arrays([pa.array(values[rows[a:b]], pa.int64()), pa.array(shard[a:b], pa.int64()), pa.array(home[a:b])], names=["fp", "shard", "home"])
 
+        waiting: list[np.ndarray] = []
+        for batch in batches:
+            waiting.append(batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64))
+            if sum(map(len, waiting)) >= ROUTE_ROWS:
+                yield from routed(waiting)
+                waiting = []
+        if waiting:
+            yield from routed(waiting)
+
     routed = written(distinct.select("fp").mapInArrow(visits, "fp long, shard long, home boolean"), "routed")
-    # one row per shard, at most MAX_SHARDS: how many blocks of home rows it needs
-    sizes = {r.shard: -(-r.n // BLOCK_ROWS) for r in routed.where("home").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect() if r.n > BLOCK_ROWS}
-    if sizes:
-        wide = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
-        blocks = F.coalesce(F.try_element_at(wide, F.col("shard")), F.lit(1))
-        mine = F.pmod(F.xxhash64("fp"), blocks)
-        routed = (routed.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-                  .withColumn("home", F.col("home") & (F.col("block") == mine)))
-    else:
-        routed = routed.withColumn("block", F.lit(0))
+    # one row for each shard of more than one block of home rows
+    large = routed.where("home").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1))
+    mine = F.pmod(F.xxhash64("fp"), blocks)
+    dealt = (routed.join(large, "shard", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+             .select("fp", "shard", (F.col("home") & (F.col("block") == mine)).alias("home"), "block"))
 
     def link(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         signed = frame["fp"].to_numpy(np.int64)
@@ -253,7 +263,7 @@ def link_fingerprints(distinct: DataFrame, distance: int) -> DataFrame:
         return pd.DataFrame({"a": signed[other], "b": signed[root[other]]})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return routed.repartition(max(parts, shards), "shard", "block").groupBy("shard", "block").applyInPandas(link, "a long, b long")
+    return dealt.repartition(max(parts, shards), "shard", "block").groupBy("shard", "block").applyInPandas(link, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:

@@ -133,3 +133,14 @@ def test_query_against_brute_force(spark):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op6_simhash"](spark, SMALL).collect()}
     assert got == {d: (f"{p:016x}", parts[d]) for d, p in prints.items()}
     assert len(set(parts.values())) < len(parts)
+
+
+def test_visits_of_a_million_prints():
+    """Random fingerprints of a million visit under eight shards each, and no shard holds over four times its share."""
+    rng = np.random.default_rng(1)
+    shards = -(-1_000_000 // simhash.SHARD_ROWS)
+    tree = simhash.build_tree(rng.integers(0, 1 << 64, simhash.SAMPLE * shards, np.uint64), shards)
+    rows, shard, home = simhash.route(tree, rng.integers(0, 1 << 64, 100_000, np.uint64), 3)
+    assert len(tree) + 1 == shards and home.sum() == 100_000
+    assert len(rows) < 8 * 100_000
+    assert np.bincount(shard[home], minlength=shards).max() < 4 * 100_000 / shards
