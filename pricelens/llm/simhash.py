@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pricelens.llm.components import connected_components
 from pricelens.llm.shared import written
 from pricelens.llm.tokenbin import slices
+from pricelens.operators.joins import bounded_broadcast
 
 #: Home rows wanted in a shard, and fingerprints for each shard that the top tree is built from.
 SHARD_ROWS = 16_384
@@ -253,7 +254,8 @@ def link_fingerprints(distinct: DataFrame, distance: int) -> DataFrame:
     large = routed.where("home").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1")
     blocks = F.coalesce("blocks", F.lit(1))
     mine = F.pmod(F.xxhash64("fp"), blocks)
-    dealt = (routed.join(large, "shard", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # at most one for every BLOCK_ROWS fingerprints
+    dealt = (routed.join(bounded_broadcast(large, total // BLOCK_ROWS), "shard", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
              .select("fp", "shard", (F.col("home") & (F.col("block") == mine)).alias("home"), "block"))
 
     def link(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
