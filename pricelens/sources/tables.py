@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens import schema as S
+from pricelens.operators.joins import bounded_broadcast
 from pricelens.session import scratch_path
 
 # Stand-in parameters for the test tables (the original values are in schema.py).
@@ -44,9 +45,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def listings_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 13-column listings relation as a lazy join plan.
 
-    Joins are left to the planner: ``nation`` is tiny and is broadcast by
-    size; ``part``/``supplier``/``orders`` grow with the data and are joined
-    by shuffle unless AQE measures them small enough to broadcast.
+    ``orders`` and ``part`` grow with the data: each costs one shuffle of the
+    line items, which sorts nothing and so spills nothing (hashed partitions of
+    the smaller side).  The orders come first and the part's long texts last,
+    so that no shuffle carries more than keys, numbers and codes.  A supplier
+    is two small values, broadcast as long as their number is bounded;
+    ``nation`` is tiny and is broadcast by size.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -56,10 +60,10 @@ def listings_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
 
-    joined = (li.join(part, F.col("l_partkey") == F.col("p_partkey"))
-                .join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
-                .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-                .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left"))
+    joined = (li.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+                .join(part.hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
+                .join(bounded_broadcast(supp, supp.count()), F.col("l_suppkey") == F.col("s_suppkey"))
+                .join(nation, F.col("s_nationkey") == F.col("n_nationkey")))
     url = F.concat_ws("-", *[F.col(c).cast("string") for c in
                              ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     price = (F.when((F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "N"), F.lit(None))
