@@ -515,7 +515,7 @@ def q_month_pruned_viewport(spark, sf_dir):
 def q_roundtrip_listings(spark, sf_dir):
     """Standardized CSV sink, read back through the raw scan: same rows."""
     path = scratch_path(spark, "listings-csv")
-    files.write_listings_csv(listings(spark, sf_dir), path)
+    files.write_listings_csv(listings(spark, sf_dir), path, compression="gzip")
     return files.accepted(files.repair(files.read_raw_listings(spark, path)))
 
 

@@ -133,10 +133,16 @@ def repair_audit(raw: DataFrame) -> DataFrame:
 
 # --- sinks ----------------------------------------------------------------------
 
-def write_listings_csv(df: DataFrame, path: str) -> None:
-    """Standardized CSV: every field quoted, doubled quotes inside, header per file."""
-    (df.write.mode("errorifexists").option("header", "true").option("quoteAll", "true")
-       .option("quote", '"').option("escape", '"').option("nullValue", "").csv(path))
+#: Rows a compressed text file.  A reader gives such a file to one task whole, and several small ones together: few rows keep its sorts in memory.
+COMPRESSED_FILE_ROWS = 100_000
+
+
+def write_listings_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """Standardized CSV: every field quoted, doubled quotes inside, header per file; plain, or compressed in files of bounded size."""
+    out = df.write.mode("errorifexists").option("header", "true").option("quoteAll", "true").option("quote", '"').option("escape", '"').option("nullValue", "")
+    if compression:
+        out = out.option("compression", compression).option("maxRecordsPerFile", COMPRESSED_FILE_ROWS)
+    out.csv(path)
 
 
 #: Tasks that share the rows of one directory of a partitioned write.
@@ -154,12 +160,13 @@ def write_listings_parquet(df: DataFrame, path: str, partition_by: str | None =
     clustered.write.mode("errorifexists").partitionBy(partition_by).parquet(path)
 
 
-def write_raw_export(df: DataFrame, path: str, wrapped: Column, extra: Column, texts: dict[str, Column] | None = None) -> None:
+def write_raw_export(df: DataFrame, path: str, wrapped: Column, extra: Column, texts: dict[str, Column] | None = None, file_rows: int = COMPRESSED_FILE_ROWS) -> None:
     """Write rows as a raw export: ``wrapped`` rows as one quoted field, rows with a non-null ``extra`` string followed by it
     (it brings its own commas), and columns in ``texts`` replaced where that text is not null.
 
     Used to make repair inputs from the test tables; each output file
-    starts with the header line, as a real export does.
+    starts with the header line, as a real export does.  The files are
+    gzipped, of at most ``file_rows`` rows each.
     """
     def shown(c: str) -> Column:
         if c not in (texts or {}):
@@ -171,8 +178,9 @@ def write_raw_export(df: DataFrame, path: str, wrapped: Column, extra: Column, t
     line = F.when(extra.isNotNull(), F.concat(line, extra)).otherwise(line)
     line = F.when(wrapped, F.concat(F.lit('"'), F.replace(line, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(line)
     header = ",".join(S.LISTING_COLUMNS)
-    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its task, so of its file
-    df.select(F.when(first, F.concat(F.lit(header + "\n"), line)).otherwise(line).alias("value")).write.mode("errorifexists").text(path)
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) % F.lit(file_rows) == 0  # by its place in its task, which starts a file every so many rows
+    out = df.select(F.when(first, F.concat(F.lit(header + "\n"), line)).otherwise(line).alias("value"))
+    out.write.mode("errorifexists").option("compression", "gzip").option("maxRecordsPerFile", file_rows).text(path)
 
 
 # --- published tables -------------------------------------------------------------

@@ -1,7 +1,14 @@
 """What moves and is written as the tables grow: one narrow shuffle a large join, no sort, compressed exports."""
 
+import gzip
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
 from pricelens import schema as S
-from pricelens.sources import tables
+from pricelens.sources import files, tables
+
+HEADER = ",".join(S.LISTING_COLUMNS)
 
 
 def star(spark, folder):
@@ -29,3 +36,28 @@ def test_listings_move_keys_and_codes_alone_and_sort_nothing(spark, tmp_path):
     got = {(r[S.URL], r[S.VOIVODESHIP], r[S.NAME], r[S.OFFER_FROM], r[S.PRICE]) for r in df.collect()}
     assert df.count() == 5 and got == {("1-1-1-1", "POLAND", "red widget", "1-URGENT", 10.0), ("1-1-1-1", "POLAND", "red again", "1-URGENT", 10.0),
                                        ("2-1-2", "PERU", "red widget", None, 20.0), ("2-1-2", "PERU", "red again", None, 20.0), ("9-7-2-1", "POLAND", "blue", None, None)}
+
+
+def listing_rows(spark, n):
+    own = spark.range(n).select(*[(F.concat(F.lit(f"{c} "), F.col("id")) if f.dataType.simpleString() == "string" else F.lit(None)).cast(f.dataType).alias(f.name)
+                                  for f in S.LISTING.fields for c in [f.name]])
+    return own.coalesce(1)
+
+
+def test_a_compressed_raw_export_has_a_header_in_every_file(spark, tmp_path):
+    df = listing_rows(spark, 25)
+    out = tmp_path / "raw"
+    files.write_raw_export(df, str(out), F.col(S.URL).endswith("3"), F.when(F.col(S.URL).endswith(" 4"), F.lit(",x")), file_rows=10)
+    lines = [gzip.decompress(p.read_bytes()).decode().splitlines() for p in Path(out).glob("*.gz")]
+    assert sorted(map(len, lines)) == [6, 11, 11] and all(part[0] == HEADER for part in lines)
+    rep = files.repair(files.read_raw_listings(spark, str(out)))
+    assert files.quarantine(rep).count() == 1
+    assert sorted(map(str, files.accepted(rep).collect())) == sorted(map(str, df.where(~F.col(S.URL).endswith(" 4")).collect()))
+
+
+def test_a_compressed_csv_sink_reads_back_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "COMPRESSED_FILE_ROWS", 10)
+    df, out = listing_rows(spark, 25), tmp_path / "std"
+    files.write_listings_csv(df, str(out), compression="gzip")
+    assert len(list(Path(out).glob("*.csv.gz"))) == 3
+    assert sorted(map(str, files.accepted(files.repair(files.read_raw_listings(spark, str(out)))).collect())) == sorted(map(str, df.collect()))
