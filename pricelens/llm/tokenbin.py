@@ -51,6 +51,16 @@ _INNER = re.compile(f"(?<=[{_LETTER}])(?=[{_MARK}])|(?<=[{_MARK}]\\n)(?=[{_LETTE
 BARE = "\x01"
 # Texts that are cut in Python: a space that starts no word, the sign for bare atoms, and what may start a control string.
 _ODD = re.compile(r" (?:\s|$)|[\x01<]")
+# A text without any of these is told by three plain searches: all blanks but the space and the line end, and the signs above.
+_RARE = [*"\x01<\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680", *map(chr, range(0x2000, 0x200b)), *"\u2028\u2029\u202f\u205f\u3000"]
+
+
+def is_odd(text: str) -> bool:
+    """Whether ``_ODD`` finds anything, without the expression for the usual text."""
+    for c in _RARE:
+        if c in text:
+            return _ODD.search(text) is not None
+    return "  " in text or " \n" in text or text[-1:] == " "
 
 
 def atoms(text: str) -> list[str]:
@@ -119,7 +129,7 @@ class PieceEncoder:
         """(ids of all texts one after another, bounds of each text in them: one more than texts)."""
         if not texts:
             return np.zeros(0, self.dtype), np.zeros(1, np.int64)
-        odd = {i: pa.array(atoms(t), pa.large_string()) for i, t in enumerate(texts) if _ODD.search(t)}
+        odd = {i: pa.array(atoms(t), pa.large_string()) for i, t in enumerate(texts) if is_odd(t)}
         lists = atom_lists(pa.array([None if i in odd else t for i, t in enumerate(texts)] if odd else texts, pa.large_string()))
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
         flat = lists.flatten()
@@ -133,14 +143,12 @@ class PieceEncoder:
         folded = flat.dictionary_encode()
         at = folded.indices.to_numpy()
         held = self._lookup(folded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        lengths = np.fromiter(map(len, held), np.int64, len(held)) // np.dtype(self.dtype).itemsize
-        source = np.cumsum(lengths) - lengths
-        ids = np.frombuffer(b"".join(held), self.dtype)
-        n = lengths[at]
-        ends = np.cumsum(n)
-        # id number j of the batch is that many places into its atom's ids
-        gathered = ids[np.arange(ends[-1]) + np.repeat(source[at] - (ends - n), n)]
-        return gathered, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        # every atom's bytes in its places, one after another
+        placed = pa.array(held, pa.large_binary()).take(folded.indices)
+        _, offsets, data = placed.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(placed) + 1)
+        ids = np.frombuffer(data, self.dtype, int(ends[-1]) // np.dtype(self.dtype).itemsize) if ends[-1] else np.zeros(0, self.dtype)
+        return ids, ends[np.concatenate([[0], np.cumsum(sizes)])] // ids.itemsize
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
@@ -253,12 +261,12 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, vocabulary:
                 if out is None:
                     name = unique_name("tokens", "")
                     out = filesystem.open_output_stream(f"{root}/{name}.bin", compression=None)
-                for doc_id, data in zip(ids[part], encoder.batch(texts[part]), strict=True):
-                    out.write(data)
-                    out.write(end)
+                coded = encoder.batch(texts[part])
+                out.write(end.join([*coded, b""]))
+                for data in coded:
                     at += len(data) // width + 1
-                    doc_ids.append(doc_id)
                     ends.append(at)
+                doc_ids += ids[part]
         if out is not None:
             out.close()
             write_index(filesystem, f"{root}/{name}.idx", dtype, doc_ids, ends)

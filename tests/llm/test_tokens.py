@@ -56,6 +56,14 @@ def test_pieces_do_not_change_the_encoding(library, limit):
             assert np.frombuffer(data, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_usual_texts_are_told_without_the_expression(monkeypatch):
+    blanks = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    texts = ["", " ", "a b\nc", "é ü", "a<b", "\x01", "a\n", "a \n", "a  b", " a", "漢 字"] + [t for c in blanks for t in (f"a{c}b", f"a {c}b", f"a{c} b", f"a{c}", f"漢 {c}")]
+    assert [tokenbin.is_odd(t) for t in texts] == [tokenbin._ODD.search(t) is not None for t in texts]
+    monkeypatch.setattr(tokenbin, "_ODD", None)  # costs a sixth of the encoding where it is not needed
+    assert not tokenbin.is_odd("plain words, and\nlines é") and tokenbin.is_odd("two  blanks")
+
+
 def odd_documents(spark):
     rows = [(i, t, "en", "s", len(t), i) for i, t in enumerate(ODD)] + [(900, None, None, None, None, 1), (None, "no id", "en", "s", 5, 1), (3, ODD[3], "en", "s", 1, 1)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, start long").repartition(3)
