@@ -36,6 +36,9 @@ END_ID = 0
 CACHE_PIECES = 600_000
 #: Atoms handed to the library in one text.
 JOINED_PIECES = 4_096
+#: Token files a task reads back, one after another: reading costs a small part of encoding, and what writes
+#: the rows makes files for each task (without Hadoop's native library an executor starts processes for them).
+FILES_READ = 4
 MANIFEST = "path string, first_task int, n_docs long, n_tokens long"
 
 # A pre-tokenizer of the byte-level family always starts a new token at a
@@ -327,11 +330,15 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                     [pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(np.diff(offsets.astype(np.int64)), pa.int64()), pa.array(sums, pa.int64()), pa.array([row["path"]] * len(doc_ids))],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
 
-    spread = manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    tasks = -(-int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")) // FILES_READ)
+    return manifest.repartition(tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def token_files(documents: DataFrame, folder: str, tokenizer: str, vocabulary: int) -> DataFrame:
-    """Write the token files of ``documents`` under ``folder`` and read them back."""
-    manifest = written(write_tokens(documents, folder, tokenizer, vocabulary), "token-manifest")
-    return read_tokens(with_bases(manifest), folder)
+    """Write the token files of ``documents`` under ``folder`` and read them back.
+
+    The bases are summed before the manifest is written, so it is one small file
+    and not one for each task.
+    """
+    manifest = written(with_bases(write_tokens(documents, folder, tokenizer, vocabulary)), "token-manifest")
+    return read_tokens(manifest, folder)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pricelens.llm import bpe, tokenbin
@@ -86,6 +87,21 @@ def test_odd_documents(spark, library):
         assert coded[i].ids == library.encode(t, add_special_tokens=False).ids
 
 
+def test_few_files_beside_the_token_files(spark):
+    docs = spark.range(4000).selectExpr("id doc_id", "concat('text ', id) text")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "10")
+    try:
+        files = tokenbin.token_files(docs, shared_folder(spark, "t"), TOKENIZER, vocabulary_size(TOKENIZER))
+        rows = files.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert len({r.file for r in rows}) > 3 and len(rows) == 4000
+    assert len(files.inputFiles()) == 1  # the manifest; one a task before, each made by processes that the JVM starts
+    assert len({r.task for r in rows}) <= 3
+    assert sum(r.n_tokens for r in rows) == max(r.start + r.n_tokens for r in rows)
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert tokenbin.token_files(none, shared_folder(spark, "t"), TOKENIZER, 50_257).count() == 0
