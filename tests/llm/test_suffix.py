@@ -116,3 +116,44 @@ def test_shards_are_even():
     chunk.cells(16)
     share = np.diff(chunk.cuts) / len(chunk.anchor)
     assert share.max() < 0.1 and share.min() > 0.03
+
+
+def test_rows_dealt_do_not_multiply_with_chunks(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 2_000)
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(2_000))) for i in range(40)]
+    chunks = suffix.pack_chunks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "text")
+    assert chunks.count() >= 20
+    assert suffix._first_entries(chunks, 64).count() <= 64
+
+
+@pytest.mark.parametrize("group_bytes", [1, 9_000, 1 << 20])
+def test_groups_and_sorts_of_any_size(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 2_000)
+    monkeypatch.setattr(suffix, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(suffix, "SORT_CELLS", 5)
+    monkeypatch.setattr(suffix, "SORTS_DEALT", 3)
+    rows = odd_rows(3)
+    assert got(suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))) == expected(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cells_left_out_share_no_window(seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("ab ") for _ in range(rng.randint(9, 30))) for _ in range(12)]
+    texts = ["".join(rng.choice(words) for _ in range(12)) for _ in range(30)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    doc_sizes = np.array([len(t) for t in texts])
+    counts, per_document = suffix.cell_counts(data, doc_sizes)
+    sizes = counts.astype(np.int64) + suffix.WINDOW - 1
+    inside = np.cumsum(counts.astype(np.int64)) - counts - np.repeat((np.cumsum(np.maximum(doc_sizes - 49, 0)) - np.maximum(doc_sizes - 49, 0)), per_document)
+    begin = inside + np.repeat(np.cumsum(doc_sizes) - doc_sizes, per_document)
+    cells = np.concatenate([data[b:b + n] for b, n in zip(begin, sizes, strict=True)])
+    docs = np.repeat(np.arange(30, dtype=np.uint64), per_document)
+    sharing = suffix.sharing_cells(cells, sizes, docs)
+    holders = {}
+    for b, n, d in zip(begin, sizes, docs, strict=True):
+        for at in range(b, b + n - 49):
+            holders.setdefault(data[at:at + 50].tobytes(), set()).add(int(d))
+    must = [any(len(holders[data[at:at + 50].tobytes()]) > 1 for at in range(b, b + n - 49)) for b, n in zip(begin, sizes, strict=True)]
+    assert sharing[must].all() and 0 < sum(must) and sharing.sum() < len(sizes)
