@@ -47,6 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pricelens.llm.induced import SuffixOrder
 from pricelens.llm.shared import shared_folder, written
@@ -563,6 +564,8 @@ def dedup_substrings(documents: DataFrame, text: str = "text") -> DataFrame:
     schema = T.StructType([documents.schema[c] if c != text else T.StructField(c, T.StringType()) for c in kept_columns]
                           + [T.StructField(c, T.LongType() if c != "kept_sha256" else T.StringType()) for c in OUTPUT])
 
+    wanted = to_arrow_schema(schema)
+
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         of_entry, states = _group_states(told.filter(pc.is_valid(told["states"])), buckets)
         of_first, masks = _group_masks(told.filter(pc.is_valid(told["masks"])), shards, sorts)
@@ -581,7 +584,8 @@ def dedup_substrings(documents: DataFrame, text: str = "text") -> DataFrame:
                 texts.append(left.decode("utf-8", "replace"))
             made = {"n_bytes": pa.array(chunk.sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string()),
                     text: pa.array(texts, pa.string())}
-            out.append(pa.RecordBatch.from_arrays([made[c] if c in made else chunk.batch.column(c) for c in (*kept_columns, *OUTPUT)], names=[*kept_columns, *OUTPUT]))
+            # times come in the session's zone and are wanted in UTC: the same values
+            out.append(pa.RecordBatch.from_arrays([made[c] if c in made else chunk.batch.column(c).cast(wanted.field(c).type) for c in (*kept_columns, *OUTPUT)], names=[*kept_columns, *OUTPUT]))
         return pa.Table.from_batches(out)
 
     return chunks.select("group", "chunk", "rows", "counts").groupBy("group").cogroup(told.groupBy("group")).applyInArrow(run, schema)

@@ -157,3 +157,17 @@ def test_cells_left_out_share_no_window(seed):
             holders.setdefault(data[at:at + 50].tobytes(), set()).add(int(d))
     must = [any(len(holders[data[at:at + 50].tobytes()]) > 1 for at in range(b, b + n - 49)) for b, n in zip(begin, sizes, strict=True)]
     assert sharing[must].all() and 0 < sum(must) and sharing.sum() < len(sizes)
+
+
+def test_times_of_another_zone(spark):
+    from pyspark.sql import functions as F
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        at = F.timestamp_seconds(F.col("id") + 86_400)
+        docs = spark.range(4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the same text "), 9).alias("text"), at.alias("at"), F.array(F.struct(at.alias("t"))).alias("nested"))
+        kept = suffix.dedup_substrings(docs).select("doc_id", "n_removed", F.unix_seconds("at"), F.unix_seconds(F.col("nested")[0]["t"])).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted(map(tuple, kept)) == [(i, 126 * (i > 0), 86_400 + i, 86_400 + i) for i in range(4)]
